@@ -123,7 +123,7 @@ def near_links(distinct: DataFrame, column: str = "fp", radius: int = RADIUS, ti
     sizes = own.groupBy("tile").agg(F.count("*").alias("n"))
     guests = sizes.select(F.col("tile").alias("from"), "n").select(step_to(), "n").groupBy("tile").agg(F.sum("n").alias("guests"))
     grid = sizes.join(guests, "tile", "left").select("tile", F.ceil(F.col("n") / tile_rows).cast("int").alias("rows"), F.ceil(F.greatest(F.coalesce("guests", F.lit(0)), F.lit(1)) / (64 * tile_rows)).cast("int").alias("cols"))
-    grid = F.broadcast(scratch.write_and_read(grid.coalesce(1), "tiles"))
+    grid = F.broadcast(scratch.write_and_read(grid, "tiles"))
     bundles = max(1, -(-distinct.count() * (len(_neighbours(radius)) + 1) // (1 << 18)))
     placed = own.join(grid, "tile").withColumn("row", F.pmod(F.xxhash64("fp"), F.col("rows")).cast("int"))
     all_cols = F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col")
