@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH, GRAM = 50, 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Windows in a run at most; text in one index at most, but for a single text.
-RUN_WINDOWS, INDEX_BYTES = 64, 4 << 20
+RUN_WINDOWS, INDEX_BYTES = 64, 1 << 20
+_STRIDE = 1 << 19
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -54,18 +55,7 @@ class Shard:
         n, length = len(self.raw), self.length
         if n < length:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-        words = np.ndarray((n - 7,), dtype="<u8", buffer=self.raw, strides=(1,))
-        count = n - GRAM + 1
-        gram = words[:count] * np.uint64(0x9E3779B97F4A7C15) ^ words[8 : 8 + count] * np.uint64(0xC2B2AE3D27D4EB4F) ^ words[12 : 12 + count] * np.uint64(0x165667B19E3779F9)
-        gram ^= gram >> np.uint64(32)
-        gram *= np.uint64(0xD6E8FEB86659FD93)
-        gram ^= gram >> np.uint64(29)
-        width, least = 1, gram
-        while width * 2 <= length - GRAM + 1:
-            least = np.minimum(least[:-width], least[width:])
-            width *= 2
-        if more := length - GRAM + 1 - width:
-            least = np.minimum(least[:-more], least[more:])
+        least = np.concatenate([self._least(a, min(a + _STRIDE, n - length + 1)) for a in range(0, n - length + 1, _STRIDE)])
         # A window that crosses into the next document is none.
         whole = np.ones(n - length + 1, dtype=bool)
         for b in self.begin[1:-1].tolist():
@@ -84,6 +74,22 @@ class Shard:
             size = np.minimum(RUN_WINDOWS, np.repeat(size, parts) - nth * RUN_WINDOWS)
         return at, size, keys
 
+    def _least(self, first: int, last: int) -> np.ndarray:
+        """The least hash among the grams of each window that starts in [first, last)."""
+        count = last - first + self.length - GRAM
+        words = np.ndarray((count + GRAM - 8,), dtype="<u8", buffer=self.raw, offset=first, strides=(1,))
+        gram = words[:count] * np.uint64(0x9E3779B97F4A7C15) ^ words[8 : 8 + count] * np.uint64(0xC2B2AE3D27D4EB4F) ^ words[12 : 12 + count] * np.uint64(0x165667B19E3779F9)
+        gram ^= gram >> np.uint64(32)
+        gram *= np.uint64(0xD6E8FEB86659FD93)
+        gram ^= gram >> np.uint64(29)
+        width, least = 1, gram
+        while width * 2 <= self.length - GRAM + 1:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        if more := self.length - GRAM + 1 - width:
+            least = np.minimum(least[:-more], least[more:])
+        return least
+
     def parts(self, n: int) -> np.ndarray:
         """Where each of n equal ranges of hashes begins among the distinct runs, and the end."""
         bounds = [np.uint64((k << 64) // n) for k in range(n)]
@@ -203,7 +209,7 @@ def earlier_windows(groups: np.ndarray, texts: list[bytes], owners: np.ndarray,
     """For each text, whether the window at each start is also in a text of a smaller owner in its group.
 
     Texts come in the order of their groups. Groups share an index as long as it stays below `index_bytes`. A group that
-    alone is eight times as large gets no index: its windows are compared by 128-bit hashes, a slice of them at a time.
+    alone is twice as large gets no index: its windows are compared by 128-bit hashes, a slice of them at a time.
     """
     sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
     out: list[np.ndarray] = []
@@ -212,8 +218,8 @@ def earlier_windows(groups: np.ndarray, texts: list[bytes], owners: np.ndarray,
     ends = np.r_[first[1:], len(groups)]
 
     def settle(a: int, b: int) -> None:
-        if sizes[a:b].sum() > 8 * index_bytes:
-            out.extend(_by_hash(texts[a:b], owners[a:b], length, index_bytes))
+        if sizes[a:b].sum() > 2 * index_bytes:
+            out.extend(_by_hash(texts[a:b], owners[a:b], length, index_bytes // 4))
         elif a < b:
             found = RunIndex(texts[a:b], owners[a:b], length).stream(texts[a:b])
             out.extend(f[: len(t) - length + 1] < o for f, t, o in zip(found, texts[a:b], owners[a:b], strict=True))
@@ -299,7 +305,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     carried = [c for c in docs.columns if c not in ("removed_spans", "kept_bytes")]
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    parts = max(1, -(-total // (2 * shard_bytes)))
+    parts = max(1, -(-total // (4 * shard_bytes)))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(int(_NO_ID)))
     own = docs.select(F.pmod(F.xxhash64(key, F.lit(0)), F.lit(shards)).cast("int").alias("__to"), key.alias("__id"), F.col(text_col).cast("binary").alias("__raw"), *(F.col(c) for c in carried if c != text_col))
 
