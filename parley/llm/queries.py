@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontaminate, langid, packing, quality, simhash, suffix, toxicity, warc
+from parley.llm import decontaminate, langid, licenses, packing, quality, scratch, simhash, suffix, tokencounts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,15 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads the whole table as one batch, delivers that batch again, which changes nothing, and returns the totals."""
+    docs = _table(spark, sf_dir, "documents").withColumn("deleted", F.lit(False))
+    rollup = tokencounts.Rollup(spark, scratch.fresh(spark, "token-counts"))
+    for _ in range(2):
+        rollup.apply("documents", docs)
+    return rollup.totals()
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
@@ -43,13 +52,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op4_quality, op5_suffix, op6_warc, op7_packing, op8_toxicity, op10_langid)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_token_counts, op4_quality, op5_suffix, op6_warc, op7_packing, op8_toxicity, op9_licenses, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
