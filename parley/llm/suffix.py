@@ -27,6 +27,7 @@ SHARD_BYTES = 4 << 20
 #: Windows in a run at most; text in one index at most, but for a single text.
 RUN_WINDOWS, INDEX_BYTES = 64, 1 << 20
 _STRIDE = 1 << 19
+_KEY_BITS = np.uint64(0xFFFF_FFFF_FFF0_0000)
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -43,7 +44,8 @@ class Shard:
         ends = self.start + self.windows + length - 1
         digest, raw = xxhash.xxh3_64_digest, self.raw
         sums = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(self.start.tolist(), ends.tolist(), strict=True)]), dtype=np.uint64)
-        order = np.lexsort((sums, keys))
+        # Low bits of the sums order runs of one hash; should that part two equal runs, both are sent, and answered alike.
+        order = np.argsort(keys | (sums & ~_KEY_BITS))
         new = np.r_[True, (keys[order][1:] != keys[order][:-1]) | (sums[order][1:] != sums[order][:-1])][: len(order)]
         self.kind = np.empty(len(order), dtype=np.int64)
         self.kind[order] = np.cumsum(new) - 1
@@ -72,7 +74,7 @@ class Shard:
             nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
             at, keys = np.repeat(at, parts) + nth * RUN_WINDOWS, np.repeat(keys, parts)
             size = np.minimum(RUN_WINDOWS, np.repeat(size, parts) - nth * RUN_WINDOWS)
-        return at, size, keys
+        return at, size, keys & _KEY_BITS
 
     def _least(self, first: int, last: int) -> np.ndarray:
         """The least hash among the grams of each window that starts in [first, last)."""
@@ -105,14 +107,16 @@ class RunIndex:
         n = len(x)
         text_of = np.repeat(np.arange(len(texts)), sizes)
         left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)  # bytes to the text's end, its 0xFF included
-        # Prefix doubling that stops at each text's end; texts that end alike keep their order.
+        # Prefix doubling that stops at each text's end.
         padded = np.concatenate([x, np.zeros(8, dtype=np.uint8)])
         key = np.ndarray((n,), dtype=">u8", buffer=padded, strides=(1,)).astype(np.uint64)
         short = left < 8
         key[short] &= ~np.uint64(0) << (np.uint64(64) - np.uint64(8) * left[short].astype(np.uint64))
         rank, ranks, width = _ranks(key), {}, 8
-        while width < sizes.max(initial=1):
+        while True:
             ranks[width] = rank
+            if width >= length:  # the order of what has `length` bytes in common is of no use
+                break
             beyond = np.zeros(n, dtype=np.int64)
             inside = np.flatnonzero(left > width)
             beyond[inside] = rank[inside + width] + 1
@@ -124,6 +128,13 @@ class RunIndex:
         new = np.r_[True, before[1:] != before[:-1]]
         new[self.full] = True
         begin = np.flatnonzero(new)
+        # A text of the index itself can start from the row of its last window.
+        row = np.empty(n, dtype=np.int64)
+        row[order] = np.arange(n)
+        last = _numbers(self.full, n)[row[np.maximum(np.cumsum(sizes) - 1 - length, 0)]]
+        self.own = self.full[last], np.r_[self.full, n][last + 1]
+        del row, key, rank, ranks
+        self.part_end, self.full_of, self.part_of = np.r_[self.part, n], _numbers(self.full, n), _numbers(self.part, n)
         self.n, self.counts = n, np.concatenate([[0], np.cumsum(np.bincount(x, minlength=256))])
         self.least = np.minimum.reduceat(owners[text_of[order]], begin)  # samples at the runs' ends
         self.sample = order[np.r_[begin[1:], n] - 1]
@@ -143,22 +154,27 @@ class RunIndex:
         count = np.where(found & (self.run_begin[k] < row), self.run_before[k] + np.minimum(row - self.run_begin[k], self.run_size[k]), 0)
         return self.counts[letter] + count
 
-    def stream(self, texts: list[bytes]) -> list[np.ndarray]:
+    def stream(self, texts: list[bytes], own: bool = False) -> list[np.ndarray]:
         """For each text and each start: the smallest owner of a text with the same `length` bytes there, -1 for none.
 
         All texts go backwards in step. A match is as long as the matching statistics, up to `length`; one that grows to
-        `length` is read and shortened by a byte at its end before it grows again, and one that fails starts anew.
+        `length` is read and shortened by a byte at its end before it grows again, and one that fails starts anew. `own`:
+        the texts are those of the index, in its order and none shorter than `length`.
         """
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         ends, x = np.cumsum(sizes), np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int64)
         out = np.full(len(x), -1, dtype=np.int64)
         low, high, size = (np.full(len(texts), v, dtype=np.int64) for v in (0, self.n, 0))
-        for k in range(int(sizes.max(initial=0))):
+        begin = 0
+        if own:
+            low, high, size[:], begin = self.own[0].copy(), self.own[1].copy(), self.length, self.length
+            out[ends - self.length] = self.class_least[self.full_of[low]]
+        for k in range(begin, int(sizes.max(initial=0))):
             live = np.flatnonzero(sizes > k)
             full = live[size[live] == self.length]
             if len(full):
-                c = np.searchsorted(self.part, low[full], side="right") - 1
-                low[full], high[full] = self.part[c], np.r_[self.part, self.n][c + 1]
+                c = self.part_of[low[full]]
+                low[full], high[full] = self.part_end[c], self.part_end[c + 1]
                 size[full] -= 1
             at = ends[live] - 1 - k
             a, b = self._step(x[at], low[live]), self._step(x[at], high[live])
@@ -168,7 +184,7 @@ class RunIndex:
             if len(lost):  # matches shorter than `length` that go on are found again from here
                 low[lost], high[lost], size[lost] = self._again(x, ends[lost] - 1 - k, ends[lost])
             done = live[size[live] == self.length]
-            out[ends[done] - 1 - k] = self.class_least[np.searchsorted(self.full, low[done], side="right") - 1]
+            out[ends[done] - 1 - k] = self.class_least[self.full_of[low[done]]]
         return np.split(out, ends[:-1])
 
     def _again(self, x: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -189,6 +205,13 @@ class RunIndex:
         return tuple(rows)
 
 
+def _numbers(starts: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows the number of the class that it is in."""
+    new = np.zeros(n, dtype=np.int32)
+    new[starts[1:]] = 1
+    return np.cumsum(new, dtype=np.int32)
+
+
 def _ranks(key: np.ndarray) -> np.ndarray:
     order = np.argsort(key)
     out = np.empty(len(key), dtype=np.int64)
@@ -221,7 +244,7 @@ def earlier_windows(groups: np.ndarray, texts: list[bytes], owners: np.ndarray,
         if sizes[a:b].sum() > 2 * index_bytes:
             out.extend(_by_hash(texts[a:b], owners[a:b], length, index_bytes // 4))
         elif a < b:
-            found = RunIndex(texts[a:b], owners[a:b], length).stream(texts[a:b])
+            found = RunIndex(texts[a:b], owners[a:b], length).stream(texts[a:b], own=True)
             out.extend(f[: len(t) - length + 1] < o for f, t, o in zip(found, texts[a:b], owners[a:b], strict=True))
 
     for f, e in zip(first.tolist(), ends.tolist(), strict=True):
@@ -305,7 +328,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     carried = [c for c in docs.columns if c not in ("removed_spans", "kept_bytes")]
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    parts = max(1, -(-total // (4 * shard_bytes)))
+    parts = max(1, -(-total // (2 * shard_bytes)))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(int(_NO_ID)))
     own = docs.select(F.pmod(F.xxhash64(key, F.lit(0)), F.lit(shards)).cast("int").alias("__to"), key.alias("__id"), F.col(text_col).cast("binary").alias("__raw"), *(F.col(c) for c in carried if c != text_col))
 
