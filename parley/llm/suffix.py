@@ -15,6 +15,9 @@ are, meet under the same hash; windows in a row with one hash make a *run*, a st
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH, GRAM = 50, 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Windows in a run at most; text in one index at most, but for a single text.
 RUN_WINDOWS, INDEX_BYTES = 64, 1 << 20
-_STRIDE = 1 << 19
+_STRIDE = 1 << 18
 _KEY_BITS = np.uint64(0xFFFF_FFFF_FFF0_0000)
 _NO_ID = np.iinfo(np.int64).max
 
@@ -57,18 +60,25 @@ class Shard:
         n, length = len(self.raw), self.length
         if n < length:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-        least = np.concatenate([self._least(a, min(a + _STRIDE, n - length + 1)) for a in range(0, n - length + 1, _STRIDE)])
         # A window that crosses into the next document is none.
         whole = np.ones(n - length + 1, dtype=bool)
         for b in self.begin[1:-1].tolist():
             whole[max(0, b - length + 1) : b] = False
-        new = np.r_[True, (least[1:] != least[:-1]) | (whole[1:] != whole[:-1])]
+        edge = np.zeros(len(whole), dtype=bool)
+        edge[0] = True
+        edge[1:] = whole[1:] != whole[:-1]
         inner = self.begin[1:-1]
-        new[inner[inner < len(new)]] = True
-        at = np.flatnonzero(new)
-        size = np.diff(np.r_[at, len(new)])
+        edge[inner[inner < len(edge)]] = True
+        found, before = [], np.uint64(0)
+        for a in range(0, len(edge), _STRIDE):
+            least = self._least(a, min(a + _STRIDE, len(edge)))
+            own = np.flatnonzero(np.r_[least[0] != before, least[1:] != least[:-1]] | edge[a : a + _STRIDE])
+            found.append((own + a, least[own]))
+            before = least[-1]
+        at, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+        size = np.diff(np.r_[at, len(edge)])
         keep = whole[at]
-        at, size, keys = at[keep], size[keep], least[at[keep]]
+        at, size, keys = at[keep], size[keep], keys[keep]
         if (size > RUN_WINDOWS).any():
             parts = -(-size // RUN_WINDOWS)
             nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -294,8 +304,16 @@ _MESSAGE = "__to int, __from int, __what int, __blob binary"
 _ARROW = pa.schema([("__to", pa.int32()), ("__from", pa.int32()), ("__what", pa.int32()), ("__blob", pa.binary())])
 
 
+def _tidy(table: pa.Table) -> pa.Table:
+    """The table, after what the process no longer uses has gone back to the machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+    return table
+
+
 def _messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, _ARROW, strict=True)], schema=_ARROW)
+    return _tidy(pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, _ARROW, strict=True)], schema=_ARROW))
 
 
 def _shard(table: pa.Table, length: int) -> Shard:
@@ -328,7 +346,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     carried = [c for c in docs.columns if c not in ("removed_spans", "kept_bytes")]
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    parts = max(1, -(-total // (2 * shard_bytes)))
+    parts = max(1, -(-total // (3 * shard_bytes)))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(int(_NO_ID)))
     own = docs.select(F.pmod(F.xxhash64(key, F.lit(0)), F.lit(shards)).cast("int").alias("__to"), key.alias("__id"), F.col(text_col).cast("binary").alias("__raw"), *(F.col(c) for c in carried if c != text_col))
 
@@ -430,7 +448,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 spans.append([])
                 kept.append(shard.raw[a:b])
         own = {"removed_spans": pa.array(spans, type=span_type), "kept_bytes": pa.array(kept, type=pa.binary()), text_col: pa.array(table.column("__raw").to_pylist(), type=pa.binary()).cast(pa.string())}
-        return pa.table({c: own[c] if c in own else table.column(c) for c in names})
+        return _tidy(pa.table({c: own[c] if c in own else table.column(c) for c in names}))
 
     asked = own.select("__to", "__id", "__raw", *(c for c in own.columns[3:])).groupBy("__to").applyInArrow(ask, _MESSAGE)
     answers = asked.groupBy("__to").applyInArrow(answer, _MESSAGE)
