@@ -84,6 +84,9 @@ class Shard:
             nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
             at, keys = np.repeat(at, parts) + nth * RUN_WINDOWS, np.repeat(keys, parts)
             size = np.minimum(RUN_WINDOWS, np.repeat(size, parts) - nth * RUN_WINDOWS)
+        # The least of many hashes is small; spread them evenly again, for tasks get equal ranges of them.
+        keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+        keys = (keys ^ (keys >> np.uint64(28))) * np.uint64(0xD6E8FEB86659FD93)
         return at, size, keys & _KEY_BITS
 
     def _least(self, first: int, last: int) -> np.ndarray:
