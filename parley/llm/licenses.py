@@ -87,20 +87,20 @@ class Templates:
                         hits.setdefault(name, []).append((int(places[k] + part[0]) - place, int(places[k] + part[0])))
         found, spans = [], None
         for name in sorted(hits):
-            template, end = self.codes[name], -1
-            diagonals = sorted(hits[name])
-            groups, last = [], None
-            for diagonal, place in diagonals:
-                if last is None or diagonal - last > band:
+            template, work, groups = self.codes[name], codes.copy(), []
+            for diagonal, _ in sorted(hits[name]):
+                if not groups or diagonal - groups[-1][1] > band:
                     groups.append([diagonal, diagonal])
-                groups[-1][1] = last = diagonal
+                groups[-1][1] = diagonal
             for low, high in groups:
-                score, first, stop, matched = align(template, codes, low - band, high + band)
-                if matched >= coverage * len(template) and first >= end:
+                while True:  # places that matched are blanked, so that the next best match can be found beside them
+                    score, first, stop, matched = align(template, work, low - band, high + band)
+                    if not matched or matched < coverage * len(template):
+                        break
                     if spans is None:
                         spans = [m.span() for m in _WORD.finditer(lower)]
                     found.append((name, matched / len(template), matched, spans[first][0], spans[stop - 1][1]))
-                    end = stop
+                    work[first:stop] = 0
         return found
 
 
