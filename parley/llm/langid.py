@@ -103,9 +103,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     own = own.where("doc_id is not null and lang is not null and text is not null").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) != HELD_OUT)
     ids = own.select("doc_id", "lang")
-    most = F.broadcast(ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang"))
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("doc_id").alias("ids"))
+    most = F.broadcast(sizes.orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang", "ids"))
+    # The least hashes of a language lie far below this share of all hashes, so ranking meets a few thousand rows at any size.
+    place = F.xxhash64("doc_id") / 2.0**64 + 0.5
+    few = ids.join(most, "lang").where(place < 4.0 * per_lang / F.col("ids"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = ids.join(most, "lang").withColumn("rank", rank).where(F.col("rank") <= per_lang).select("doc_id", "rank")
+    chosen = few.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("doc_id", "rank")
     rows = own.join(F.broadcast(chosen.groupBy("doc_id").agg(F.min("rank").alias("rank"))), "doc_id").dropDuplicates(["doc_id"]).orderBy("rank", "doc_id").collect()
     rows = [r for r in rows if has_letter(r.text)]
     return fit([r.text for r in rows], [r.lang for r in rows])
