@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.operators.ranks import correlations
+
 ITEM = ["conv_id", "utterance_id", "aspect"]
 
 
@@ -37,19 +37,15 @@ def wide(ratings: DataFrame, aspects=("A", "N", "R")) -> DataFrame:
     return ratings.groupBy("conv_id", "utterance_id").pivot("aspect", list(aspects)).agg(F.avg("rating"))
 
 
-def spearman(ratings: DataFrame) -> DataFrame:
-    """Rank correlation of each pair of aspects over items that have both; null if one is constant."""
-    w = wide(ratings)
-    out = []
-    for a, b in (("A", "N"), ("A", "R"), ("N", "R")):
-        ranked = w.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*(_average_rank(c).alias(n) for c, n in ((a, "x"), (b, "y"))))
-        cov = F.avg(F.col("x") * F.col("y")) - F.avg("x") * F.avg("y")
-        out.append(ranked.agg(F.lit(a).alias("first"), F.lit(b).alias("second"), F.round(F.try_divide(cov, F.sqrt(F.var_pop("x") * F.var_pop("y"))), 6).alias("rho"), F.count("*").alias("n")))
-    return reduce(DataFrame.unionByName, out)
+def aspect_pairs(ratings: DataFrame) -> DataFrame:
+    """Two aspects' mean ratings of an item as `x` and `y`, for each pair of aspects."""
+    pairs = F.array(*(F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in (("A", "N"), ("A", "R"), ("N", "R"))))
+    return wide(ratings).select(F.inline(pairs))
 
 
-def _average_rank(column: str):
-    return F.rank().over(Window.orderBy(column)) + (F.count("*").over(Window.partitionBy(column)) - 1) / 2.0
+def spearman(ratings: DataFrame) -> DataFrame:
+    """Rank correlation of each pair of aspects over items that have both; null if one is constant."""
+    return correlations(aspect_pairs(ratings), "first", "second", least=1).select("first", "second", F.col("spearman").alias("rho"), "n")
 
 
 def combiner_grid(ratings: DataFrame) -> DataFrame:
@@ -64,7 +60,6 @@ def combiner_grid(ratings: DataFrame) -> DataFrame:
 
 def level_distribution(ratings: DataFrame) -> DataFrame:
     """Percent of each level by aspect, levels that never occur included."""
-    levels = ratings.sparkSession.range(1, 5).select(F.col("id").cast("int").alias("rating"))
-    grid = ratings.select("aspect").distinct().crossJoin(F.broadcast(levels))
+    grid = ratings.select("aspect").distinct().select("aspect", F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("rating"))
     counts = grid.join(ratings.groupBy("aspect", "rating").agg(F.count("*").alias("n")), ["aspect", "rating"], "left").na.fill(0, ["n"])
     return counts.select("aspect", "rating", "n", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("aspect")), 6).alias("percent"))

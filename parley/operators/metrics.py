@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from parley.operators.consensus import ITEM, LEVELS, majority
+from parley.operators.consensus import ITEM, LEVELS, consensus_labels, majority, rater_pairs
 
 _SPAN = [(i, j) for i in LEVELS for j in LEVELS]
 
@@ -90,6 +90,66 @@ def human_variation(ratings: DataFrame) -> DataFrame:
     return each.groupBy("aspect").agg(F.round(kappa, 5).alias("kappa_mean"), *both, F.count("*").alias("n_raters"))
 
 
+def _span(values: DataFrame, deviation) -> DataFrame:
+    """Mean kappa and one deviation to either side of it, within [-1, 1]; `values` has a column k."""
+    out = values.agg(F.avg("k").alias("m"), deviation("k").alias("s"), F.min("k").alias("min_qwk"), F.max("k").alias("max_qwk"), F.count("k").alias("n"))
+    clip = lambda c: F.round(F.when(c.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))), 5)
+    return out.select("aspect", F.round("m", 5).alias("mean_qwk"), F.round("s", 5).alias("sd_qwk"), clip(F.col("m") - F.col("s")).alias("lower"), clip(F.col("m") + F.col("s")).alias("upper"), F.round("min_qwk", 5).alias("min_qwk"), F.round("max_qwk", 5).alias("max_qwk"), "n")
+
+
+def human_kappa_range(ratings: DataFrame) -> DataFrame:
+    """By aspect, the range of raters' kappa against the other raters' label, with the population deviation."""
+    pairs = others_label(ratings).select("aspect", "rater_id", F.col("label").alias("x"), F.col("rating").alias("y"))
+    return _span(scores(pairs, "aspect", "rater_id").withColumnRenamed("kappa_fixed", "k").groupBy("aspect"), F.stddev_pop)
+
+
+def model_kappa_range(predictions: DataFrame, ratings: DataFrame) -> DataFrame:
+    """By aspect, the range of models' kappa against the majority vote, with the sample deviation; a context is a model of its own."""
+    pairs = predictions.join(majority(ratings), list(ITEM)).select("aspect", "model", "context", F.col("vote").alias("x"), F.col("rating").alias("y"))
+    return _span(scores(pairs, "aspect", "model", "context").withColumnRenamed("kappa_fixed", "k").groupBy("aspect"), F.stddev_samp)
+
+
+def against_seed(ratings: DataFrame, seed: int) -> DataFrame:
+    """The consensus of all raters but one against that one, by aspect."""
+    label = consensus_labels(ratings.where(F.col("rater_id") != seed)).select(*ITEM, F.col("y_hard").alias("y"))
+    pairs = ratings.where(F.col("rater_id") == seed).select(*ITEM, F.col("rating").alias("x")).join(label, list(ITEM))
+    return scores(pairs, "aspect").select("aspect", "mse", F.col("kappa_present").alias("kappa"), "accuracy", "n")
+
+
+def prune(ratings: DataFrame, keep: int) -> DataFrame:
+    """Raters (aspect, rater_id, kappa, overlap, removed_at) when the worst goes until `keep` are left in each aspect.
+
+    The worst has the lowest mean kappa to those still in, weighted by shared items; then the least overlap, then the
+    lowest id. A pair without a kappa adds to the overlap alone; a rater who shares no item with anyone goes first.
+    Spark counts the pairs once; each aspect's loop works on its table of raters. `removed_at` is null for those kept,
+    whose kappa and overlap are those at the end.
+    """
+    pairs = rater_pairs(ratings).select("aspect", "ra", "rb", "x", "y")
+    table = scores(pairs, "aspect", "ra", "rb").select("aspect", "ra", "rb", F.col("kappa_present").alias("k"), "n")
+    # A rater without a pair still has to appear; a row with itself and no weight does that.
+    alone = ratings.select("aspect", F.col("rater_id").alias("ra"), F.col("rater_id").alias("rb")).distinct().select("*", F.lit(None).cast("double").alias("k"), F.lit(0).cast("long").alias("n"))
+
+    def loop(key, rows: pd.DataFrame) -> pd.DataFrame:
+        both = pd.concat([rows, rows.rename(columns={"ra": "rb", "rb": "ra"})])
+        both["s"] = (both["k"] * both["n"]).fillna(0.0)
+        out, step = [], 0
+        while True:
+            g = both.groupby("ra")[["s", "n"]].sum()
+            g["mean"] = (g["s"] / g["n"].where(g["n"] > 0)).fillna(-math.inf)
+            order = g.reset_index().sort_values(["mean", "n", "ra"])
+            if len(order) <= keep:
+                break
+            worst = order.iloc[0]
+            step += 1
+            out.append((key[0], int(worst["ra"]), float(worst["mean"]), int(worst["n"]), step))
+            both = both[(both["ra"] != worst["ra"]) & (both["rb"] != worst["ra"])]
+        out += [(key[0], int(r.ra), float(r.mean), int(r.n), None) for r in order.itertuples()]
+        done = pd.DataFrame(out, columns=["aspect", "rater_id", "kappa", "overlap", "removed_at"])
+        return done.assign(kappa=done["kappa"].replace(-math.inf, None).astype("float64"), removed_at=done["removed_at"].astype("Int64"))
+
+    return table.unionByName(alone).groupBy("aspect").applyInPandas(loop, "aspect string, rater_id long, kappa double, overlap long, removed_at long")
+
+
 def prescreen(ratings: DataFrame, passing: float = 0.8) -> DataFrame:
     """Raters' closeness to the other raters' label: one less a quarter, and less a third, of the distance, on average."""
     distance = F.abs(F.col("rating") - F.col("label"))
