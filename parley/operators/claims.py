@@ -8,11 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.operators.memory import ACTIONS, EXPECTED
+from parley.operators.memory import ACTIONS
 
 KEY = ["conv_id", "utterance_id"]
 SCALES = ("info", "novo", "relv", "imsc")
 _LEVELS = (1, 2, 3, 4)
+# The relations that rated claims name.
+RELATIONS = ("equivalent", "forward entailment", "backward entailment", "contradiction", "neutral")
 
 
 def _of_counts(c: dict[int, Column]) -> dict[str, Column]:
@@ -54,15 +56,16 @@ def claim_features(claims: DataFrame, utterances: DataFrame, fill: float = 1.0)
     """
     counted = [F.count_if(F.col(s) == k).alias(f"{s}{k}") for s in SCALES for k in _LEVELS]
     acts = {a: F.count_if(F.col("action") == a).alias(f"act_{a}") for a in ACTIONS}
-    relations = {r: F.count_if(F.col("relation") == r).alias(f"rel_{r}") for r in EXPECTED}
+    named = {r: r.replace(" ", "_") for r in RELATIONS}
+    relations = {r: F.count_if(F.col("relation") == r).alias(f"rel_{n}") for r, n in named.items()}
     changed = F.count_if(~F.col("action").eqNullSafe(F.lit("NONE"))).alias("n_changes")
     per = claims.groupBy(*KEY).agg(F.count("*").alias("n_claims"), changed, *counted, *acts.values(), *relations.values())
     rows = utterances.select(*KEY, F.coalesce(F.regexp_count("text", F.lit(r"[A-Za-z0-9][A-Za-z0-9'\-]*")), F.lit(0)).alias("n_tokens")).join(per, KEY, "left").na.fill(0)
     n, floor_ = F.col("n_claims"), F.greatest(F.lit(1), F.col("n_tokens"))
     filled = lambda c, name: F.round(F.coalesce(c, F.lit(fill)), 6).alias(name)
     stats = [filled(v, f"{k}_{s}") for s in SCALES for k, v in _of_counts({k: F.col(f"{s}{k}") for k in _LEVELS}).items()]
-    shares = [filled(F.try_divide(F.col(c), n), f"share_{c}") for c in [f"act_{a}" for a in ACTIONS] + [f"rel_{r}" for r in EXPECTED]]
-    entropies = [filled(_entropy([F.col(f"{p}_{k}") for k in kinds]), f"{p}_entropy") for p, kinds in (("act", ACTIONS), ("rel", EXPECTED))]
+    shares = [filled(F.try_divide(F.col(c), n), f"share_{c}") for c in [f"act_{a}" for a in ACTIONS] + [f"rel_{n}" for n in named.values()]]
+    entropies = [filled(_entropy([F.col(f"{p}_{k}") for k in kinds]), f"{p}_entropy") for p, kinds in (("act", ACTIONS), ("rel", named.values()))]
     return rows.select(*KEY, "n_tokens", "n_claims", "n_changes", F.round(F.coalesce(F.try_divide("n_changes", n), F.lit(0.0)), 6).alias("p_changes"), F.round(n / floor_, 6).alias("claim_density"), F.round(F.col("n_changes") / floor_, 6).alias("change_density"), *stats, *shares, *entropies)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley.operators import allocation, claims, evaluation, metrics, nested, ranks, regression
-from parley.operators.memory import ACTIONS, EXPECTED
+from parley.operators.memory import ACTIONS
 from parley.plans.catalog import COUNTS, ITEM, MAE, MAJORITY, WIDE
 from parley.plans.features import ASPECTS, OTHERS, _scores
 from parley.registry import register
@@ -30,7 +30,7 @@ register("annotation_complete", _complete, with_views("SELECT conv_id, rater_id,
 # Claims: a line of an order is a claim, an order an utterance.
 CLAIMS = """SELECT l_orderkey % 40 AS conv_id, l_orderkey AS utterance_id, l_linenumber AS claim_id, max(CAST(floor(l_quantity) AS INT) % 4 + 1) AS info, max(CAST(floor(l_discount * 100 + 0.5) AS INT) % 4 + 1) AS novo,
     max(CAST(floor(l_tax * 100 + 0.5) AS INT) % 4 + 1) AS relv, max(CAST(floor(l_extendedprice) AS INT) % 4 + 1) AS imsc, max(CASE l_returnflag WHEN 'A' THEN 'ADD' WHEN 'R' THEN 'UPDATE' ELSE 'NONE' END) AS action,
-    max(CASE l_linestatus WHEN 'O' THEN 'neutral' ELSE 'contradiction' END) AS relation FROM {lines} GROUP BY l_orderkey, l_linenumber"""
+    max(CASE l_linestatus WHEN 'O' THEN 'forward entailment' ELSE 'contradiction' END) AS relation FROM {lines} GROUP BY l_orderkey, l_linenumber"""
 SAID = "SELECT o_orderkey % 40 AS conv_id, o_orderkey AS utterance_id, o_orderpriority AS text, o_custkey AS speaker FROM {orders}"
 _CTE = f"WITH claims AS ({CLAIMS.format(lines='lineitem')}), said AS ({SAID.format(orders='orders')}) "
 
@@ -51,12 +51,12 @@ _stats = ", ".join(
     for s in claims.SCALES
     for k, v in {"mean": f"list_avg({s})", "max": f"{s}[1]", "min": f"{s}[-1]", "median": f"list_median({s})", "harmonic": f"n_claims / list_sum(list_transform({s}, lambda x: 1.0 / x))", "top2": _head(s, "2"), "top_quarter": _head(s, _quart(0.25)), "top_half": _head(s, _quart(0.5))}.items()
 )
-_kinds = [f"act_{a}" for a in ACTIONS] + [f"rel_{r}" for r in EXPECTED]
+_kinds = [f"act_{a}" for a in ACTIONS] + [f"rel_{r.replace(' ', '_')}" for r in claims.RELATIONS]
 _entropy = lambda prefix: f"list_sum(list_transform([{', '.join(k for k in _kinds if k.startswith(prefix))}], lambda x: -(x / CAST(n_claims AS DOUBLE)) * log2(x / CAST(n_claims AS DOUBLE) + 1e-12)))"
 _SQL_FEATURES = f"""{_CTE} SELECT conv_id, utterance_id, n_tokens, coalesce(n_claims, 0) AS n_claims, coalesce(n_changes, 0) AS n_changes, round(coalesce(n_changes / n_claims, 0), 6) AS p_changes, round(coalesce(n_claims, 0) / greatest(1, n_tokens), 6) AS claim_density,
     round(coalesce(n_changes, 0) / greatest(1, n_tokens), 6) AS change_density, {_stats}, {', '.join(_filled(f'{k} / n_claims', f'share_{k}') for k in _kinds)}, {_filled(_entropy('act_'), 'act_entropy')}, {_filled(_entropy('rel_'), 'rel_entropy')}
     FROM (SELECT conv_id, utterance_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9][A-Za-z0-9''\\-]*')) AS n_tokens FROM said) LEFT JOIN (SELECT conv_id, utterance_id, count(*) AS n_claims, count(*) FILTER (action <> 'NONE') AS n_changes,
-    {', '.join(f'list({s} ORDER BY {s} DESC) AS {s}' for s in claims.SCALES)}, {', '.join(f"count(*) FILTER (action = '{a}') AS act_{a}" for a in ACTIONS)}, {', '.join(f"count(*) FILTER (relation = '{r}') AS rel_{r}" for r in EXPECTED)} FROM claims GROUP BY 1, 2) USING (conv_id, utterance_id)"""
+    {', '.join(f'list({s} ORDER BY {s} DESC) AS {s}' for s in claims.SCALES)}, {', '.join(f"count(*) FILTER (action = '{a}') AS act_{a}" for a in ACTIONS)}, {', '.join(f"count(*) FILTER (relation = '{r}') AS rel_{r.replace(' ', '_')}" for r in claims.RELATIONS)} FROM claims GROUP BY 1, 2) USING (conv_id, utterance_id)"""
 register("claim_features", lambda s, d: claims.claim_features(_claims(s, d), _orders(s, d)), _SQL_FEATURES)
 _gated = ", ".join(f"count(*) FILTER (action <> 'NONE' AND {g}) AS delta_{n}" for n, g in [(s, f"{s} > 2") for s in claims.SCALES] + [("triad", "novo > 2 AND relv > 2 AND imsc > 2")])
 _names = ["claim_count", "mem_delta", *(f"delta_{s}" for s in claims.SCALES), "delta_triad"]
