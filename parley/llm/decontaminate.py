@@ -51,6 +51,15 @@ def _five(df: DataFrame, *keep: str) -> DataFrame:
     return rows.where(whole).withColumn("h", F.xxhash64(*(f"part.w{k}" for k in range(SHINGLE)))).drop("part")
 
 
+def _short(df: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
+    """A row for every run of so many words, for each of `sizes`, in texts that are longer."""
+    runs = F.array(*(F.struct(F.lit(k).alias("k")) for k in sizes))
+    rows = df.where(F.size("words") > 0).select(*keep, "words", F.explode(runs).alias("run")).where("size(words) > run.k")
+    rows = rows.select(*keep, "words", "run", F.posexplode(F.expr("transform(sequence(0, size(words) - run.k), i -> slice(words, i + 1, run.k))")).alias("at", "part"))
+    h = F.coalesce(*(F.when(F.col("run.k") == k, F.xxhash64(*(F.get("part", F.lit(i)) for i in range(k)))) for k in sizes))
+    return rows.select(*keep, "words", "at", h.alias("h"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words, n_windows): items that occur in documents.
 
@@ -65,7 +74,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     hint = F.broadcast if small else (lambda df: df)
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    seeds = _five(_once(texts, "words", words(F.col("text"))), "doc_id").join(hint(index), "h")
+    texts = _once(texts, "words", words(F.col("text")))
+    shingles = _five(texts, "doc_id")
+    short = sorted(r.length for r in items.where(F.col("length") < SHINGLE).select("length").distinct().collect())
+    if short:
+        shingles = shingles.unionByName(_short(texts, short, "doc_id"))
+    seeds = shingles.join(hint(index), "h")
     first = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.size("words") - F.col("length")))
     seeds = seeds.select("doc_id", "length", first.alias("first_word"), F.slice("words", first + 1, F.col("length")).alias("window"))
     windows = seeds.distinct()

@@ -186,3 +186,37 @@ def test_cut_repeats_keeps_columns_and_whole_characters(spark):
     assert out.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
     by = {r.doc_id: r for r in out.collect()}
     assert by[1].text == text and by[3].text is None and by[2].n_chars == len(by[2].text) and by[2].text.endswith("ü")
+
+
+def slow_windows(docs, items, similarity=0.8):
+    """(best similarity, first place of it, number of windows) by document and item."""
+    split = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", (t or "").lower()) if w]
+    shingles = lambda w: Counter([" ".join(w[i : i + 5]) for i in range(len(w) - 4)] or [" ".join(w)])
+    out = {}
+    for item, text in items:
+        want = split(text)
+        a = shingles(want)
+        for doc, words in ((d, split(t)) for d, t in docs if split(t)):
+            found = []
+            for p in range(max(1, len(words) - len(want) + 1)):
+                b = shingles(words[p : p + len(want)])
+                both = sum((a & b).values())
+                found.append((both / (sum(a.values()) + sum(b.values()) - both), -p))
+            found = [f for f in found if f[0] >= similarity]
+            if found:
+                out[doc, item] = (max(found)[0], -max(found)[1], len(found))
+    return out
+
+
+def leaks_of(spark, rows, items):
+    got = decontaminate.leaks(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    return {(r.doc_id, r.item_id): (r.similarity, r.first_word, r.n_windows) for r in got}
+
+
+def test_short_items_inside_long_texts(spark):
+    items = [(1, "short item"), (2, "one"), (3, "just three words"), (4, "these are four words"), (5, "now this has five words"), (6, "six words that this one has")]
+    rows = [(k, f"a text that goes on for a while and then says {t.upper()} before it goes on and ends") for k, t in items]
+    rows += [(20, "short item"), (21, "a short item"), (22, "item short"), (23, "short item short item one"), (24, "one"), (25, None)]
+    got = leaks_of(spark, rows, items)
+    assert got == slow_windows(rows, items)
+    assert {(1, 1), (2, 2), (3, 3), (4, 4)} <= got.keys()
