@@ -2,8 +2,8 @@
 
 Windows as long as a benchmark item are fingerprinted with SimHash; their fingerprints meet those of items of that length
 in a multi-index: both are cut into radius + 1 blocks, and fingerprints within the radius agree on a block at least. The
-weighted Jaccard similarity of five-word shingles then decides exactly. Windows that share no shingle with any item have
-similarity zero, so only windows aligned with a shared shingle are fingerprinted.
+weighted Jaccard similarity of five-word shingles then decides exactly. Only windows that hold as many shingles of one item
+as that similarity takes are fingerprinted, wherever in the item those stand, so that none that reaches it is left out.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm import scratch
+
 SHINGLE, SIMILARITY, RADIUS, BITS = 5, 0.8, 20, 64
 #: Up to so many rows the index of a benchmark is sent to all executors; beyond, joins shuffle it.
 BROADCAST_ROWS = 500_000
@@ -43,21 +45,38 @@ def _blocks(fp: str, radius: int = RADIUS) -> Column:
     return F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(F.col(fp), a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))))
 
 
-def _five(df: DataFrame, *keep: str) -> DataFrame:
-    """A row for every shingle of `words`: its place `at` and its hash `h`."""
+def _places(df: DataFrame, *keep: str) -> DataFrame:
+    """A row for every word of `words`: its place `at` and it with the four after it, null beyond the end, as `part`."""
     parts = F.arrays_zip(*(F.slice("words", k + 1, F.greatest(F.size("words"), F.lit(1))).alias(f"w{k}") for k in range(SHINGLE)))
-    rows = df.where(F.size("words") > 0).select(*keep, "words", F.posexplode(parts).alias("at", "part"))
-    whole = F.col(f"part.w{SHINGLE - 1}").isNotNull() | ((F.size("words") < SHINGLE) & (F.col("at") == 0))
-    return rows.where(whole).withColumn("h", F.xxhash64(*(f"part.w{k}" for k in range(SHINGLE)))).drop("part")
+    return df.where(F.size("words") > 0).select(*keep, F.size("words").alias("size"), F.posexplode(parts).alias("at", "part"))
+
+
+def _hash(size: int) -> Column:
+    """The hash of the first `size` words of `part`; null where there are fewer."""
+    return F.when(F.col(f"part.w{size - 1}").isNotNull(), F.xxhash64(*(f"part.w{k}" for k in range(size))))
 
 
-def _short(df: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
-    """A row for every run of so many words, for each of `sizes`, in texts that are longer."""
-    runs = F.array(*(F.struct(F.lit(k).alias("k")) for k in sizes))
-    rows = df.where(F.size("words") > 0).select(*keep, "words", F.explode(runs).alias("run")).where("size(words) > run.k")
-    rows = rows.select(*keep, "words", "run", F.posexplode(F.expr("transform(sequence(0, size(words) - run.k), i -> slice(words, i + 1, run.k))")).alias("at", "part"))
-    h = F.coalesce(*(F.when(F.col("run.k") == k, F.xxhash64(*(F.get("part", F.lit(i)) for i in range(k)))) for k in sizes))
-    return rows.select(*keep, "words", "at", h.alias("h"))
+def _hashed(df: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
+    """The hash `h` of every run of so many words, for each of `sizes`."""
+    rows = _places(df, *keep)
+    h = _hash(sizes[0]) if len(sizes) == 1 else F.explode(F.array(*map(_hash, sizes)))
+    return rows.select(*keep, "size", "at", h.alias("h")).where("h is not null")
+
+
+def _starts(seeds: DataFrame, similarity: float) -> DataFrame:
+    """(key, length, first_word): windows with as many shingles of one item as it takes to reach the similarity.
+
+    Of two lists of n and w shingles at least s / (1 + s) (n + w) must be common. If p are the sorted places of an item's
+    shingles in a text, a window holds that many where it reaches from p[i] or before to p[i + needed - 1] or beyond.
+    """
+    places = seeds.groupBy("key", "item_key", "length", "size").agg(F.sort_array(F.collect_set("at")).alias("p"))
+    places = places.withColumn("n", F.greatest(F.lit(1), F.col("length") - (SHINGLE - 1)))
+    places = places.withColumn("w", F.least("n", F.greatest(F.lit(1), F.col("size") - (SHINGLE - 1))))
+    needed = F.greatest(F.lit(1), F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("w")) - 1e-9)).cast("int")
+    places = places.withColumn("needed", needed).where("size(p) >= needed")
+    spans = F.expr("transform(sequence(1, size(p) - needed + 1), i -> struct(greatest(0, element_at(p, i + needed - 1) - w + 1) as low, least(element_at(p, i), greatest(0, size - length)) as high))")
+    spans = places.select("key", "length", F.inline(F.filter(spans, lambda x: x["low"] <= x["high"])))
+    return spans.select("key", "length", F.explode(F.sequence("low", "high")).alias("first_word")).distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -69,20 +88,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items that repeat give a row each. Other columns are not read. An empty table on either side gives no rows.
     """
     items = _once(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")), "words", words(F.col("text"))).where("size(words) > 0").withColumn("length", F.size("words"))
-    index = _five(items, "item_id", "length").select("h", "length", F.col("at").alias("offset")).distinct()
+    items = items.withColumn("item_key", F.xxhash64("words"))
+    short = sorted(r.length for r in items.where(F.col("length") < SHINGLE).select("length").distinct().collect())
+    own_hash = F.coalesce(_hash(SHINGLE), F.when(F.col("at") == 0, F.coalesce(*(F.when(F.col("length") == k, _hash(k)) for k in range(1, SHINGLE)))))
+    index = _places(items, "item_key", "length").select(own_hash.alias("h"), "item_key", "length").where("h is not null").distinct()
     small = index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda df: df)
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    texts = _once(texts, "words", words(F.col("text")))
-    shingles = _five(texts, "doc_id")
-    short = sorted(r.length for r in items.where(F.col("length") < SHINGLE).select("length").distinct().collect())
-    if short:
-        shingles = shingles.unionByName(_short(texts, short, "doc_id"))
-    seeds = shingles.join(hint(index), "h")
-    first = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.size("words") - F.col("length")))
-    seeds = seeds.select("doc_id", "length", first.alias("first_word"), F.slice("words", first + 1, F.col("length")).alias("window"))
-    windows = seeds.distinct()
+    texts = _once(texts.withColumn("key", F.xxhash64("doc_id", "text")), "words", words(F.col("text")))
+    seeds = _hashed(texts, [*short, SHINGLE], "key").join(hint(index), "h")
+    starts = scratch.write_and_read(_starts(seeds, similarity), "starts")
+    starts = starts.groupBy("key").agg(F.collect_list(F.struct("length", "first_word")).alias("starts"))
+    few = starts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    held = texts.join(F.broadcast(starts) if few else starts, "key").select("doc_id", "words", F.inline("starts"))
+    windows = held.select("doc_id", "length", "first_word", F.slice("words", F.col("first_word") + 1, F.col("length")).alias("window")).distinct()
 
     def printed(df: DataFrame, source: str, shingles: str, fp: str) -> DataFrame:
         df = _once(_once(df, shingles, _shingles(F.col(source))), "hashes", F.transform(shingles, lambda s: F.xxhash64(s)))

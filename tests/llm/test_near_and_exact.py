@@ -220,3 +220,20 @@ def test_short_items_inside_long_texts(spark):
     got = leaks_of(spark, rows, items)
     assert got == slow_windows(rows, items)
     assert {(1, 1), (2, 2), (3, 3), (4, 4)} <= got.keys()
+
+
+def test_reordered_passages_and_all_windows(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    filler = lambda n: [word() for _ in range(n)]
+    items = [(k, filler(n)) for k, n in enumerate((58, 58, 40, 21, 9, 6))] + [(6, ["la", "li"] * 15), (7, ["la"] * 30)]
+    rows = []
+    for k, words in items:
+        half = len(words) // 2
+        for j, text in enumerate((words[half:] + words[:half], words, words[1:], words[: half - 1] + [word()] + words[half:], words * 2, words[3:] + words[:3])):
+            rows.append((k * 10 + j, " ".join(filler(30) + text + filler(30))))
+            rows.append((1000 + k * 10 + j, " ".join(text)))
+    items = [(k, " ".join(words)) for k, words in items]
+    got, want = leaks_of(spark, rows, items), slow_windows(rows, items)
+    assert got == want
+    assert (0, 0) in got and round(got[0, 0][0], 3) == 0.862
