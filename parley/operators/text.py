@@ -38,9 +38,9 @@ def novelty(utterances: DataFrame) -> DataFrame:
     return out.select("conv_id", "idx", "distinct_terms", "novel", (F.col("seen_through") - F.col("novel")).alias("seen_before"), "seen_through", F.round(F.coalesce(F.try_divide(F.col("novel"), F.col("distinct_terms")), F.lit(0.0)), 6).alias("novelty_ratio"))
 
 
-def context(utterances: DataFrame, k: int = 3) -> DataFrame:
-    """The `k` utterances before each one as lines, oldest first; `No Context` before the first."""
-    before = F.collect_list(F.concat_ws(": ", "role", F.substring("text", 1, 40))).over(Window.partitionBy("conv_id").orderBy("idx").rowsBetween(-k, -1))
+def context(utterances: DataFrame, k: int = 3, width: int | None = None) -> DataFrame:
+    """The `k` utterances before each one as lines, oldest first; `No Context` before the first. `width` cuts each text."""
+    before = F.collect_list(F.concat_ws(": ", "role", F.substring("text", 1, width) if width else F.col("text"))).over(Window.partitionBy("conv_id").orderBy("idx").rowsBetween(-k, -1))
     return utterances.select("conv_id", "idx", F.when(F.size(before) == 0, "No Context").otherwise(F.array_join(before, "\n")).alias("context"))
 
 

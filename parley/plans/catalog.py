@@ -91,7 +91,9 @@ _said("novelty_features", text.novelty, f"""SELECT conv_id, idx, distinct_terms,
     SELECT *, CAST(sum(novel) OVER (PARTITION BY conv_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS seen_through FROM (
     SELECT conv_id, idx, coalesce(distinct_terms, 0) AS distinct_terms, coalesce(novel, 0) AS novel FROM utterances LEFT JOIN (SELECT conv_id, idx, count(*) AS distinct_terms FROM {TERMS} GROUP BY 1, 2) USING (conv_id, idx)
     LEFT JOIN (SELECT conv_id, idx, count(*) AS novel FROM (SELECT conv_id, term, min(idx) AS idx FROM {TERMS} GROUP BY 1, 2) GROUP BY 1, 2) USING (conv_id, idx)))""")
-_said("context_window", text.context, "SELECT conv_id, idx, coalesce(string_agg(role || ': ' || substring(text, 1, 40), chr(10)) OVER (PARTITION BY conv_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 'No Context') AS context FROM utterances")
+_said("context_window", lambda u: text.context(u, width=40), "SELECT conv_id, idx, coalesce(string_agg(role || ': ' || substring(text, 1, 40), chr(10)) OVER (PARTITION BY conv_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 'No Context') AS context FROM utterances")
+_said("context_whole", lambda u: text.context(u).select("conv_id", "idx", F.length("context").alias("n_chars"), F.md5("context").alias("digest")),
+      "SELECT conv_id, idx, length(context) AS n_chars, md5(context) AS digest FROM (SELECT conv_id, idx, coalesce(string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 'No Context') AS context FROM utterances)")
 SKIP = "coalesce(lower(trim(role)) IN ('mod', 'moderator', 'audience', 'host', 'unknown', 'system') OR n_words <= 3 OR (n_words <= 5 AND NOT regexp_matches(text, '[.!?]$')), false)"
 _said("skip_rule", text.skip_flags, f"SELECT conv_id, idx, n_words, skip, max(CAST(NOT skip AS INT)) OVER (PARTITION BY conv_id ORDER BY idx ROWS UNBOUNDED PRECEDING) = 0 AS leading FROM (SELECT *, {SKIP} AS skip FROM (SELECT *, CAST(len(string_split(text, ' ')) AS INT) AS n_words FROM utterances))")
 _said("reading_time", text.reading_time, r"SELECT conv_id, idx, seconds, CAST(300 - coalesce(sum(seconds) OVER (PARTITION BY conv_id ORDER BY idx DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS budget_left FROM (SELECT *, CAST(floor(greatest(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) / 238.0 * 60, 3.0)) AS BIGINT) AS seconds FROM utterances)")
