@@ -74,6 +74,8 @@ register("claim_actions", _claim_actions, f"{_CTE} SELECT conv_id, utterance_id,
 _digest = lambda df, c: df.select("conv_id", F.length(c).alias("n_chars"), F.md5(c).alias("digest"))
 register("memory_lines", lambda s, d: _digest(claims.memory_lines(_claims(s, d).selectExpr("conv_id", "utterance_id AS turn_id", "CASE WHEN claim_id > 1 THEN action END AS speaker", "relation AS claim"), 900), "memories"),
          f"{_CTE} SELECT conv_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT conv_id, string_agg(line, '' ORDER BY utterance_id, line) AS t FROM (SELECT conv_id, utterance_id, '- (Turn #' || utterance_id || ') ' || CASE WHEN claim_id > 1 THEN action ELSE 'Unknown' END || ': \"' || relation || '\"' || chr(10) AS line FROM claims WHERE utterance_id <= 900) GROUP BY 1)")
+register("memory_lines_all", lambda s, d: _digest(claims.memory_lines(_claims(s, d).selectExpr("conv_id", "utterance_id AS turn_id", "CASE WHEN claim_id > 1 THEN action END AS speaker", "relation AS claim")), "memories"),
+         f"{_CTE} SELECT conv_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT conv_id, string_agg(line, '' ORDER BY utterance_id, line) AS t FROM (SELECT conv_id, utterance_id, '- (Turn #' || utterance_id || ') ' || CASE WHEN claim_id > 1 THEN action ELSE 'Unknown' END || ': \"' || relation || '\"' || chr(10) AS line FROM claims) GROUP BY 1)")
 register("transcript_text", lambda s, d: _digest(claims.transcript(utterances(s, d).withColumn("speaker", F.col("role"))), "transcript"),
          with_views("SELECT conv_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT conv_id, string_agg(line, chr(10) || chr(10) ORDER BY idx, line) AS t FROM (SELECT conv_id, idx, idx || '. ' || coalesce(role, '') || ' (' || coalesce(role, '') || '): ' || coalesce(text, '') AS line FROM utterances) GROUP BY 1)", "utterances"))
 

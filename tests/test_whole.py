@@ -1,7 +1,7 @@
 """Operators over whole texts and all rows."""
 
 from parley import registry
-from parley.operators import text
+from parley.operators import claims, text
 
 
 def test_context_keeps_whole_texts(spark):
@@ -11,3 +11,12 @@ def test_context_keeps_whole_texts(spark):
     assert got == {0: "No Context", 1: f"a: {'x' * 500}", 2: f"a: {'x' * 500}\nb: {'y' * 41}"}
     assert {r.idx: r.context for r in text.context(rows, width=3).collect()}[2] == "a: xxx\nb: yyy"
     assert {"n_chars", "digest"} < set(registry.queries()["context_whole"](spark, "/root/testdata/sf0.001").columns)
+
+
+def test_memory_lines_hold_every_turn_without_a_cutpoint(spark):
+    rows = spark.createDataFrame([(1, 5, "a", "x"), (1, 901, "b", "y"), (1, 7, None, "z")], "conv_id long, turn_id long, speaker string, claim string")
+    whole, cut = (claims.memory_lines(rows, c).first().memories for c in (-1, 6))
+    assert whole == '- (Turn #5) a: "x"\n- (Turn #7) Unknown: "z"\n- (Turn #901) b: "y"\n'
+    assert cut == '- (Turn #5) a: "x"\n'
+    every, some = (sum(r.n_chars for r in registry.queries()[q](spark, "/root/testdata/sf0.001").collect()) for q in ("memory_lines_all", "memory_lines"))
+    assert every > some > 0
