@@ -9,6 +9,7 @@ is lost. Tiles of more than `tile_rows` fingerprints are split, so that no task
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,25 +27,37 @@ _QUARTERS = (0, 16, 32, 48)
 _BLOCK = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash of a text's word shingles, as a signed integer.
+def shingle_digests(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of every word shingle of a text, repeats included, in the text's order.
 
-    A-Z are lower-cased and words are runs of bytes other than \\x20 and \\x09-\\x0D. A shingle counts as often as it
-    occurs; fewer words than a shingle make one shingle of them all; no word (or null) gives zero. A bit is set if over
-    half the shingles' XXH64 (seed 42) have it.
+    A-Z are lower-cased and words are runs of bytes other than \\x20 and \\x09-\\x0D. Fewer words than a shingle make one
+    shingle of them all; no word (or null) makes none.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     digest = xxhash.xxh64_digest
     if len(words) <= shingle:
-        return int.from_bytes(digest(b" ".join(words), 42), "big", signed=True)
-    parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    ones, total = np.zeros(64, dtype=np.int64), len(words) - shingle + 1
+        parts = iter([b" ".join(words)])
+    else:
+        parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+    blocks = []
     while block := list(itertools.islice(parts, _BLOCK)):
-        hashes = np.frombuffer(b"".join([digest(s, 42) for s in block]), dtype=np.uint8)
-        ones += np.unpackbits(hashes.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big", signed=True)
+        blocks.append(np.frombuffer(b"".join([digest(s, 42) for s in block]), dtype=">u8").astype(np.uint64))
+    return np.concatenate(blocks)
+
+
+def fingerprint_of(digests: np.ndarray) -> int:
+    """SimHash as a signed integer: a bit is set if over half the digests have it; none gives zero."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(digests), _BLOCK):
+        ones += np.unpackbits(digests[at : at + _BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(digests)).tobytes(), "big", signed=True) if len(digests) else 0
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash of a text's word shingles, as a signed integer; no word (or null) gives zero."""
+    return fingerprint_of(shingle_digests(text, shingle))
 
 
 def fingerprint_column(shingle: int = SHINGLE):
@@ -108,6 +121,24 @@ def tile_links(home: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np.
     return nodes[own], nodes[root[own]]
 
 
+def tile_pairs(prints: np.ndarray, radius: int, tile: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of (i, j), each pair of fingerprints within the radius once.
+
+    They are put in order of population count and cut into tiles; tiles whose counts differ beyond the radius are skipped.
+    """
+    counts = np.bitwise_count(prints)
+    order = np.argsort(counts, kind="stable")
+    prints, counts = prints[order], counts[order].astype(np.int64)
+    for a in range(0, len(prints), tile):
+        home = prints[a : a + tile]
+        for b in range(a, len(prints), tile):
+            if counts[b] - counts[min(a + tile, len(prints)) - 1] > radius:
+                break
+            i, j = np.nonzero(np.bitwise_count(home[:, None] ^ prints[None, b : b + tile]) <= radius)
+            keep = i + a < j + b
+            yield order[i[keep] + a], order[j[keep] + b]
+
+
 def near_links(distinct: DataFrame, column: str = "fp", radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(a, b): links between distinct fingerprints that connect all that lie within the radius of each other.
 
@@ -164,10 +195,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component with all its columns: a row whose id is the component's; rows without an id stay.
+    """One row of each component with all its columns: one whose id is the component's; rows without an id stay.
 
-    Where an id occurs in several rows of a component, one of them stays.
+    Of rows that share id and fingerprint one stays; an id with several fingerprints keeps a row of each, for they may be of
+    different components. Other columns may have any names.
     """
-    found = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select("doc_id").distinct()
-    own = docs.join(found.withColumnRenamed("doc_id", "__kept"), F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    found = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("id"), "fingerprint").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), hex_digits(fingerprint_column()(F.col(text_col))).alias("fingerprint"))
+    own = rows.join(found, ["id", "fingerprint"]).dropDuplicates(["id", "fingerprint"]).select("row.*")
     return own.unionByName(docs.where(F.col(id_col).isNull()))

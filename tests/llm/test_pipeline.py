@@ -4,8 +4,9 @@ import corpus_pipeline
 import numpy as np
 
 from parley.llm import scratch, toxicity
-from tests.llm.test_near_and_exact import SF, slow_components, slow_fingerprint, slow_leaks
+from tests.llm.test_near_and_exact import SF, slow_leaks
 from tests.llm.test_others import check_packing
+from tests.llm.test_similar import slow_kept
 
 
 def slow_cut(rows, length=50):
@@ -30,8 +31,8 @@ def test_stages_against_brute_force(spark):
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         before, docs = docs, scratch.write_and_read(stage(spark, docs, SF), "stage")
         if k == 1:
-            roots = slow_components([(i, slow_fingerprint(t)) for i, t in want.items()])
-            want = {i: t for i, t in want.items() if roots[i] == i}
+            kept = slow_kept(list(want.items()))
+            want = {i: t for i, t in want.items() if i in kept}
         elif k == 2:
             want = slow_cut([(i, t.encode()) for i, t in want.items()])
         elif k == 3:

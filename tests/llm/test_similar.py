@@ -4,9 +4,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from parley.llm import similar, stages
+from parley.llm import simhash, similar, stages
 from tests.llm.test_near_and_exact import SF, docs_of
 
 
@@ -65,3 +67,20 @@ def test_ids_that_repeat_or_lack(spark):
     kept = similar.one_of_each(docs_of(spark, [(3, text), (1, text), (2, "quite another text with other words in it"), (None, text), (None, None)]))
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (0, text), (1, text), (2, "quite another text with other words in it")]
     assert similar.one_of_each(docs_of(spark, [])).count() == 0
+
+
+def test_rows_of_one_id_and_clashing_names(spark):
+    text, other = "one text of some words that stands in two rows", "quite another text with other words in it that nobody has"
+    rows = docs_of(spark, [(5, text), (5, other), (6, text), (7, other), (7, other), (8, None), (9, " \n"), (4, None)])
+    rows = rows.withColumn("key", F.lit("k")).withColumn("root", F.lit(1)).withColumn("row", F.lit(2)).withColumn("rows", F.lit(3))
+    got = similar.one_of_each(rows)
+    assert got.columns == rows.columns
+    assert sorted((r.doc_id, r.text or "") for r in got.collect()) == sorted([(4, ""), (5, text), (5, other)])
+
+
+def test_tile_pairs_are_all_pairs():
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 1 << 63, 300, dtype=np.uint64) >> np.uint64(40)
+    want = {(i, j) for i in range(300) for j in range(i) if (int(prints[i]) ^ int(prints[j])).bit_count() <= 5}
+    got = [(max(a, b), min(a, b)) for i, j in simhash.tile_pairs(prints, 5, tile=32) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want
