@@ -12,17 +12,18 @@ _PROBES = ["", " ", "It's 12 o'clock,\n\n  isn't it?\t", "Größe déjà ñandú
 
 
 class Encoder:
-    """Ids of whole texts, without special tokens; a special token's string in a text is ordinary text.
+    """Ids of whole texts: those of `tokenizers` with the vocabulary's JSON file, without special tokens put around them.
 
-    The ids are those of `tokenizers` with the vocabulary's JSON file. The same vocabulary as ranks gives them several
-    times faster; it is used if it agrees on probes, and never for long runs of white space, where its patterns are slow.
+    A special token's string in a text is that token, as the library has it. The same vocabulary as ranks gives the ids
+    several times faster; it is used if it agrees on probes, and never for texts that hold a special token's string or long
+    runs of white space, where its patterns are slow.
     """
 
     def __init__(self, json_path: str, ranks_path: str | None = None, pattern: str | None = None):
         from tokenizers import Tokenizer
 
         self._exact = Tokenizer.from_file(json_path)
-        self._exact.encode_special_tokens = True
+        self._special = [t.content for t in self._exact.get_added_tokens_decoder().values()]
         self._fast = None
         if ranks_path and pattern:
             import tiktoken
@@ -35,7 +36,7 @@ class Encoder:
 
     def ids(self, text: str | None) -> np.ndarray:
         text = text or ""
-        if self._fast is None or " " * 2000 in text or "\n" * 2000 in text or len(text) > 10_000 and max(map(len, text.split(None, -1)), default=0) > 5000:
+        if self._fast is None or any(s in text for s in self._special) or " " * 2000 in text or "\n" * 2000 in text or len(text) > 10_000 and max(map(len, text.split(None, -1)), default=0) > 5000:
             return np.array(self._exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return self._fast.encode_to_numpy(text, disallowed_special=()) if hasattr(self._fast, "encode_to_numpy") else np.array(self._fast.encode_ordinary(text), dtype=np.uint32)
 
