@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,14 +134,16 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     moves no posterior much; if all texts are alike, the prior decides, which keeps texts that no rule votes against.
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [x.split()[0] for x in SIGNALS.split(", ")]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            found = [(*s[:5], vote(s[5])) for s in map(statistics, rows["text"])]
-            yield pd.DataFrame(found, columns=[x.split()[0] for x in SIGNALS.split(", ")]).assign(doc_id=rows["doc_id"].to_numpy())
+            found = np.array([(*s[:5], vote(s[5])) for s in map(statistics, rows.column("text").to_pylist())], dtype=np.int64).reshape(-1, 6).T
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in found[:5]), pa.array(found[5].astype(np.int32)), rows.column("doc_id")], [*names, "doc_id"])
 
-    id_type = dict(docs.dtypes)[id_col]
+    id_type = dict(docs.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"]
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    signals = scratch.write_and_read(own.mapInPandas(read, f"{SIGNALS}, doc_id {id_type}"), "signals")
+    signals = scratch.write_and_read(own.mapInArrow(read, f"{SIGNALS}, doc_id {id_type}"), "signals")
     # At most 3 ** rules rows.
     seen = signals.where(f"n_words >= {MIN_WORDS}").groupBy("votes").count().toPandas()
     model = fit(seen["votes"].to_numpy(dtype=np.int64), seen["count"].to_numpy())
