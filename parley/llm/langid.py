@@ -11,14 +11,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDERS = (1, 2, 3, 4)
 BITS = 14
-#: The bounded sample that fits a model: texts of each language, languages, and landmarks of each language.
-MAX_PER_LANG, MAX_LANGS, LANDMARKS_PER_LANG = 400, 200, 24
+#: The bounded sample that fits a model: at most so many texts of each language, and so many of all (but one of each
+#: language at least; none is left out), and so many landmarks of each.
+MAX_PER_LANG, MAX_ROWS, LANDMARKS_PER_LANG = 400, 20_000, 24
 FOLDS, HELD_OUT = 4, 2
 UNDETERMINED = "und"
 _BATCH = 128
@@ -70,22 +71,35 @@ class Model:
         return langs, scores
 
 
+def packed(text: str) -> bytes:
+    """A text's presence vector in 2**BITS / 8 bytes, whatever the text's length."""
+    return np.packbits(presence([text], np.zeros((1, 1 << BITS), dtype=np.float32))[0] > 0).tobytes()
+
+
 def fit(texts: list[str], langs: list[str], per_lang: int = LANDMARKS_PER_LANG, ridge: float = 1e-2) -> Model:
-    """Fit on texts with their languages; the first texts of each language are its landmarks. No text: no language."""
+    """Fit on texts with their languages."""
+    return fit_packed([packed(t) for t in texts], langs, per_lang, ridge)
+
+
+def fit_packed(rows: list[bytes], langs: list[str], per_lang: int = LANDMARKS_PER_LANG, ridge: float = 1e-2) -> Model:
+    """Fit on packed presence vectors with their languages; the first of each language are its landmarks. No row: no language."""
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros((1 << BITS, 0), dtype=np.float32), np.zeros(0, dtype=np.float32))
+
+    def vectors_of(part: list[bytes]) -> np.ndarray:
+        return np.unpackbits(np.frombuffer(b"".join(part), dtype=np.uint8).reshape(len(part), -1), axis=1).astype(np.float32)
+
     taken: dict[str, int] = {}
     marks = [i for i, lang in enumerate(langs) if taken.setdefault(lang, 0) < per_lang and not taken.update({lang: taken[lang] + 1})]
-    space = np.zeros((max(_BATCH, len(marks)), 1 << BITS), dtype=np.float32)
-    land = presence([texts[i] for i in marks], space).copy()
+    land = vectors_of([rows[i] for i in marks])
     land /= np.sqrt(np.maximum(1, land.sum(axis=1)))[:, None]
     values, vectors = np.linalg.eigh((land @ land.T).astype(np.float64))
     keep = values > 1e-8 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])  # kernel values times this: the Nyström features
     kernel = []
-    for at in range(0, len(texts), _BATCH):
-        x = presence(texts[at : at + _BATCH], space)
+    for at in range(0, len(rows), _BATCH):
+        x = vectors_of(rows[at : at + _BATCH])
         kernel.append((x @ land.T) / np.sqrt(np.maximum(1, x.sum(axis=1)))[:, None])
     features = np.concatenate(kernel).astype(np.float64) @ root
     index = np.array([names.index(x) for x in langs])
@@ -98,21 +112,27 @@ def fit(texts: list[str], langs: list[str], per_lang: int = LANDMARKS_PER_LANG,
     return Model(names, (land.T.astype(np.float64) @ (root @ coef)).astype(np.float32), (centre - mean @ coef).astype(np.float32))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = MAX_PER_LANG) -> Model:
-    """Fit outside the held-out fold on `per_lang` texts of each language (those of least id hash), MAX_LANGS languages."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = MAX_PER_LANG, max_rows: int = MAX_ROWS) -> Model:
+    """Fit outside the held-out fold on `per_lang` texts of each language (those of least id hash), all languages alike.
+
+    With many languages each has fewer, so that about `max_rows` are fitted. The driver gets presence vectors of one size,
+    not texts. Of rows that share an id, that of the least language and text hash counts.
+    """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     own = own.where("doc_id is not null and lang is not null and text is not null").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) != HELD_OUT)
     ids = own.select("doc_id", "lang")
-    sizes = ids.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("doc_id").alias("ids"))
-    most = F.broadcast(sizes.orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang", "ids"))
+    sizes = ids.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids"))
+    per_lang = max(1, min(per_lang, max_rows // max(1, sizes.count())))
     # The least hashes of a language lie far below this share of all hashes, so ranking meets a few thousand rows at any size.
     place = F.xxhash64("doc_id") / 2.0**64 + 0.5
-    few = ids.join(most, "lang").where(place < 4.0 * per_lang / F.col("ids"))
+    few = ids.join(sizes, "lang").where(place < (4.0 * per_lang + 40) / F.col("ids"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = few.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("doc_id", "rank")
-    rows = own.join(F.broadcast(chosen.groupBy("doc_id").agg(F.min("rank").alias("rank"))), "doc_id").dropDuplicates(["doc_id"]).orderBy("rank", "doc_id").collect()
-    rows = [r for r in rows if has_letter(r.text)]
-    return fit([r.text for r in rows], [r.lang for r in rows])
+    chosen = few.distinct().withColumn("rank", rank).where(F.col("rank") <= per_lang).select("doc_id", "lang", "rank")
+    vector = F.udf(packed, "binary")
+    texts = own.where(F.col("text").rlike(r"\p{L}")).join(F.broadcast(chosen), ["doc_id", "lang"])  # about max_rows at most
+    texts = texts.groupBy("doc_id").agg(F.min(F.struct("lang", F.xxhash64("text"), "rank", "text")).alias("r")).select("doc_id", "r.lang", "r.rank", "r.text")
+    rows = texts.select("doc_id", "lang", "rank", vector("text").alias("x")).orderBy("rank", "doc_id").collect()
+    return fit_packed([bytes(r.x) for r in rows], [r.lang for r in rows])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,12 +142,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            langs, scores = shared.value.predict(list(rows["text"]))
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "lang_pred": langs, "score": scores})
+            langs, scores = shared.value.predict(rows.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = own.mapInPandas(predict, f"doc_id {dict(own.dtypes)['doc_id']}, lang_pred string, score double")
+    out = own.mapInArrow(predict, f"doc_id {dict(own.dtypes)['doc_id']}, lang_pred string, score double")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
