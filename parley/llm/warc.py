@@ -16,7 +16,7 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +25,9 @@ from parley.llm import scratch
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 8 << 20
+MAX_TASKS = 20_000
+#: Up to so many revisits (some 60 bytes each) are sent to all executors; beyond, a join shuffles the pages.
+BROADCAST_ROWS = 200_000
 _CHUNK = 1 << 18
 _DATE = "1970-01-01T00:00:00Z"
 _URN = "urn:x-page:"
@@ -72,27 +75,29 @@ def write(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, id_col: str
     """
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     own = own.withColumn("digest", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
-    last = own.select("page_id", "digest").groupBy("digest").agg(F.max("page_id").alias("last"))
     long_enough = F.octet_length(F.coalesce("html", F.lit(""))) >= min_revisit_bytes
-    refers = F.when(long_enough & (F.col("page_id") < F.col("last")), F.col("last"))
-    rows = own.join(last, "digest").select("page_id", "url", "html", refers.alias("refers_to"))
-
-    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    last = own.where(long_enough).groupBy("digest").agg(F.max("page_id").alias("last"), F.min("page_id").alias("first")).where("first < last")
+    # Only pages that revisit another are joined to the texts, by id and digest, so that no digest's pages meet in one task.
+    revisits = own.where(long_enough).select("page_id", "digest").join(last.select("digest", "last"), "digest").where("page_id < last").select("page_id", "digest", F.col("last").alias("refers_to")).distinct()
+    revisits = scratch.write_and_read(revisits, "revisits")
+    few = revisits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = own.join(F.broadcast(revisits) if few else revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, path, size = None, f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", 0
         for batch in batches:
-            for row in batch.itertuples(index=False):
+            for page_id, url, html, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
                 if out is None:
                     system, at = file_system(folder)
                     system.create_dir(at, recursive=True)
                     out = system.open_output_stream(f"{at}/{path.rpartition('/')[2]}", compression=None)
                     size += out.write(record("warcinfo", [("WARC-Record-ID", "<urn:x-archive>"), ("WARC-Date", _DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
-                known = lambda x: None if pd.isna(x) else int(x)
-                size += out.write(page_record(known(row.page_id), row.url, row.html, known(row.refers_to)))
+                size += out.write(page_record(page_id, url, html, refers_to))
         if out is not None:
             out.close()
-            yield pd.DataFrame({"path": [path], "n_bytes": [size]})
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64())], ["path", "n_bytes"])
 
-    return scratch.write_and_read(rows.mapInPandas(save, "path string, n_bytes long"), "archives")
+    return scratch.write_and_read(rows.mapInArrow(save, "path string, n_bytes long"), "archives")
 
 
 class _Window:
@@ -158,27 +163,33 @@ def records(file, size: int, start: int, end: int) -> Iterator[tuple[int, dict,
 _PAGE = re.compile(rf"<{_URN}(-?\d*)>")
 
 
-def read(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def read(archives: DataFrame, split_bytes: int = SPLIT_BYTES, max_tasks: int = MAX_TASKS) -> DataFrame:
     """One row per page record in archives (path, n_bytes): what the record says and where it lies.
 
     page_id, url, payload_bytes, payload_digest, record_type, refers_to, path, offset. A response's payload is hashed and
-    must have the digest that its header names. Byte ranges are dealt to tasks evenly, whatever the files' sizes.
+    must have the digest that its header names. Byte ranges are dealt to tasks evenly, whatever the files' sizes; beyond
+    `max_tasks` ranges a task reads several.
     """
     ranges = archives.select("path", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
-    ranges = ranges.repartition(max(1, ranges.count()), F.xxhash64("path", "start"))
+    n = archives.agg(F.sum(F.ceil(F.col("n_bytes") / split_bytes))).first()[0] or 0
+    ranges = ranges.repartition(max(1, min(n, max_tasks)), F.xxhash64("path", "start"))
+    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, offset long, path string"
+    names = [x.split()[0] for x in schema.split(", ")]
+    types = [pa.string() if x.endswith(" string") else pa.int64() for x in schema.split(", ")]
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def table_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in batch.itertuples(index=False):
-                system, at = file_system(part.path)
+            for path, n_bytes, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                system, at = file_system(path)
                 with system.open_input_file(at) as file:
-                    rows = [page_row(h, block, offset) for offset, h, block in records(file, part.n_bytes, part.start, min(part.start + split_bytes, part.n_bytes)) if h["WARC-Type"] in ("response", "revisit")]
+                    rows = [(*page_row(h, block, offset), path) for offset, h, block in records(file, n_bytes, start, min(start + split_bytes, n_bytes)) if h["WARC-Type"] in ("response", "revisit")]
                 if rows:
-                    yield pd.DataFrame(rows, columns=names).assign(path=part.path).astype({"page_id": "Int64", "refers_to": "Int64"})
+                    yield table_of(rows)
 
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, offset long, path string"
-    names = [x.split()[0] for x in schema.split(", ")][:-1]
-    return ranges.select("path", "n_bytes", "start").mapInPandas(scan, schema)
+    return ranges.select("path", "n_bytes", "start").mapInArrow(scan, schema)
 
 
 def page_row(headers: dict, block: bytes, offset: int) -> tuple:
