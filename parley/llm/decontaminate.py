@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from parley.llm import scratch
 
 SHINGLE, SIMILARITY, RADIUS, BITS = 5, 0.8, 20, 64
-#: Up to so many rows the index of a benchmark is sent to all executors; beyond, joins shuffle it.
+#: Up to so many rows of numbers a table is sent to all executors; beyond, joins shuffle it.
 BROADCAST_ROWS = 500_000
 
 
@@ -63,6 +63,11 @@ def _hashed(df: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
     return rows.select(*keep, "size", "at", h.alias("h")).where("h is not null")
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """`df`, sent to all executors if it has BROADCAST_ROWS rows at most."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def _starts(seeds: DataFrame, similarity: float) -> DataFrame:
     """(key, length, first_word): windows with as many shingles of one item as it takes to reach the similarity.
 
@@ -92,27 +97,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     short = sorted(r.length for r in items.where(F.col("length") < SHINGLE).select("length").distinct().collect())
     own_hash = F.coalesce(_hash(SHINGLE), F.when(F.col("at") == 0, F.coalesce(*(F.when(F.col("length") == k, _hash(k)) for k in range(1, SHINGLE)))))
     index = _places(items, "item_key", "length").select(own_hash.alias("h"), "item_key", "length").where("h is not null").distinct()
-    small = index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hint = F.broadcast if small else (lambda df: df)
-
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    texts = _once(texts.withColumn("key", F.xxhash64("doc_id", "text")), "words", words(F.col("text")))
-    seeds = _hashed(texts, [*short, SHINGLE], "key").join(hint(index), "h")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    split = _once(texts, "words", words(F.col("text")))
+    seeds = _hashed(split, [*short, SHINGLE], "key").join(_sent(index), "h")
     starts = scratch.write_and_read(_starts(seeds, similarity), "starts")
-    starts = starts.groupBy("key").agg(F.collect_list(F.struct("length", "first_word")).alias("starts"))
+    grouped = starts.groupBy("key").agg(F.collect_list(F.struct("length", "first_word")).alias("starts"))
     few = starts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    held = texts.join(F.broadcast(starts) if few else starts, "key").select("doc_id", "words", F.inline("starts"))
+    # Texts are split again only where windows start in them.
+    held = texts.join(F.broadcast(grouped) if few else grouped, "key").select("doc_id", "text", "starts")
+    held = _once(held, "words", words(F.col("text"))).select("doc_id", "words", F.inline("starts"))
     windows = held.select("doc_id", "length", "first_word", F.slice("words", F.col("first_word") + 1, F.col("length")).alias("window")).distinct()
+    windows = scratch.write_and_read(windows, "windows")
 
     def printed(df: DataFrame, source: str, shingles: str, fp: str) -> DataFrame:
         df = _once(_once(df, shingles, _shingles(F.col(source))), "hashes", F.transform(shingles, lambda s: F.xxhash64(s)))
-        return _once(df, fp, _fingerprint(shingles)).drop("hashes")
-
-    texts = printed(windows.select("length", "window").distinct(), "window", "shingles", "fp")
-    own = printed(items, "words", "item_shingles", "item_fp")
-    own = own.select("item_id", "length", "item_shingles", "item_fp", F.inline(_blocks("item_fp", radius)))
-    near = texts.select("*", F.inline(_blocks("fp", radius))).join(hint(own), ["length", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    near = near.select("length", "window", "shingles", "item_id", "item_shingles").distinct()
+        return scratch.write_and_read(_once(df, fp, _fingerprint(shingles)).drop("hashes"), "fingerprints")
+
+    texts = printed(windows.select("length", "window").distinct().withColumn("window_no", F.monotonically_increasing_id()), "window", "shingles", "fp")
+    own = printed(items.select("item_id", "length", "words").withColumn("item_no", F.monotonically_increasing_id()), "words", "item_shingles", "item_fp")
+    # Only numbers and fingerprints go through the blocks; shingles are fetched for what lies within the radius.
+    blocks = own.select("item_no", "length", "item_fp", F.inline(_blocks("item_fp", radius)))
+    near = texts.select("window_no", "length", "fp", F.inline(_blocks("fp", radius))).join(_sent(blocks), ["length", "block", "value"])
+    near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("window_no", "item_no").distinct()
+    near = near.join(texts.select("window_no", "length", "window", "shingles"), "window_no").join(own.select("item_no", "item_id", "item_shingles"), "item_no")
     both = F.expr("aggregate(array_distinct(shingles), 0, (n, s) -> n + least(size(filter(shingles, x -> x = s)), size(filter(item_shingles, x -> x = s))))")
     near = _once(near, "both", both).withColumn("similarity", F.col("both") / (F.size("shingles") + F.size("item_shingles") - F.col("both")))
     found = windows.join(near.where(F.col("similarity") >= similarity).select("length", "window", "item_id", "similarity"), ["length", "window"])
@@ -124,5 +131,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that hold no benchmark item. Rows are told apart by id and text."""
     key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit("")))
-    found = leaks(docs.select(key.alias("key"), F.col(text_col).alias("text")), benchmark, "key", "text").select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(found, key == F.col("__leak"), "left_anti")
+    found = leaks(docs.select(key.alias("key"), F.col(text_col).alias("text")), benchmark, "key", "text").select(F.col("doc_id").alias("key")).distinct()
+    return docs.select(F.struct("*").alias("row"), key.alias("key")).join(found, "key", "left_anti").select("row.*")
