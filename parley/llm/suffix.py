@@ -2,14 +2,16 @@
 
 A byte goes if a string of `length` bytes covers it that also starts in a document with a smaller id. Documents are dealt
 to shards. Every window of `length` bytes belongs to the least hash among its grams, so that equal windows, wherever they
-are, meet under the same hash; windows in a row with one hash make a *run*, a string that holds them all.
+are, meet under the same hash; windows in a row with one hash make a *run*, a string that holds them all. Where a sample
+says that very many runs would meet under one hash, the next least hash deals them once more.
 
-1. Each shard sends its distinct runs as hashes, once for each task that gathers them, however many documents share them.
-2. The gathering tasks find each run's smallest document. Another document's equal run goes as a whole. Where different
-   runs share a hash, they may have windows in common, and only the first document of each sends its text.
+1. Each shard sends its distinct runs as hashes, in one message for each range of hashes that it has runs of.
+2. The gathering tasks find each run's smallest document, however many documents have it: equal strings are one entry of an
+   index, with their smallest owner. Where different runs share a hash, they may have windows in common, and the first
+   document of each sends its text; a run that shares its hash with no other needs no search.
 3. These texts are indexed in bounded pieces: their Burrows-Wheeler transform is kept as runs, each with a sample at its
-   end (a text position and the smallest document of the run). Every text is streamed backwards through the index, which
-   gives the matching statistics up to `length`, and each full match the smallest document that has it.
+   end. Texts are streamed backwards through the index, which gives the matching statistics up to `length`; a full match is
+   answered from the samples of its rows. Texts of a group too large for one piece stream through the pieces before theirs.
 4. The shards mark what steps 2 and 3 found and cut it out.
 """
 
@@ -24,11 +26,15 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LENGTH, GRAM = 50, 20
 SHARD_BYTES = 2 << 20
 #: Windows in a run at most; text in one index at most, but for a single text.
 RUN_WINDOWS, INDEX_BYTES = 64, 1 << 20
+#: Runs under one hash beyond which the next least hash deals them again; rows sampled to find such hashes (a ten-thousandth
+#: of all, if that is more), sampled runs that it takes, and hashes known at most. They bear on speed only.
+HOT_RUNS, SAMPLE_ROWS, SAMPLE_LEAST, HOT_KEYS = 8192, 2000, 8, 50_000
 _STRIDE = 1 << 18
 _KEY_BITS = np.uint64(0xFFFF_FFFF_FFF0_0000)
 _NO_ID = np.iinfo(np.int64).max
@@ -37,8 +43,9 @@ _NO_ID = np.iinfo(np.int64).max
 class Shard:
     """The runs of some documents (ids, raw texts): `start`, `windows` and `doc` for each, and `kind`, its number among the distinct ones."""
 
-    def __init__(self, ids: np.ndarray, texts: list[bytes], length: int = LENGTH):
+    def __init__(self, ids: np.ndarray, texts: list[bytes], length: int = LENGTH, hot: np.ndarray | None = None):
         self.ids, self.texts, self.length = ids, texts, length
+        self.hot = np.zeros(0, dtype=np.uint64) if hot is None else hot
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         self.begin = np.concatenate([[0], np.cumsum(sizes)])
         self.raw = b"".join(texts)
@@ -79,36 +86,72 @@ class Shard:
         size = np.diff(np.r_[at, len(edge)])
         keep = whole[at]
         at, size, keys = at[keep], size[keep], keys[keep]
+        # The least of many hashes is small; spread them evenly again, for tasks get equal ranges of them.
+        at, size, keys = self._deal_again(at, size, _spread(keys))
         if (size > RUN_WINDOWS).any():
             parts = -(-size // RUN_WINDOWS)
             nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
             at, keys = np.repeat(at, parts) + nth * RUN_WINDOWS, np.repeat(keys, parts)
             size = np.minimum(RUN_WINDOWS, np.repeat(size, parts) - nth * RUN_WINDOWS)
-        # The least of many hashes is small; spread them evenly again, for tasks get equal ranges of them.
-        keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
-        keys = (keys ^ (keys >> np.uint64(28))) * np.uint64(0xD6E8FEB86659FD93)
-        return at, size, keys & _KEY_BITS
-
-    def _least(self, first: int, last: int) -> np.ndarray:
-        """The least hash among the grams of each window that starts in [first, last)."""
+        return at, size, keys
+
+    def _deal_again(self, at: np.ndarray, size: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The runs, those under a hot hash cut where the next least hash of their windows changes, and dealt by it as well."""
+        is_hot = np.isin(keys, self.hot)
+        if not is_hot.any():
+            return at, size, keys
+        found = [(at[~is_hot], size[~is_hot], keys[~is_hot])]
+        for a, n, key in zip(at[is_hot].tolist(), size[is_hot].tolist(), keys[is_hot], strict=True):
+            for first in range(a, a + n, _STRIDE):
+                last = min(a + n, first + _STRIDE)
+                grams = self._grams(first, last)
+                grams[grams == grams[: self.length - GRAM + 1].min()] = ~np.uint64(0)
+                second = _sliding_least(grams, self.length - GRAM + 1)
+                begin = np.flatnonzero(np.r_[True, second[1:] != second[:-1]])
+                found.append((begin + first, np.diff(np.r_[begin, last - first]), _spread(second[begin] ^ key)))
+        at, size, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(at)
+        return at[order], size[order], keys[order]
+
+    def _grams(self, first: int, last: int) -> np.ndarray:
+        """Hashes of all grams in the windows that start in [first, last)."""
         count = last - first + self.length - GRAM
         words = np.ndarray((count + GRAM - 8,), dtype="<u8", buffer=self.raw, offset=first, strides=(1,))
         gram = words[:count] * np.uint64(0x9E3779B97F4A7C15) ^ words[8 : 8 + count] * np.uint64(0xC2B2AE3D27D4EB4F) ^ words[12 : 12 + count] * np.uint64(0x165667B19E3779F9)
         gram ^= gram >> np.uint64(32)
         gram *= np.uint64(0xD6E8FEB86659FD93)
         gram ^= gram >> np.uint64(29)
-        width, least = 1, gram
-        while width * 2 <= self.length - GRAM + 1:
-            least = np.minimum(least[:-width], least[width:])
-            width *= 2
-        if more := self.length - GRAM + 1 - width:
-            least = np.minimum(least[:-more], least[more:])
-        return least
+        return gram
+
+    def _least(self, first: int, last: int) -> np.ndarray:
+        """The least hash among the grams of each window that starts in [first, last)."""
+        return _sliding_least(self._grams(first, last), self.length - GRAM + 1)
 
-    def parts(self, n: int) -> np.ndarray:
-        """Where each of n equal ranges of hashes begins among the distinct runs, and the end."""
-        bounds = [np.uint64((k << 64) // n) for k in range(n)]
-        return np.r_[np.searchsorted(self.keys, np.array(bounds, dtype=np.uint64)), len(self.keys)]
+
+def _sliding_least(values: np.ndarray, size: int) -> np.ndarray:
+    width, least = 1, values
+    while width * 2 <= size:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    if more := size - width:
+        least = np.minimum(least[:-more], least[more:])
+    return least
+
+
+def _spread(keys: np.ndarray) -> np.ndarray:
+    keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+    keys = (keys ^ (keys >> np.uint64(28))) * np.uint64(0xD6E8FEB86659FD93)
+    return keys & _KEY_BITS
+
+
+def parts_of(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of n equal ranges of hashes some sorted ones lie in, each once, and where each begins among them, and the end.
+
+    As long as there are hashes: a shard never looks at ranges that it has none of.
+    """
+    part = (keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+    begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+    return part[begin].astype(np.int64), np.r_[begin, len(part)]
 
 
 class RunIndex:
@@ -136,22 +179,31 @@ class RunIndex:
             rank, width = _ranks(rank * np.int64(n + 1) + beyond), width * 2
         order = np.argsort(rank * np.int64(n) + np.arange(n))
         before = x[order - 1]
-        self.full, self.part = (_starts(order, ranks, left, k) for k in (length, length - 1))
-        # Runs also end where the first `length` bytes change, so that each lies in one class of equal windows.
+        full, part = (_starts(order, ranks, left, k) for k in (length, length - 1))
+        # A class holds the suffixes whose first `length` bytes are equal; shorter ones are in none.
+        is_long = left[order[full]] > length
+        self.full, self.full_end = full[is_long], np.r_[full[1:], n][is_long]
+        # Runs of the transform also end where a class does, so that each lies in one class.
         new = np.r_[True, before[1:] != before[:-1]]
         new[self.full] = True
+        new[self.full_end[self.full_end < n]] = True
         begin = np.flatnonzero(new)
-        # A text of the index itself can start from the row of its last window.
+        # The class of the last window of each text, where a text of the index itself can start.
         row = np.empty(n, dtype=np.int64)
         row[order] = np.arange(n)
-        last = _numbers(self.full, n)[row[np.maximum(np.cumsum(sizes) - 1 - length, 0)]]
-        self.own = self.full[last], np.r_[self.full, n][last + 1]
+        self.own = np.searchsorted(self.full, row[np.maximum(np.cumsum(sizes) - 1 - length, 0)], side="right") - 1
+        in_part = np.searchsorted(part, self.full, side="right") - 1
+        self.part, self.part_end = part[in_part], np.r_[part[1:], n][in_part]  # of each class the rows with all but its last byte
         del row, key, rank, ranks
-        self.part_end, self.full_of, self.part_of = np.r_[self.part, n], _numbers(self.full, n), _numbers(self.part, n)
         self.n, self.counts = n, np.concatenate([[0], np.cumsum(np.bincount(x, minlength=256))])
-        self.least = np.minimum.reduceat(owners[text_of[order]], begin)  # samples at the runs' ends
-        self.sample = order[np.r_[begin[1:], n] - 1]
-        self.class_least = np.minimum.reduceat(self.least, np.searchsorted(begin, self.full))
+        # Each run's sample is the text position of that of its suffixes which has the smallest owner.
+        by_row, run_size = owners[text_of[order]], np.diff(np.r_[begin, n])
+        smallest = np.flatnonzero(by_row == np.repeat(np.minimum.reduceat(by_row, begin), run_size))
+        self.sample, self.ends, self.owners = order[smallest[np.searchsorted(smallest, begin)]], np.cumsum(sizes), owners
+        del by_row, smallest
+        runs = np.searchsorted(begin, np.stack([self.full, self.full_end], axis=1).ravel())
+        told = np.r_[self.owner(self.sample), _NO_ID]
+        self.class_least = np.minimum.reduceat(told, runs)[::2] if len(runs) else told[:0]
         # Runs by byte, then by place, with how many of that byte lie in earlier runs.
         letter, size = before[begin].astype(np.int64), np.diff(np.r_[begin, n])
         by = np.argsort(letter * (n + 1) + begin)
@@ -159,6 +211,10 @@ class RunIndex:
         total = np.cumsum(size[by]) - size[by]
         self.run_before = total - self.counts[self.run_letter]
 
+    def owner(self, position: np.ndarray) -> np.ndarray:
+        """The owners of the texts that hold some positions."""
+        return self.owners[np.searchsorted(self.ends, position, side="right")]
+
     def _step(self, letter: np.ndarray, row: np.ndarray) -> np.ndarray:
         """The row that `letter` before the suffixes above `row` leads to."""
         k = np.searchsorted(self.run_key, letter * (self.n + 1) + row) - 1
@@ -171,58 +227,50 @@ class RunIndex:
         """For each text and each start: the smallest owner of a text with the same `length` bytes there, -1 for none.
 
         All texts go backwards in step. A match is as long as the matching statistics, up to `length`; one that grows to
-        `length` is read and shortened by a byte at its end before it grows again, and one that fails starts anew. `own`:
-        the texts are those of the index, in its order and none shorter than `length`.
+        `length` is answered from its class and shortened by a byte at its end before it grows again, and one that fails
+        starts anew. `own`: the texts are those of the index, in its order and none shorter than `length`, so that the match
+        of the last window is known.
         """
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         ends, x = np.cumsum(sizes), np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int64)
         out = np.full(len(x), -1, dtype=np.int64)
-        low, high, size = (np.full(len(texts), v, dtype=np.int64) for v in (0, self.n, 0))
+        low, high, size, of = (np.full(len(texts), v, dtype=np.int64) for v in (0, self.n, 0, 0))
         begin = 0
         if own:
-            low, high, size[:], begin = self.own[0].copy(), self.own[1].copy(), self.length, self.length
-            out[ends - self.length] = self.class_least[self.full_of[low]]
+            of, size[:], begin = self.own.copy(), self.length, self.length
+            out[ends - self.length] = self.class_least[of]
         for k in range(begin, int(sizes.max(initial=0))):
             live = np.flatnonzero(sizes > k)
             full = live[size[live] == self.length]
-            if len(full):
-                c = self.part_of[low[full]]
-                low[full], high[full] = self.part_end[c], self.part_end[c + 1]
-                size[full] -= 1
+            low[full], high[full] = self.part[of[full]], self.part_end[of[full]]
+            size[full] -= 1
             at = ends[live] - 1 - k
-            a, b = self._step(x[at], low[live]), self._step(x[at], high[live])
-            lost = live[a >= b]
+            a, b = self._step(np.r_[x[at], x[at]], np.r_[low[live], high[live]]).reshape(2, -1)
             low[live], high[live] = a, b
             size[live] += 1
+            lost = live[a >= b]
             if len(lost):  # matches shorter than `length` that go on are found again from here
                 low[lost], high[lost], size[lost] = self._again(x, ends[lost] - 1 - k, ends[lost])
             done = live[size[live] == self.length]
-            out[ends[done] - 1 - k] = self.class_least[self.full_of[low[done]]]
+            of[done] = np.searchsorted(self.full, low[done], side="right") - 1
+            out[ends[done] - 1 - k] = self.class_least[of[done]]
         return np.split(out, ends[:-1])
 
     def _again(self, x: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Longest match of what begins at each place, by search from shorter and shorter ends."""
-        rows = np.zeros((3, len(at)), dtype=np.int64)
-        for i, (p, e) in enumerate(zip(at.tolist(), ends.tolist(), strict=True)):
-            for size in range(min(self.length - 1, e - p), 0, -1):
-                low, high = np.zeros(1, dtype=np.int64), np.full(1, self.n)
-                for q in range(p + size - 1, p - 1, -1):
-                    low, high = self._step(x[q : q + 1], low), self._step(x[q : q + 1], high)
-                    if low[0] >= high[0]:
-                        break
-                else:
-                    rows[:, i] = low[0], high[0], size
-                    break
-            else:
-                rows[:, i] = 0, self.n, 0
-        return tuple(rows)
-
-
-def _numbers(starts: np.ndarray, n: int) -> np.ndarray:
-    """For each of n rows the number of the class that it is in."""
-    new = np.zeros(n, dtype=np.int32)
-    new[starts[1:]] = 1
-    return np.cumsum(new, dtype=np.int32)
+        """Longest match of what begins at each place, short of `length`, by bisection: what a match begins with matches too."""
+        low, high = np.zeros(len(at), dtype=np.int64), np.full(len(at), self.n)
+        has, lacks = np.zeros(len(at), dtype=np.int64), np.minimum(self.length, ends - at + 1)
+        while len(open_ := np.flatnonzero(lacks - has > 1)):
+            size = (has[open_] + lacks[open_]) // 2
+            a, b = np.zeros(len(open_), dtype=np.int64), np.full(len(open_), self.n)
+            for k in range(int(size.max())):
+                live = np.flatnonzero((size > k) & (a < b))
+                letter = x[at[open_[live]] + size[live] - 1 - k]
+                a[live], b[live] = self._step(np.r_[letter, letter], np.r_[a[live], b[live]]).reshape(2, -1)
+            hit = a < b
+            has[open_[hit]], low[open_[hit]], high[open_[hit]] = size[hit], a[hit], b[hit]
+            lacks[open_[~hit]] = size[~hit]
+        return low, high, has
 
 
 def _ranks(key: np.ndarray) -> np.ndarray:
@@ -244,8 +292,8 @@ def _starts(order: np.ndarray, ranks: dict[int, np.ndarray], left: np.ndarray, l
 def earlier_windows(groups: np.ndarray, texts: list[bytes], owners: np.ndarray, length: int = LENGTH, index_bytes: int = INDEX_BYTES) -> list[np.ndarray]:
     """For each text, whether the window at each start is also in a text of a smaller owner in its group.
 
-    Texts come in the order of their groups. Groups share an index as long as it stays below `index_bytes`. A group that
-    alone is twice as large gets no index: its windows are compared by 128-bit hashes, a slice of them at a time.
+    Texts come in the order of their groups and owners. Groups share an index as long as it stays below `index_bytes`. A
+    larger group has several, for one stretch of its texts each; the texts after that stretch stream through it too.
     """
     sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
     out: list[np.ndarray] = []
@@ -253,12 +301,23 @@ def earlier_windows(groups: np.ndarray, texts: list[bytes], owners: np.ndarray,
     first = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]][: len(groups)])
     ends = np.r_[first[1:], len(groups)]
 
+    def earlier(found: list[np.ndarray], a: int, b: int) -> list[np.ndarray]:
+        return [(f[: len(t) - length + 1] < o) & (f[: len(t) - length + 1] >= 0) for f, t, o in zip(found, texts[a:b], owners[a:b], strict=True)]
+
+    def cuts(a: int, b: int) -> list[int]:
+        """Where stretches of about `index_bytes` begin, and the end."""
+        number = (np.cumsum(sizes[a:b]) - sizes[a:b]) // index_bytes
+        return [a + k for k in np.flatnonzero(np.r_[True, number[1:] != number[:-1]]).tolist()] + [b]
+
     def settle(a: int, b: int) -> None:
-        if sizes[a:b].sum() > 2 * index_bytes:
-            out.extend(_by_hash(texts[a:b], owners[a:b], length, index_bytes // 4))
-        elif a < b:
-            found = RunIndex(texts[a:b], owners[a:b], length).stream(texts[a:b], own=True)
-            out.extend(f[: len(t) - length + 1] < o for f, t, o in zip(found, texts[a:b], owners[a:b], strict=True))
+        at, mine = cuts(a, b), []
+        for k, (c, d) in enumerate(zip(at[:-1], at[1:], strict=True)):
+            index = RunIndex(texts[c:d], owners[c:d], length)
+            mine[c - a : d - a] = [old | new for old, new in zip(mine[c - a : d - a] or [np.False_] * (d - c), earlier(index.stream(texts[c:d], own=True), c, d), strict=True)]
+            for e, f in zip(at[k + 1 : -1], at[k + 2 :], strict=True):
+                new = earlier(index.stream(texts[e:f]), e, f)
+                mine[e - a : f - a] = [x | y for x, y in zip(mine[e - a : f - a] or [np.False_] * (f - e), new, strict=True)]
+        out.extend(mine)
 
     for f, e in zip(first.tolist(), ends.tolist(), strict=True):
         weight = int(sizes[f:e].sum())
@@ -266,26 +325,8 @@ def earlier_windows(groups: np.ndarray, texts: list[bytes], owners: np.ndarray,
             settle(begin, f)
             begin, held = f, 0
         held += weight
-    settle(begin, len(texts))
-    return out
-
-
-def _by_hash(texts: list[bytes], owners: np.ndarray, length: int, slice_windows: int) -> list[np.ndarray]:
-    """As `earlier_windows` for one group, in memory that the slice bounds, whatever the group's size."""
-    windows = np.array([len(t) - length + 1 for t in texts], dtype=np.int64)
-    out, slices = [np.zeros(w, dtype=bool) for w in windows], max(1, -(-int(windows.sum()) // slice_windows))
-    for part in range(slices):
-        least: dict[int, int] = {}
-        places: list[tuple[int, int, int]] = []
-        for i, (text, owner) in enumerate(zip(texts, owners.tolist(), strict=True)):
-            for at in range(len(text) - length + 1):
-                h = xxhash.xxh3_128_intdigest(text[at : at + length])
-                if h % slices == part:
-                    places.append((i, at, h))
-                    if least.get(h, owner) >= owner:
-                        least[h] = owner
-        for i, at, h in places:
-            out[i][at] = least[h] < owners[i]
+    if begin < len(texts):
+        settle(begin, len(texts))
     return out
 
 
@@ -303,8 +344,8 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-_MESSAGE = "__to int, __from int, __what int, __blob binary"
-_ARROW = pa.schema([("__to", pa.int32()), ("__from", pa.int32()), ("__what", pa.int32()), ("__blob", pa.binary())])
+_MESSAGE = "to int, sender int, what int, blob binary"
+_ARROW = pa.schema([("to", pa.int32()), ("sender", pa.int32()), ("what", pa.int32()), ("blob", pa.binary())])
 
 
 def _tidy(table: pa.Table) -> pa.Table:
@@ -319,20 +360,38 @@ def _messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return _tidy(pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, _ARROW, strict=True)], schema=_ARROW))
 
 
-def _shard(table: pa.Table, length: int) -> Shard:
-    ids = np.asarray(table.column("__id").to_numpy(), dtype=np.int64)
-    return Shard(ids, [t or b"" for t in table.column("__raw").to_pylist()], length)
+def _shard(table: pa.Table, length: int, hot: np.ndarray) -> Shard:
+    ids = np.asarray(table.column("id").to_numpy(), dtype=np.int64)
+    return Shard(ids, [t or b"" for t in table.column("raw").to_pylist()], length, hot)
+
+
+def hot_keys(docs: DataFrame, text_col: str, length: int) -> np.ndarray:
+    """Hashes under which a sample expects more than HOT_RUNS different runs, HOT_KEYS at most."""
+    rows = docs.count()
+    of = max(1, min(rows // SAMPLE_ROWS, 10_000))
+
+    def read(batches):
+        for batch in batches:
+            shard = Shard(np.zeros(batch.num_rows, dtype=np.int64), [t or b"" for t in batch.column("raw").to_pylist()], length)
+            yield pa.RecordBatch.from_arrays([pa.array(shard.keys.view(np.int64)), pa.array(shard.sums.view(np.int64))], ["key", "sum"])
+
+    raw = F.col(text_col).cast("binary")
+    sample = docs.where(F.pmod(F.xxhash64(F.col(text_col), F.lit(1)), F.lit(of)) == 0).select(raw.alias("raw"))
+    runs = sample.mapInArrow(read, "key long, sum long").distinct().groupBy("key").agg(F.count("*").alias("n"))
+    found = runs.where((F.col("n") >= SAMPLE_LEAST) & (F.col("n") * of > HOT_RUNS)).orderBy(F.desc("n"), "key").limit(HOT_KEYS).collect()
+    return np.sort(np.array([r.key for r in found], dtype=np.int64).view(np.uint64))
 
 
 def _found(shard: Shard, answers: pa.Table, parts: int) -> tuple[np.ndarray, np.ndarray, list]:
     """Of each distinct run its smallest document and whether it shares windows with others; then what indexes found."""
-    least, mixed, marked, bounds = shard.least.copy(), np.zeros(len(shard.least), dtype=bool), [], shard.parts(parts)
-    for sender, what, blob in zip(*(answers.column(c).to_pylist() for c in ("__from", "__what", "__blob")), strict=True):
+    least, mixed, marked = shard.least.copy(), np.zeros(len(shard.least), dtype=bool), []
+    part, bounds = parts_of(shard.keys, parts)
+    for sender, what, blob in zip(*(answers.column(c).to_pylist() for c in ("sender", "what", "blob")), strict=True):
         got = _unpack(blob)
         if what == 1:
             marked.append(got)
         else:
-            at = got[0].astype(np.int64) + bounds[sender]
+            at = got[0].astype(np.int64) + bounds[np.searchsorted(part, sender)]
             least[at], mixed[at] = got[1], got[2].astype(bool)
     return least, mixed, marked
 
@@ -341,8 +400,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """All rows and columns of `docs`, and `removed_spans` (array of start and end in bytes) and `kept_bytes` (binary).
 
     A null text has no bytes. Texts shorter than `length` lose nothing. A row without an id counts as later than all
-    others. Rows that share an id don't match each other. The result of a row depends on the input's texts alone, not on
-    what else is removed. No rows give no rows. Columns of `docs` keep their names, but for those two.
+    others. Rows that share an id don't match each other, nor do rows without one. The result of a row depends on the input's
+    texts alone, not on what else is removed. No rows give no rows. Columns of `docs` may have any names, but for those two.
     """
     if length < GRAM + 8:
         raise ValueError(f"length must be {GRAM + 8} or more")
@@ -350,17 +409,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     parts = max(1, -(-total // (3 * shard_bytes)))
+    hot = hot_keys(docs, text_col, length)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(int(_NO_ID)))
-    own = docs.select(F.pmod(F.xxhash64(key, F.lit(0)), F.lit(shards)).cast("int").alias("__to"), key.alias("__id"), F.col(text_col).cast("binary").alias("__raw"), *(F.col(c) for c in carried if c != text_col))
+    dealt = F.pmod(F.xxhash64(key, F.when(F.col(id_col).isNull(), F.col(text_col))), F.lit(shards)).cast("int")
+    others = F.struct(*(F.col(f"`{c}`") for c in carried if c != text_col), F.lit(True).alias("text" if text_col != "text" else "none"))
+    own = docs.select(dealt.alias("to"), key.alias("id"), F.col(text_col).cast("binary").alias("raw"), others.alias("row"))
 
     def ask(table: pa.Table) -> pa.Table:
-        shard, me = _shard(table.select(["__id", "__raw"]), length), table.column("__to")[0].as_py()
-        bounds = shard.parts(parts)
-        return _messages([(p, me, 0, _pack(shard.keys[a:b], shard.sums[a:b], shard.least[a:b])) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if a < b])
+        shard, me = _shard(table.select(["id", "raw"]), length, hot), table.column("to")[0].as_py()
+        part, bounds = parts_of(shard.keys, parts)
+        return _messages([(p, me, 0, _pack(shard.keys[a:b], shard.sums[a:b], shard.least[a:b])) for p, a, b in zip(part.tolist(), bounds[:-1], bounds[1:], strict=True)])
 
     def answer(table: pa.Table) -> pa.Table:
-        me, senders = table.column("__to")[0].as_py(), table.column("__from").to_pylist()
-        got = [_unpack(b) for b in table.column("__blob").to_pylist()]
+        me, senders = table.column("to")[0].as_py(), table.column("sender").to_pylist()
+        got = [_unpack(b) for b in table.column("blob").to_pylist()]
         keys, sums, ids = (np.concatenate([g[k] for g in got]) for k in range(3))
         sender, nth = np.repeat(np.arange(len(got)), [len(g[0]) for g in got]), np.concatenate([np.arange(len(g[0])) for g in got])
         order = np.lexsort((sums, keys))
@@ -385,23 +447,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def send(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _messages([])
-        shard, me = _shard(table.select(["__id", "__raw"]), length), table.column("__to")[0].as_py()
+        shard, me = _shard(table.select(["id", "raw"]), length, hot), table.column("to")[0].as_py()
         least, mixed, _ = _found(shard, answers, parts)
         first = np.full(len(least), -1, dtype=np.int64)
         mine = np.flatnonzero(mixed[shard.kind] & (shard.ids[shard.doc] == least[shard.kind]))
         first[shard.kind[mine][::-1]] = mine[::-1]
         kinds = np.flatnonzero(first >= 0)
         runs, out = first[kinds], []
-        bounds = np.searchsorted(kinds, shard.parts(parts))
-        for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-            if a < b:
-                begin, size = shard.start[runs[a:b]], shard.windows[runs[a:b]] + length - 1
-                text = b"".join([shard.raw[s : s + n] for s, n in zip(begin.tolist(), size.tolist(), strict=True)])
-                out.append((p, me, 0, _pack(kinds[a:b], shard.keys[kinds[a:b]], least[kinds[a:b]], size, np.frombuffer(text, dtype=np.uint8))))
+        part, bounds = parts_of(shard.keys[kinds], parts)
+        for p, a, b in zip(part.tolist(), bounds[:-1], bounds[1:], strict=True):
+            begin, size = shard.start[runs[a:b]], shard.windows[runs[a:b]] + length - 1
+            text = b"".join([shard.raw[s : s + n] for s, n in zip(begin.tolist(), size.tolist(), strict=True)])
+            out.append((p, me, 0, _pack(kinds[a:b], shard.keys[kinds[a:b]], least[kinds[a:b]], size, np.frombuffer(text, dtype=np.uint8))))
         return _messages(out)
 
     def index(table: pa.Table) -> pa.Table:
-        me, senders, got = table.column("__to")[0].as_py(), table.column("__from").to_pylist(), [_unpack(b) for b in table.column("__blob").to_pylist()]
+        me, senders, got = table.column("to")[0].as_py(), table.column("sender").to_pylist(), [_unpack(b) for b in table.column("blob").to_pylist()]
         kinds, keys, owners, sizes, raw = (np.concatenate([g[k] for g in got]) for k in range(5))
         raw, ends = raw.tobytes(), np.cumsum(sizes)
         sender = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
@@ -414,15 +475,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 hits[sender[i]] += [(kinds[i], a, b) for a, b in zip(edge[::2], edge[1::2], strict=True)]
         return _messages([(senders[i], me, 1, _pack(*np.array(h, dtype=np.int64).T.copy())) for i, h in enumerate(hits) if h])
 
-    fields = {f.name: f for f in docs.schema.fields}
-    result = ", ".join([f"`{c}` {fields[c].dataType.simpleString()}" for c in carried] + ["removed_spans array<struct<start:bigint,end:bigint>>", "kept_bytes binary"])
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    result = T.StructType([own.schema["row"], T.StructField("text", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
-        names = [*carried, "removed_spans", "kept_bytes"]
         if not table.num_rows:
-            return pa.table({c: pa.array([], type=pa.string() if c == text_col else table.schema.field(c).type if c in table.schema.names else span_type if c == "removed_spans" else pa.binary()) for c in names})
-        shard = _shard(table.select(["__id", "__raw"]), length)
+            return pa.table({"row": pa.array([], type=table.schema.field("row").type), "text": pa.array([], type=pa.string()), "spans": pa.array([], type=span_type), "kept": pa.array([], type=pa.binary())})
+        shard = _shard(table.select(["id", "raw"]), length, hot)
         least, _, marked = _found(shard, answers, parts)
         later = np.flatnonzero(shard.ids[shard.doc] > least[shard.kind])
         begin, end = [shard.start[later]], [shard.start[later] + shard.windows[later] + length - 1]
@@ -450,14 +509,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             else:
                 spans.append([])
                 kept.append(shard.raw[a:b])
-        own = {"removed_spans": pa.array(spans, type=span_type), "kept_bytes": pa.array(kept, type=pa.binary()), text_col: pa.array(table.column("__raw").to_pylist(), type=pa.binary()).cast(pa.string())}
-        return _tidy(pa.table({c: own[c] if c in own else table.column(c) for c in names}))
-
-    asked = own.select("__to", "__id", "__raw", *(c for c in own.columns[3:])).groupBy("__to").applyInArrow(ask, _MESSAGE)
-    answers = asked.groupBy("__to").applyInArrow(answer, _MESSAGE)
-    sent = own.groupBy("__to").cogroup(answers.groupBy("__to")).applyInArrow(send, _MESSAGE)
-    hits = sent.groupBy("__to").applyInArrow(index, _MESSAGE)
-    return own.groupBy("__to").cogroup(answers.unionByName(hits).groupBy("__to")).applyInArrow(cut, result)
+        texts = pa.array(table.column("raw").to_pylist(), type=pa.binary()).cast(pa.string())
+        return _tidy(pa.table({"row": table.column("row"), "text": texts, "spans": pa.array(spans, type=span_type), "kept": pa.array(kept, type=pa.binary())}))
+
+    asked = own.select(*own.columns).groupBy("to").applyInArrow(ask, _MESSAGE)
+    answers = asked.groupBy("to").applyInArrow(answer, _MESSAGE)
+    sent = own.groupBy("to").cogroup(answers.groupBy("to")).applyInArrow(send, _MESSAGE)
+    hits = sent.groupBy("to").applyInArrow(index, _MESSAGE)
+    found = own.groupBy("to").cogroup(answers.unionByName(hits).groupBy("to")).applyInArrow(cut, result)
+    columns = [F.col("text").alias(text_col) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in carried]
+    return found.select(*columns, F.col("spans").alias("removed_spans"), F.col("kept").alias("kept_bytes"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:

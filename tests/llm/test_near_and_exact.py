@@ -120,12 +120,73 @@ def test_suffix_ids_that_repeat_or_lack(spark):
     assert suffix.repeated_spans(docs_of(spark, [])).count() == 0
 
 
-def test_large_groups_need_no_index():
+def slow_earlier(texts, owners, length=50):
+    return [np.array([any(o < owner and t[p : p + length] in u for u, o in zip(texts, owners, strict=True)) for p in range(len(t) - length + 1)]) for t, owner in zip(texts, owners, strict=True)]
+
+
+@pytest.mark.parametrize("index_bytes", [1 << 20, 700, 64])
+def test_groups_are_indexed_in_pieces(index_bytes):
     rng = random.Random(3)
-    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(50, 90))) for _ in range(40)] * 2
-    owners, groups = np.arange(80, dtype=np.int64), np.zeros(80, dtype=np.uint64)
-    small, large = (suffix.earlier_windows(groups, texts, owners, index_bytes=n) for n in (1 << 20, 64))
-    assert all(np.array_equal(a, b) for a, b in zip(small, large, strict=True))
+    base = bytes(rng.choice(b"ab") for _ in range(200))
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(50, 90))) for _ in range(30)]
+    texts += [base[a : a + rng.randrange(50, 120)] + bytes(rng.choice(b"ab") for _ in range(rng.randrange(9))) for a in range(0, 130, 5)] + texts[:7]
+    owners, groups = np.arange(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.uint64)
+    got = suffix.earlier_windows(groups, texts, owners, index_bytes=index_bytes)
+    assert all(np.array_equal(a, b) for a, b in zip(got, slow_earlier(texts, owners), strict=True))
+
+
+def test_one_group_of_many_pieces():
+    rng = random.Random(4)
+    shared = [bytes(rng.choice(b"abcdefgh ") for _ in range(60)) for _ in range(300)]
+    texts = [rng.choice(shared) + bytes(rng.choice(b"abcdefgh ") for _ in range(10)) for _ in range(12_000)]
+    owners = np.arange(len(texts), dtype=np.int64)
+    got = suffix.earlier_windows(np.zeros(len(texts), dtype=np.uint64), texts, owners, index_bytes=1 << 17)
+    first, want = {}, []
+    for o, t in enumerate(texts):
+        want.append(np.array([first.setdefault(t[p : p + 50], o) < o for p in range(len(t) - 49)]))
+    assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+
+
+def test_index_is_small_for_repetitive_texts():
+    rng = random.Random(5)
+    base = bytes(rng.choice(b"abcdefgh ") for _ in range(4000))
+    texts = [base[:k] + b"!" + base[k:] for k in range(1000, 3000, 20)]
+    index = suffix.RunIndex(texts, np.arange(len(texts)))
+    held = sum(v.size for v in vars(index).values() if isinstance(v, np.ndarray))
+    assert held < index.n / 2  # no array has an entry for each byte
+    assert np.array_equal(index.owners[np.searchsorted(index.ends, index.sample, side="right")], index.owner(index.sample))
+
+
+def test_hot_hashes_are_dealt_again(spark, monkeypatch):
+    rng = random.Random(6)
+    line = "this line is in a great many texts, word for word, and again"
+    word = lambda n: "".join(rng.choice("abcé ") for _ in range(n))
+    texts = [(k if k % 9 else None, word(rng.randrange(80)) + line + word(rng.randrange(80))) for k in range(1, 120)]
+    monkeypatch.setattr(suffix, "HOT_RUNS", 20)
+    docs = docs_of(spark, texts)
+    hot = suffix.hot_keys(docs, "text", 50)
+    shards = [suffix.Shard(np.zeros(119, dtype=np.int64), [t.encode() for _, t in texts], hot=h) for h in (None, hot)]
+    assert len(hot) and len(shards[1].keys) > len(shards[0].keys)
+    got = suffix.repeated_spans(docs, shard_bytes=2000).collect()
+    want = slow_spans([(i if i else 10_000, (t or "").encode()) for i, t in texts if i])
+    assert {r.doc_id: len(r.kept_bytes) for r in got if r.doc_id} == {i: w[0] - w[1] for i, w in want.items()}
+    named = [t.encode() for i, t in texts if i]
+    seen = {t[p : p + 50] for t in named for p in range(len(t) - 49)}
+    for r in got:
+        if r.doc_id is None:
+            raw, gone = r.text.encode(), np.zeros(len(r.text.encode()), dtype=bool)
+            for p in range(len(raw) - 49):
+                gone[p : p + 50] |= raw[p : p + 50] in seen
+            assert len(r.kept_bytes) == int((~gone).sum())
+
+
+def test_messages_grow_with_runs_not_ranges():
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 50, dtype=np.uint64) * np.uint64(2))
+    part, bounds = suffix.parts_of(keys, 10**9)
+    assert len(part) <= 50 and bounds[0] == 0 and bounds[-1] == 50
+    part, bounds = suffix.parts_of(keys, 4)
+    assert part.tolist() == [0, 1, 2, 3] and all(int(k) >> 62 == p for p, a, b in zip(part, bounds[:-1], bounds[1:], strict=True) for k in keys[a:b])
+    assert suffix.parts_of(keys[:0], 4)[1].tolist() == [0]
 
 
 def test_index_streams_other_texts():
