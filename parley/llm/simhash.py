@@ -9,7 +9,7 @@ is lost. Tiles of more than `tile_rows` fingerprints are split, so that no task
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -101,24 +101,31 @@ def tile_links(home: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np.
     as many links as it has members.
     """
     nodes = np.concatenate([home, visitors])
-    n, held, count = len(nodes), [], 0
-    block = max(1, (4 << 20) // max(1, n))
-    for at in range(0, len(home), block):
-        near = np.bitwise_count(home[at : at + block, None] ^ nodes[None, :]) <= radius
-        i, j = np.nonzero(near)
-        i += at
-        keep = i < j
-        held.append((i[keep], j[keep]))
-        count += int(keep.sum())
+    block = max(1, (4 << 20) // max(1, len(nodes)))
+
+    def near() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in range(0, len(home), block):
+            i, j = np.nonzero(np.bitwise_count(home[at : at + block, None] ^ nodes[None, :]) <= radius)
+            keep = i + at < j
+            yield i[keep] + at, j[keep]
+
+    i, j = spanning(len(nodes), near())
+    return nodes[j], nodes[i]
+
+
+def spanning(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): of n nodes, the smallest that each reaches over the pairs, and the node, where those differ."""
+    held, count = [], 0
+    for i, j in pairs:
+        held.append((i, j))
+        count += len(i)
         if count > 4 * n + (1 << 20):
             root = _contract(n, *map(np.concatenate, zip(*held, strict=True)))
             own = np.flatnonzero(root != np.arange(n))
             held, count = [(root[own], own)], len(own)
-    if not count:
-        return nodes[:0], nodes[:0]
-    root = _contract(n, *map(np.concatenate, zip(*held, strict=True)))
+    root = _contract(n, *map(np.concatenate, zip(*held, strict=True))) if count else np.arange(n)
     own = np.flatnonzero(root != np.arange(n))
-    return nodes[own], nodes[root[own]]
+    return root[own], own
 
 
 def tile_pairs(prints: np.ndarray, radius: int, tile: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
