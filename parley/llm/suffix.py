@@ -17,9 +17,6 @@ says that very many runs would meet under one hash, the next least hash deals th
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parley.llm import scratch
+
 LENGTH, GRAM = 50, 20
 SHARD_BYTES = 2 << 20
 #: Windows in a run at most; text in one index at most, but for a single text.
-RUN_WINDOWS, INDEX_BYTES = 64, 1 << 20
+RUN_WINDOWS, INDEX_BYTES = 64, 1 << 19
 #: Runs under one hash beyond which the next least hash deals them again; rows sampled to find such hashes (a ten-thousandth
 #: of all, if that is more), sampled runs that it takes, and hashes known at most. They bear on speed only.
 HOT_RUNS, SAMPLE_ROWS, SAMPLE_LEAST, HOT_KEYS = 8192, 2000, 8, 50_000
@@ -348,16 +347,8 @@ _MESSAGE = "to int, sender int, what int, blob binary"
 _ARROW = pa.schema([("to", pa.int32()), ("sender", pa.int32()), ("what", pa.int32()), ("blob", pa.binary())])
 
 
-def _tidy(table: pa.Table) -> pa.Table:
-    """The table, after what the process no longer uses has gone back to the machine."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # not every C library can
-        ctypes.CDLL(None).malloc_trim(0)
-    return table
-
-
 def _messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
-    return _tidy(pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, _ARROW, strict=True)], schema=_ARROW))
+    return scratch.tidy(pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, _ARROW, strict=True)], schema=_ARROW))
 
 
 def _shard(table: pa.Table, length: int, hot: np.ndarray) -> Shard:
@@ -403,16 +394,23 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     others. Rows that share an id don't match each other, nor do rows without one. The result of a row depends on the input's
     texts alone, not on what else is removed. No rows give no rows. Columns of `docs` may have any names, but for those two.
     """
+    carried = [c for c in docs.columns if c not in ("removed_spans", "kept_bytes")]
+    found = _cut(docs.select(*(F.col(f"`{c}`") for c in carried)), id_col, text_col, length, shard_bytes)
+    columns = [F.col("text").alias(text_col) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in carried]
+    return found.select(*columns, F.col("spans").alias("removed_spans"), F.col("kept").alias("kept_bytes"))
+
+
+def _cut(docs: DataFrame, id_col: str, text_col: str, length: int, shard_bytes: int) -> DataFrame:
+    """(row, text, spans, kept, rest): all other columns as one, the text, what goes and stays of it, and that as whole characters (null: all)."""
     if length < GRAM + 8:
         raise ValueError(f"length must be {GRAM + 8} or more")
-    carried = [c for c in docs.columns if c not in ("removed_spans", "kept_bytes")]
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     parts = max(1, -(-total // (3 * shard_bytes)))
     hot = hot_keys(docs, text_col, length)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(int(_NO_ID)))
     dealt = F.pmod(F.xxhash64(key, F.when(F.col(id_col).isNull(), F.col(text_col))), F.lit(shards)).cast("int")
-    others = F.struct(*(F.col(f"`{c}`") for c in carried if c != text_col), F.lit(True).alias("text" if text_col != "text" else "none"))
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col), F.lit(True).alias("text" if text_col != "text" else "none"))
     own = docs.select(dealt.alias("to"), key.alias("id"), F.col(text_col).cast("binary").alias("raw"), others.alias("row"))
 
     def ask(table: pa.Table) -> pa.Table:
@@ -476,11 +474,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _messages([(senders[i], me, 1, _pack(*np.array(h, dtype=np.int64).T.copy())) for i, h in enumerate(hits) if h])
 
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    result = T.StructType([own.schema["row"], T.StructField("text", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
+    result = T.StructType([own.schema["row"], T.StructField("text", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType()), T.StructField("rest", T.StringType())])
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table({"row": pa.array([], type=table.schema.field("row").type), "text": pa.array([], type=pa.string()), "spans": pa.array([], type=span_type), "kept": pa.array([], type=pa.binary())})
+            return pa.table({"row": pa.array([], type=table.schema.field("row").type), "text": pa.array([], type=pa.string()), "spans": pa.array([], type=span_type), "kept": pa.array([], type=pa.binary()), "rest": pa.array([], type=pa.string())})
         shard = _shard(table.select(["id", "raw"]), length, hot)
         least, _, marked = _found(shard, answers, parts)
         later = np.flatnonzero(shard.ids[shard.doc] > least[shard.kind])
@@ -509,16 +507,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             else:
                 spans.append([])
                 kept.append(shard.raw[a:b])
-        texts = pa.array(table.column("raw").to_pylist(), type=pa.binary()).cast(pa.string())
-        return _tidy(pa.table({"row": table.column("row"), "text": texts, "spans": pa.array(spans, type=span_type), "kept": pa.array(kept, type=pa.binary())}))
+        texts = table.column("raw").cast(pa.string())
+        rest = [k.decode("utf-8", "ignore") if s else None for k, s in zip(kept, spans, strict=True)]  # null: as it was
+        return scratch.tidy(pa.table({"row": table.column("row"), "text": texts, "spans": pa.array(spans, type=span_type), "kept": pa.array(kept, type=pa.binary()), "rest": pa.array(rest, type=pa.string())}))
 
     asked = own.select(*own.columns).groupBy("to").applyInArrow(ask, _MESSAGE)
     answers = asked.groupBy("to").applyInArrow(answer, _MESSAGE)
     sent = own.groupBy("to").cogroup(answers.groupBy("to")).applyInArrow(send, _MESSAGE)
     hits = sent.groupBy("to").applyInArrow(index, _MESSAGE)
-    found = own.groupBy("to").cogroup(answers.unionByName(hits).groupBy("to")).applyInArrow(cut, result)
-    columns = [F.col("text").alias(text_col) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in carried]
-    return found.select(*columns, F.col("spans").alias("removed_spans"), F.col("kept").alias("kept_bytes"))
+    return own.groupBy("to").cogroup(answers.unionByName(hits).groupBy("to")).applyInArrow(cut, result)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -526,14 +523,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A null text stays null, and `n_chars`, if there is one, follows the text.
     """
-    found = repeated_spans(docs, id_col, text_col, length)
-
-    @F.pandas_udf("string")
-    def decode(kept):
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    text = F.when(F.col(text_col).isNull(), None).when(F.size("removed_spans") == 0, F.col(text_col)).otherwise(decode("kept_bytes"))
-    out = found.withColumn(text_col, text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length(text_col).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(docs.columns)
+    found = _cut(docs, id_col, text_col, length, SHARD_BYTES)
+    text = F.coalesce("rest", "text")
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns if c != text_col} | {text_col: text}
+    if "n_chars" in docs.columns and text_col != "n_chars":
+        columns["n_chars"] = F.char_length(text).cast(dict(docs.dtypes)["n_chars"])
+    return found.select(*(columns[c].alias(c) for c in docs.columns))
