@@ -33,5 +33,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         seen = state
     else:
         raise RuntimeError(f"no end after {max_rounds} rounds")
+    scratch.sweep(links.sparkSession)
     star = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return star.unionByName(star.select(F.col("root").alias("node"), "root").distinct())

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -58,3 +59,10 @@ def tidy(result=None):
     with contextlib.suppress(OSError, AttributeError):  # not every C library can
         ctypes.CDLL(None).malloc_trim(0)
     return result
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let go of plans, broadcasts and shuffle files of steps that are done, on the driver and, through it, on executors."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    tidy()

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm import scratch
+
 ORDERS = (4, 5, 6)
 BITS = 18
 #: At most so many labelled texts of each class train a model, and so many features stay in it.
@@ -97,7 +99,10 @@ def fit(texts: list[str], labels: np.ndarray, max_features: int = MAX_FEATURES,
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_per_class: int = MAX_PER_CLASS) -> Model:
-    """Fit on the labelled texts outside the held-out fold: at most `max_per_class` of each class, those of least id hash."""
+    """Fit on the labelled texts outside the held-out fold: at most `max_per_class` of each class, those of least id hash.
+
+    Of rows that share an id, that of the least text hash counts; of labels that do, a toxic one.
+    """
     fold = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(FOLDS))
     own = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     own = own.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) != HELD_OUT).groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -107,8 +112,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     first = [own.where((F.col("y") == y) & (place < 4.0 * max_per_class / sizes.get(y, 1))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class) for y in (0, 1)]
     chosen = F.broadcast(first[0].unionByName(first[1]))  # 2 * max_per_class rows at most
     texts = docs.where(fold != HELD_OUT).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = texts.join(chosen, "doc_id").select("doc_id", "text", "y").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return fit([r.text or "" for r in rows], np.array([r.y for r in rows]))
+    rows = texts.join(chosen, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "y"), F.xxhash64("text")).alias("r")).select("doc_id", "r.*").orderBy("doc_id").collect()
+    model = fit([r.text or "" for r in rows], np.array([r.y for r in rows]))
+    del rows
+    scratch.sweep(docs.sparkSession)
+    return model
 
 
 def score_column(docs: DataFrame, model: Model):
