@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def strip_fence(text: Column) -> Column:
@@ -18,13 +22,20 @@ def plain_punctuation(text: Column) -> Column:
     return F.regexp_replace(F.replace(straight, F.lit("…"), F.lit("...")), r"^-+", "")
 
 
+@F.pandas_udf(StringType())
+def _unescape(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
 def strip_html(text: Column) -> Column:
-    """Text of markup: scripts, styles, comments and tags go, the five XML entities and nbsp are read, spaces collapse."""
-    out = F.regexp_replace(text, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    out = F.regexp_replace(F.regexp_replace(out, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]+>", " ")
-    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(sign))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    """Text of markup: scripts, styles and comments vanish, tags become blanks, entities are read, white space collapses.
+
+    Only texts that hold an ampersand once tags are gone leave the JVM, for it knows no named entities.
+    """
+    out = F.regexp_replace(text, r"(?is)<(script|style)\b.*?>.*?</\1>", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"(?s)<!--.*?-->", ""), r"<[^>]+>", " ")
+    out = F.when(out.contains("&"), _unescape(F.when(out.contains("&"), out))).otherwise(out)
+    return F.trim(F.regexp_replace(out, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def last_number(text: Column) -> Column:

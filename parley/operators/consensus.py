@@ -31,12 +31,6 @@ def consensus_labels(ratings: DataFrame, alpha: float = 1.0) -> DataFrame:
     return out.select(*ITEM, F.col("n").alias("n_raters"), hard.alias("y_hard"), F.round(1 - entropy / F.ln(F.lit(4.0)), 6).alias("w_conf"), F.round(sum(k * F.col(f"p{k}") for k in LEVELS), 6).alias("y_cont"), *(F.round(f"p{k}", 6).alias(f"p{k}") for k in LEVELS), "lo", "hi", *masks)
 
 
-def kappa_fixed(x, y):
-    """Quadratic weighted kappa on the fixed levels, from moments; null where chance disagreement is zero."""
-    chance = F.var_pop(x) + F.var_pop(y) + F.pow(F.avg(x) - F.avg(y), 2)
-    return F.lit(1.0) - F.try_divide(F.avg(F.pow(x - y, 2)), chance)
-
-
 def rater_pairs(ratings: DataFrame, *by: str) -> DataFrame:
     """Ratings of two raters of one item, each pair once; the items' key spreads the join."""
     a = ratings.select(*ITEM, F.col("rater_id").alias("ra"), F.col("rating").alias("x"))
@@ -44,30 +38,6 @@ def rater_pairs(ratings: DataFrame, *by: str) -> DataFrame:
     return a.join(b, list(ITEM)).where("ra < rb")
 
 
-def outlier_report(ratings: DataFrame, least: float = 0.3, slack: float = 0.5, overlap: int = 3) -> DataFrame:
-    """(conv_id, rater_id, mean_qwk, n_pairs, dropped) by conversation.
-
-    A rater goes whose mean pairwise kappa is below `least`, or whose mean over one aspect is `slack` lower still; one
-    without a kappa stays. Should fewer than two stay, the best two do, by mean, pairs and id.
-    """
-    pairs = rater_pairs(ratings).groupBy("conv_id", "aspect", "ra", "rb").agg(F.count("*").alias("shared"), kappa_fixed(F.col("x"), F.col("y")).alias("k")).where(F.col("shared") >= overlap)
-    each = pairs.select("conv_id", "aspect", "k", F.explode(F.array("ra", "rb")).alias("rater_id"))
-    by_aspect = each.groupBy("conv_id", "rater_id", "aspect").agg(F.avg("k").alias("m"), F.sum("k").alias("s"), F.count("k").alias("c"))
-    scores = by_aspect.groupBy("conv_id", "rater_id").agg(F.try_divide(F.sum("s"), F.sum("c")).alias("mean_qwk"), F.sum("c").alias("n_pairs"), F.min("m").alias("worst"))
-    raters = ratings.select("conv_id", "rater_id").distinct().join(scores, ["conv_id", "rater_id"], "left")
-    low = F.coalesce((F.round("mean_qwk", 6) < least) | (F.round("worst", 6) < least - slack), F.lit(False))
-    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.round("mean_qwk", 6).desc_nulls_last(), F.coalesce("n_pairs", F.lit(0)).desc(), "rater_id"))
-    marked = raters.select("*", low.alias("low"), rank.alias("rank")).withColumn("stay", F.sum(F.when(F.col("low"), 0).otherwise(1)).over(Window.partitionBy("conv_id")))
-    dropped = F.when(F.col("stay") < 2, F.col("rank") > 2).otherwise(F.col("low"))
-    return marked.select("conv_id", "rater_id", F.round("mean_qwk", 6).alias("mean_qwk"), F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), dropped.alias("dropped"))
-
-
-def final_labels(ratings: DataFrame) -> DataFrame:
-    """Consensus labels without the raters that the outlier report drops."""
-    gone = outlier_report(ratings).where("dropped").select("conv_id", "rater_id")
-    return consensus_labels(ratings.join(gone, ["conv_id", "rater_id"], "left_anti"), 0.0)
-
-
 def alpha(ratings: DataFrame, *by: str) -> DataFrame:
     """Krippendorff's alpha by group for interval and nominal distance, from level counts of items with two ratings or more."""
     items = _counts(ratings, *ITEM).where("n >= 2")
@@ -88,28 +58,32 @@ def alpha(ratings: DataFrame, *by: str) -> DataFrame:
 
 
 def centre(ratings: DataFrame) -> DataFrame:
-    """Ratings as z-scores of their rater, rescaled to the aspect's mean and deviation, rounded half to even, clipped."""
-    rater, aspect = Window.partitionBy("aspect", "rater_id"), Window.partitionBy("aspect")
-    sd = lambda w: F.coalesce(F.nullif(F.stddev_pop("rating").over(w), F.lit(0.0)), F.lit(1.0))
-    z = (F.col("rating") - F.avg("rating").over(rater)) / sd(rater)
-    moved = F.round(z * F.stddev_pop("rating").over(aspect) + F.avg("rating").over(aspect), 6)
-    return ratings.select(*ITEM, "rater_id", "rating", F.least(F.lit(4), F.greatest(F.lit(1), F.bround(moved, 0).cast("int"))).alias("calibrated"))
+    """Ratings as z-scores of their rater, rescaled to the aspect's mean and deviation, rounded half to even, clipped.
+
+    Moments are aggregated, a row per rater and aspect, and joined back, so that no task holds an aspect.
+    """
+    moments = lambda name: [F.avg("rating").alias(f"{name}_mean"), F.stddev_pop("rating").alias(f"{name}_sd")]
+    own, all_ = ratings.groupBy("aspect", "rater_id").agg(*moments("own")), ratings.groupBy("aspect").agg(*moments("all"))
+    z = (F.col("rating") - F.col("own_mean")) / F.coalesce(F.nullif("own_sd", F.lit(0.0)), F.lit(1.0))
+    moved = F.round(z * F.coalesce(F.nullif("all_sd", F.lit(0.0)), F.lit(1.0)) + F.col("all_mean"), 6)
+    joined = ratings.join(own.join(all_, "aspect"), ["aspect", "rater_id"])
+    return joined.select(*ITEM, "rater_id", "rating", F.least(F.lit(4), F.greatest(F.lit(1), F.bround(moved, 0).cast("int"))).alias("calibrated"))
 
 
-def link_quantiles(ratings: DataFrame) -> DataFrame:
+def link_quantiles(ratings: DataFrame, *within: str) -> DataFrame:
     """Each rater's levels moved to the level of the aspect whose cumulative share is nearest, never downwards.
 
-    Works on level counts, a row per rater and aspect; joining the map back needs no shuffle of its own.
+    Shares are those `within` columns and aspect. Works on level counts, a row per rater and aspect.
     """
-    cdf = lambda by: [F.round(sum(F.col(f"c{j}") for j in LEVELS if j <= k) / F.col("n"), 9).alias(f"f{k}") for k in LEVELS]
-    own = _counts(ratings, "aspect", "rater_id").select("aspect", "rater_id", *cdf(None))
-    all_ = _counts(ratings, "aspect").select("aspect", F.array(*cdf(None)).alias("g"))
+    group = [*within, "aspect"]
+    cdf = [F.round(sum(F.col(f"c{j}") for j in LEVELS if j <= k) / F.col("n"), 9).alias(f"f{k}") for k in LEVELS]
+    own = _counts(ratings, *group, "rater_id").select(*group, "rater_id", *cdf)
+    all_ = _counts(ratings, *group).select(*group, F.array(*cdf).alias("g"))
     near = lambda k: F.expr(f"array_min(transform(g, (v, i) -> named_struct('d', round(abs(v - f{k}), 9), 'k', i + 1))).k")
-    out = own.join(F.broadcast(all_), "aspect")
     steps = [near(k) for k in LEVELS]
-    out = out.select("aspect", "rater_id", *(F.greatest(*steps[: k], F.lit(1)).alias(f"to{k}") for k in LEVELS))
+    out = own.join(all_, group).select(*group, "rater_id", *(F.greatest(*steps[:k], F.lit(1)).alias(f"to{k}") for k in LEVELS))
     to = F.coalesce(*(F.when(F.col("rating") == k, F.col(f"to{k}")) for k in LEVELS))
-    return ratings.join(F.broadcast(out), ["aspect", "rater_id"]).select(*ITEM, "rater_id", "rating", to.cast("int").alias("calibrated"))
+    return ratings.join(out, [*group, "rater_id"]).select(*ITEM, "rater_id", "rating", to.cast("int").alias("calibrated"))
 
 
 def leave_one_out(ratings: DataFrame) -> DataFrame:
@@ -128,14 +102,6 @@ def human_range(ratings: DataFrame) -> DataFrame:
     return leave_one_out(ratings).groupBy("aspect").agg(F.round(F.avg("mae"), 5).alias("mean_mae"), F.round(F.stddev_pop("mae"), 5).alias("sd_mae"), F.count("*").alias("n_raters"))
 
 
-def pairwise_baselines(ratings: DataFrame, overlap: int = 3) -> DataFrame:
-    """Agreement of pairs of raters with enough shared items, averaged over pairs by aspect."""
-    same = F.avg((F.col("x") == F.col("y")).cast("int"))
-    pairs = rater_pairs(ratings).groupBy("aspect", "ra", "rb").agg(F.count("*").alias("shared"), kappa_fixed(F.col("x"), F.col("y")).alias("k"), same.alias("acc"), F.avg(F.abs(F.col("x") - F.col("y"))).alias("mae"))
-    pairs = pairs.where(F.col("shared") >= overlap)
-    return pairs.groupBy("aspect").agg(F.round(F.avg("k"), 6).alias("qwk"), F.round(F.avg("acc"), 6).alias("accuracy"), F.round(F.avg("mae"), 6).alias("mae"), F.count("*").alias("n_pairs"))
-
-
 def majority(ratings: DataFrame, least: int = 2) -> DataFrame:
     """The most frequent level of items with `least` raters or more; items whose top two levels tie are left out."""
     out = _counts(ratings, *ITEM).where(F.col("n") >= least).withColumn("most", F.greatest(*(f"c{k}" for k in LEVELS)))

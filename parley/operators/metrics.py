@@ -98,9 +98,9 @@ def _span(values: DataFrame, deviation) -> DataFrame:
 
 
 def human_kappa_range(ratings: DataFrame) -> DataFrame:
-    """By aspect, the range of raters' kappa against the other raters' label, with the population deviation."""
+    """By aspect, the range of raters' kappa against the other raters' label (levels that occur), with the population deviation."""
     pairs = others_label(ratings).select("aspect", "rater_id", F.col("label").alias("x"), F.col("rating").alias("y"))
-    return _span(scores(pairs, "aspect", "rater_id").withColumnRenamed("kappa_fixed", "k").groupBy("aspect"), F.stddev_pop)
+    return _span(scores(pairs, "aspect", "rater_id").withColumnRenamed("kappa_present", "k").groupBy("aspect"), F.stddev_pop)
 
 
 def model_kappa_range(predictions: DataFrame, ratings: DataFrame) -> DataFrame:

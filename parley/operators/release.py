@@ -45,7 +45,7 @@ def vector_top_k(memories: DataFrame, k: int = 5, every: int = 20) -> DataFrame:
 
 
 def resolve_updates(updates: DataFrame) -> DataFrame:
-    """Of several updates of one target the last stands; other actions all do."""
+    """Of several updates of one target the last stands, and none without a target; all other actions do, a null one too."""
     last = F.row_number().over(Window.partitionBy("conv_id", "target", "action").orderBy(F.desc("pos")))
-    marked = updates.withColumn("rn", last)
-    return marked.where("action <> 'UPDATE' OR rn = 1").drop("rn")
+    stands = ~F.col("action").eqNullSafe("UPDATE") | (F.col("target").isNotNull() & (F.col("rn") == 1))
+    return updates.withColumn("rn", last).where(stands).drop("rn")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Reading speed, and roles that no rater is asked about.
 WORDS_PER_MINUTE, LEAST_SECONDS = 238.0, 3.0
-MODERATORS = ("mod", "moderator", "audience", "host", "unknown", "system")
+MODERATORS = ("mod", "moderator", "audience", "host", "unknown")
 
 
 def terms(utterances: DataFrame) -> DataFrame:
@@ -38,28 +39,49 @@ def novelty(utterances: DataFrame) -> DataFrame:
     return out.select("conv_id", "idx", "distinct_terms", "novel", (F.col("seen_through") - F.col("novel")).alias("seen_before"), "seen_through", F.round(F.coalesce(F.try_divide(F.col("novel"), F.col("distinct_terms")), F.lit(0.0)), 6).alias("novelty_ratio"))
 
 
-def context(utterances: DataFrame, k: int = 3, width: int | None = None) -> DataFrame:
-    """The `k` utterances before each one as lines, oldest first; `No Context` before the first. `width` cuts each text."""
-    before = F.collect_list(F.concat_ws(": ", "role", F.substring("text", 1, width) if width else F.col("text"))).over(Window.partitionBy("conv_id").orderBy("idx").rowsBetween(-k, -1))
+def context(utterances: DataFrame, k: int | None = 3) -> DataFrame:
+    """The `k` utterances before each one (None: all) as lines, oldest first; `No Context` where there are none."""
+    if k == 0:
+        return utterances.select("conv_id", "idx", F.lit("No Context").alias("context"))
+    so_far = Window.partitionBy("conv_id").orderBy("idx").rowsBetween(Window.unboundedPreceding if k is None else -k, -1)
+    before = F.collect_list(F.concat_ws(": ", "role", "text")).over(so_far)
     return utterances.select("conv_id", "idx", F.when(F.size(before) == 0, "No Context").otherwise(F.array_join(before, "\n")).alias("context"))
 
 
-def skip_flags(utterances: DataFrame) -> DataFrame:
+def prior_history(utterances: DataFrame, budget: int = 300, most: int = 5) -> DataFrame:
+    """(conv_id, idx, n_shown, first_shown, seconds): the utterances before each one that its reader is shown.
+
+    From the one just before, back to `most`, as long as reading time is left after an utterance's own is taken off; the
+    first is always shown. Reading time is that of what stands between the line's first and second colon: of `role: text`,
+    the text up to its first colon.
+    """
+    words = F.size(F.filter(F.split(F.substring_index("text", ":", 1), r"\s+"), lambda w: w != ""))
+    seconds = F.floor(F.greatest(words / F.lit(WORDS_PER_MINUTE) * 60, F.lit(LEAST_SECONDS))).cast("long")
+    order = Window.partitionBy("conv_id").orderBy("idx")
+    # Newest first, `most` rows at most: each with the time up to and with it.
+    before = F.reverse(F.collect_list(F.struct("idx", "seconds")).over(order.rowsBetween(-most, -1)))
+    spent = lambda i: F.aggregate(F.slice("before", F.lit(1), i + 1), F.lit(0).cast("long"), lambda s, x: s + x["seconds"])
+    rows = utterances.select("conv_id", "idx", seconds.alias("seconds")).select("conv_id", "idx", before.alias("before"))
+    rows = rows.withColumn("fits", F.transform("before", lambda x, i: (i == 0) | (F.lit(budget) - spent(i) > 0)))
+    shown = F.coalesce(F.nullif(F.array_position("fits", False), F.lit(0)) - 1, F.size("before").cast("long"))
+    rows = rows.withColumn("shown", F.slice("before", F.lit(1), shown.cast("int")))
+    return rows.select("conv_id", "idx", F.size("shown").alias("n_shown"), F.try_element_at("shown", F.lit(-1))["idx"].alias("first_shown"), F.aggregate("shown", F.lit(0).cast("long"), lambda s, x: s + x["seconds"]).alias("seconds"))
+
+
+def skip_flags(utterances: DataFrame, roles: tuple[str, ...] = MODERATORS) -> DataFrame:
     """Whether a rater may skip an utterance, and whether it stands in the skipped run that opens its conversation."""
     n = F.size(F.split("text", " "))
-    skip = F.lower(F.trim("role")).isin(*MODERATORS) | (n <= 3) | ((n <= 5) & ~F.col("text").rlike("[.!?]$"))
+    skip = F.lower(F.trim("role")).isin(*roles) | (n <= 3) | ((n <= 5) & ~F.col("text").rlike("[.!?]$"))
     flagged = utterances.select("conv_id", "idx", n.alias("n_words"), F.coalesce(skip, F.lit(False)).alias("skip"))
     begun = F.max((~F.col("skip")).cast("int")).over(Window.partitionBy("conv_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
     return flagged.select("*", (begun == 0).alias("leading"))
 
 
 def reading_time(utterances: DataFrame) -> DataFrame:
-    """Whole seconds to read an utterance, three at least; and what is left of a 300-second history budget before it."""
+    """Whole seconds to read an utterance, three at least."""
     n = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
     seconds = F.floor(F.greatest(n / F.lit(WORDS_PER_MINUTE) * 60, F.lit(LEAST_SECONDS))).cast("long")
-    out = utterances.select("conv_id", "idx", seconds.alias("seconds"))
-    later = Window.partitionBy("conv_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
-    return out.select("*", (300 - F.coalesce(F.sum("seconds").over(later), F.lit(0))).alias("budget_left"))
+    return utterances.select("conv_id", "idx", seconds.alias("seconds"))
 
 
 def gini(utterances: DataFrame) -> DataFrame:

@@ -26,19 +26,7 @@ def _labels(source: str, alpha: float) -> str:
         FROM (SELECT *, greatest(c1, c2, c3, c4) AS most FROM (SELECT {ITEM}, {COUNTS}, median(rating) AS med, avg(rating) AS mean, min(rating) AS lo, max(rating) AS hi FROM {source} GROUP BY ALL))"""
 
 
-KAPPA = "1 - avg((x - y) ** 2) / nullif(var_pop(x) + var_pop(y) + (avg(x) - avg(y)) ** 2, 0)"
-PAIRS = f"SELECT a.conv_id, a.utterance_id, a.aspect, a.rater_id AS ra, b.rater_id AS rb, a.rating AS x, b.rating AS y FROM ratings a JOIN ratings b USING ({ITEM}) WHERE a.rater_id < b.rater_id"
-OUTLIERS = f"""(WITH k AS (SELECT conv_id, aspect, ra, rb, {KAPPA} AS k FROM ({PAIRS}) GROUP BY 1, 2, 3, 4 HAVING count(*) >= 3),
-    e AS (SELECT conv_id, aspect, k, ra AS rater_id FROM k UNION ALL SELECT conv_id, aspect, k, rb FROM k),
-    a AS (SELECT conv_id, rater_id, aspect, avg(k) AS m, sum(k) AS s, count(k) AS c FROM e GROUP BY 1, 2, 3),
-    r AS (SELECT conv_id, rater_id, sum(s) / nullif(sum(c), 0) AS mean_qwk, sum(c) AS n_pairs, min(m) AS worst FROM a GROUP BY 1, 2),
-    l AS (SELECT conv_id, rater_id, mean_qwk, coalesce(n_pairs, 0) AS n_pairs, coalesce(round(mean_qwk, 6) < 0.3 OR round(worst, 6) < -0.2, false) AS low,
-        row_number() OVER (PARTITION BY conv_id ORDER BY round(mean_qwk, 6) DESC NULLS LAST, coalesce(n_pairs, 0) DESC, rater_id) AS rk FROM (SELECT DISTINCT conv_id, rater_id FROM ratings) LEFT JOIN r USING (conv_id, rater_id))
-    SELECT conv_id, rater_id, round(mean_qwk, 6) AS mean_qwk, CAST(n_pairs AS BIGINT) AS n_pairs, CASE WHEN sum(CASE WHEN low THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id) < 2 THEN rk > 2 ELSE low END AS dropped FROM l)"""
-
 _rated("consensus_labels", consensus.consensus_labels, _labels("ratings", 1.0))
-_rated("outlier_report", consensus.outlier_report, f"SELECT * FROM {OUTLIERS}")
-_rated("final_labels", consensus.final_labels, _labels(f"(SELECT r.* FROM ratings r ANTI JOIN (SELECT * FROM {OUTLIERS} WHERE dropped) USING (conv_id, rater_id))", 0.0))
 
 _O = ", ".join(f"sum((c{i} * c{j} - {f'c{i}' if i == j else 0}) / (n - 1.0)) AS o{i}{j}" for i in range(1, 5) for j in range(1, 5))
 _M = ", ".join(f"{' + '.join(f'o{i}{j}' for j in range(1, 5))} AS m{i}" for i in range(1, 5))
@@ -62,7 +50,6 @@ _rated("calibrate_quantile", consensus.link_quantiles, f"""SELECT {ITEM}, rater_
 LOO = f"SELECT aspect, rater_id, round(avg(abs(e)), 6) AS mae, round(avg(e * e), 6) AS mse, count(*) AS n_items FROM (SELECT aspect, rater_id, rating - s / n AS e FROM (SELECT *, sum(rating) OVER w - rating AS s, count(*) OVER w - 1 AS n FROM ratings WINDOW w AS (PARTITION BY {ITEM})) WHERE n > 0) GROUP BY 1, 2"
 _rated("loo_scores", consensus.leave_one_out, LOO)
 _rated("human_range", consensus.human_range, f"SELECT aspect, round(avg(mae), 5) AS mean_mae, round(stddev_pop(mae), 5) AS sd_mae, count(*) AS n_raters FROM ({LOO}) GROUP BY 1")
-_rated("pairwise_baselines", consensus.pairwise_baselines, f"SELECT aspect, round(avg(k), 6) AS qwk, round(avg(acc), 6) AS accuracy, round(avg(mae), 6) AS mae, count(*) AS n_pairs FROM (SELECT aspect, ra, rb, {KAPPA} AS k, avg(CAST(x = y AS INT)) AS acc, avg(abs(x - y)) AS mae FROM ({PAIRS}) GROUP BY 1, 2, 3 HAVING count(*) >= 3) GROUP BY 1")
 MAJORITY = f"(SELECT {ITEM}, CASE WHEN c1 = most THEN 1 WHEN c2 = most THEN 2 WHEN c3 = most THEN 3 ELSE 4 END AS vote FROM (SELECT *, greatest(c1, c2, c3, c4) AS most FROM (SELECT {ITEM}, {COUNTS} FROM ratings GROUP BY ALL)) WHERE n >= 2 AND CAST(c1 = most AS INT) + CAST(c2 = most AS INT) + CAST(c3 = most AS INT) + CAST(c4 = most AS INT) = 1)"
 _rated("majority_vote", consensus.majority, f"SELECT * FROM {MAJORITY}")
 _rated("majority_confusion", consensus.confusion, f"SELECT aspect, vote, rating, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY aspect, vote), 6) AS share FROM ratings JOIN {MAJORITY} USING ({ITEM}) GROUP BY 1, 2, 3")
@@ -91,12 +78,14 @@ _said("novelty_features", text.novelty, f"""SELECT conv_id, idx, distinct_terms,
     SELECT *, CAST(sum(novel) OVER (PARTITION BY conv_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS seen_through FROM (
     SELECT conv_id, idx, coalesce(distinct_terms, 0) AS distinct_terms, coalesce(novel, 0) AS novel FROM utterances LEFT JOIN (SELECT conv_id, idx, count(*) AS distinct_terms FROM {TERMS} GROUP BY 1, 2) USING (conv_id, idx)
     LEFT JOIN (SELECT conv_id, idx, count(*) AS novel FROM (SELECT conv_id, term, min(idx) AS idx FROM {TERMS} GROUP BY 1, 2) GROUP BY 1, 2) USING (conv_id, idx)))""")
-_said("context_window", lambda u: text.context(u, width=40), "SELECT conv_id, idx, coalesce(string_agg(role || ': ' || substring(text, 1, 40), chr(10)) OVER (PARTITION BY conv_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 'No Context') AS context FROM utterances")
-_said("context_whole", lambda u: text.context(u).select("conv_id", "idx", F.length("context").alias("n_chars"), F.md5("context").alias("digest")),
-      "SELECT conv_id, idx, length(context) AS n_chars, md5(context) AS digest FROM (SELECT conv_id, idx, coalesce(string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 'No Context') AS context FROM utterances)")
+_LINES = "role || ': ' || text"
+_said("context_window", lambda u: text.context(u).select("conv_id", "idx", F.length("context").alias("n_chars"), F.md5("context").alias("digest")),
+      f"SELECT conv_id, idx, length(context) AS n_chars, md5(context) AS digest FROM (SELECT conv_id, idx, coalesce(string_agg({_LINES}, chr(10)) OVER (PARTITION BY conv_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 'No Context') AS context FROM utterances)")
+_said("context_modes", lambda u: text.context(u, None).select("conv_id", "idx", F.lit("all").alias("mode"), F.length("context").alias("n_chars"), F.md5("context").alias("digest")).unionByName(text.context(u, 0).select("conv_id", "idx", F.lit("none").alias("mode"), F.length("context").alias("n_chars"), F.md5("context").alias("digest"))),
+      f"SELECT conv_id, idx, mode, length(context) AS n_chars, md5(context) AS digest FROM (SELECT conv_id, idx, 'all' AS mode, coalesce(string_agg({_LINES}, chr(10)) OVER (PARTITION BY conv_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'No Context') AS context FROM utterances UNION ALL SELECT conv_id, idx, 'none', 'No Context' FROM utterances)")
 SKIP = "coalesce(lower(trim(role)) IN ('mod', 'moderator', 'audience', 'host', 'unknown', 'system') OR n_words <= 3 OR (n_words <= 5 AND NOT regexp_matches(text, '[.!?]$')), false)"
-_said("skip_rule", text.skip_flags, f"SELECT conv_id, idx, n_words, skip, max(CAST(NOT skip AS INT)) OVER (PARTITION BY conv_id ORDER BY idx ROWS UNBOUNDED PRECEDING) = 0 AS leading FROM (SELECT *, {SKIP} AS skip FROM (SELECT *, CAST(len(string_split(text, ' ')) AS INT) AS n_words FROM utterances))")
-_said("reading_time", text.reading_time, r"SELECT conv_id, idx, seconds, CAST(300 - coalesce(sum(seconds) OVER (PARTITION BY conv_id ORDER BY idx DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS budget_left FROM (SELECT *, CAST(floor(greatest(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) / 238.0 * 60, 3.0)) AS BIGINT) AS seconds FROM utterances)")
+_said("skip_rule", lambda u: text.skip_flags(u, (*text.MODERATORS, "system")), f"SELECT conv_id, idx, n_words, skip, max(CAST(NOT skip AS INT)) OVER (PARTITION BY conv_id ORDER BY idx ROWS UNBOUNDED PRECEDING) = 0 AS leading FROM (SELECT *, {SKIP} AS skip FROM (SELECT *, CAST(len(string_split(text, ' ')) AS INT) AS n_words FROM utterances))")
+_said("reading_time", text.reading_time, r"SELECT conv_id, idx, CAST(floor(greatest(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) / 238.0 * 60, 3.0)) AS BIGINT) AS seconds FROM utterances")
 WORDS = "(SELECT conv_id, role, len(string_split(text, ' ')) AS w FROM utterances)"
 _said("gini_speakers", text.gini, f"SELECT conv_id, round(coalesce(2.0 * sum(i * x) / nullif(count(*) * sum(x), 0) - (count(*) + 1) / count(*), 0), 6) AS gini, CAST(sum(x) AS BIGINT) AS words FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY x, role) AS i FROM (SELECT conv_id, role, sum(w) AS x FROM {WORDS} GROUP BY 1, 2)) GROUP BY 1")
 _said("describe_corpus", text.describe, f"SELECT count(*) AS n_conversations, {', '.join(f'round(avg({c}), 6) AS {n}_mean, round(stddev_samp({c}), 6) AS {n}_sd' for c, n in (('u', 'utterances'), ('s', 'speakers'), ('w', 'words')))} FROM (SELECT conv_id, count(*) AS u, count(DISTINCT role) AS s, sum(w) AS w FROM {WORDS} GROUP BY 1)")
@@ -113,9 +102,13 @@ def _starts(spark, sf):
     return utterances(spark, sf).select("conv_id", "idx", runs).where("idx > 0 and idx % every = 0").select("conv_id", "idx")
 
 
-VOTES = "(SELECT conv_id, idx + d AS idx, round(sum(w) / 3, 6) AS score FROM (SELECT conv_id, idx FROM utterances, (VALUES (3), (4), (5)) v(every) WHERE idx > 0 AND idx % every = 0), (VALUES (-1, 0.5), (0, 1.0), (1, 0.5)) s(d, w) WHERE idx + d >= 0 GROUP BY 1, 2)"
-register("segment_votes", lambda s, d: segments.votes(_starts(s, d), 3), with_views(f"SELECT conv_id, idx, CAST(score AS DOUBLE) AS score FROM {VOTES}", "utterances"))
-register("segment_boundaries", lambda s, d: segments.pick_boundaries(segments.votes(_starts(s, d), 3), utterances(s, d).groupBy("conv_id").agg(F.count("*").alias("n"))))
+def _turns(spark, sf):
+    return utterances(spark, sf).groupBy("conv_id").agg(F.count("*").alias("n"))
+
+
+VOTES = "(SELECT conv_id, idx + d AS idx, round(sum(w) / 3, 6) AS score FROM (SELECT * FROM (SELECT conv_id, idx FROM utterances, (VALUES (3), (4), (5)) v(every) WHERE idx > 0 AND idx % every = 0), (VALUES (-1, 0.5), (0, 1.0), (1, 0.5)) s(d, w)) JOIN (SELECT conv_id, count(*) AS n FROM utterances GROUP BY 1) USING (conv_id) WHERE idx + d >= 0 AND idx + d < n - 1 GROUP BY 1, 2)"
+register("segment_votes", lambda s, d: segments.votes(_starts(s, d), 3, _turns(s, d)), with_views(f"SELECT conv_id, idx, CAST(score AS DOUBLE) AS score FROM {VOTES}", "utterances"))
+register("segment_boundaries", lambda s, d: segments.pick_boundaries(segments.votes(_starts(s, d), 3, _turns(s, d)), _turns(s, d)))
 
 INTEGRATED = "(SELECT doc_id, aspect, label_value, 'human_individual' AS label_source FROM labels UNPIVOT (label_value FOR aspect IN (quality, toxic)) UNION ALL SELECT doc_id, NULL, NULL, 'unlabeled' FROM documents ANTI JOIN labels USING (doc_id)) LEFT JOIN (SELECT doc_id, lang, source FROM documents) USING (doc_id)"
 register("integrated_labels", lambda s, d: release.integrated(table(s, d, "documents"), table(s, d, "labels")), f"SELECT * FROM {INTEGRATED}")
@@ -128,8 +121,7 @@ register("vector_topk", lambda s, d: release.vector_top_k(table(s, d, "embedding
 
 
 def _updates(spark, sf):
-    return table(spark, sf, "events").selectExpr("user_id AS conv_id", "event_id AS pos", "event_id % 7 AS target", "CASE event_id % 3 WHEN 0 THEN 'ADD' WHEN 1 THEN 'UPDATE' ELSE 'NONE' END AS action")
-
+    return table(spark, sf, "events").selectExpr("user_id AS conv_id", "event_id AS pos", "nullif(event_id % 7, 0) AS target", "CASE event_id % 4 WHEN 0 THEN 'ADD' WHEN 1 THEN 'UPDATE' WHEN 2 THEN 'NONE' END AS action")
 
-register("memory_resolve", lambda s, d: release.resolve_updates(_updates(s, d)), "SELECT conv_id, pos, target, action FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, target, action ORDER BY pos DESC) AS rn FROM (SELECT user_id AS conv_id, event_id AS pos, event_id % 7 AS target, CASE event_id % 3 WHEN 0 THEN 'ADD' WHEN 1 THEN 'UPDATE' ELSE 'NONE' END AS action FROM events)) WHERE action <> 'UPDATE' OR rn = 1")
 
+register("memory_resolve", lambda s, d: release.resolve_updates(_updates(s, d)), "SELECT conv_id, pos, target, action FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, target, action ORDER BY pos DESC) AS rn FROM (SELECT user_id AS conv_id, event_id AS pos, nullif(event_id % 7, 0) AS target, CASE event_id % 4 WHEN 0 THEN 'ADD' WHEN 1 THEN 'UPDATE' WHEN 2 THEN 'NONE' END AS action FROM events)) WHERE action IS DISTINCT FROM 'UPDATE' OR (rn = 1 AND target IS NOT NULL)")

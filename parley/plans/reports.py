@@ -13,7 +13,7 @@ from parley.sources.tables import predictions, ratings, table, utterances, with_
 
 _span = lambda sd: f"""round(avg(k), 5) AS mean_qwk, round({sd}(k), 5) AS sd_qwk, round(greatest(-1, least(1, avg(k) - {sd}(k))), 5) AS lower,
     round(greatest(-1, least(1, avg(k) + {sd}(k))), 5) AS upper, round(min(k), 5) AS min_qwk, round(max(k), 5) AS max_qwk, count(k) AS n"""
-register("human_kappa_range", lambda s, d: metrics.human_kappa_range(ratings(s, d)), with_views(f"SELECT aspect, {_span('stddev_pop')} FROM (SELECT aspect, kappa_fixed AS k FROM {_scores(f'SELECT aspect, rater_id, label AS x, rating AS y FROM {OTHERS}', 'aspect, rater_id')}) GROUP BY 1", "ratings"))
+register("human_kappa_range", lambda s, d: metrics.human_kappa_range(ratings(s, d)), with_views(f"SELECT aspect, {_span('stddev_pop')} FROM (SELECT aspect, kappa_present AS k FROM {_scores(f'SELECT aspect, rater_id, label AS x, rating AS y FROM {OTHERS}', 'aspect, rater_id')}) GROUP BY 1", "ratings"))
 register("model_kappa_range", lambda s, d: metrics.model_kappa_range(predictions(s, d), ratings(s, d)), with_views(f"SELECT aspect, {_span('stddev_samp')} FROM (SELECT aspect, kappa_fixed AS k FROM {_scores(f'SELECT aspect, model, context, vote AS x, rating AS y FROM preds JOIN {MAJORITY} USING ({ITEM})', 'aspect, model, context')}) GROUP BY 1", "preds"))
 _LABEL = f"""(SELECT {ITEM}, CAST(CASE WHEN n = 2 THEN floor(mean) WHEN med = floor(med) THEN med WHEN c1 = most THEN 1 WHEN c2 = most THEN 2 WHEN c3 = most THEN 3 ELSE 4 END AS INT) AS label
     FROM (SELECT *, greatest(c1, c2, c3, c4) AS most FROM (SELECT {ITEM}, {COUNTS}, median(rating) AS med, avg(rating) AS mean FROM ratings WHERE rater_id <> 1 GROUP BY ALL)))"""
@@ -72,9 +72,7 @@ def _claim_actions(spark, sf):
 
 register("claim_actions", _claim_actions, f"{_CTE} SELECT conv_id, utterance_id, claim_id, info, novo, relv, imsc, CASE WHEN claim_id % 3 > 0 THEN action END AS action, CASE WHEN claim_id % 3 > 0 THEN relation END AS relation FROM claims")
 _digest = lambda df, c: df.select("conv_id", F.length(c).alias("n_chars"), F.md5(c).alias("digest"))
-register("memory_lines", lambda s, d: _digest(claims.memory_lines(_claims(s, d).selectExpr("conv_id", "utterance_id AS turn_id", "CASE WHEN claim_id > 1 THEN action END AS speaker", "relation AS claim"), 900), "memories"),
-         f"{_CTE} SELECT conv_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT conv_id, string_agg(line, '' ORDER BY utterance_id, line) AS t FROM (SELECT conv_id, utterance_id, '- (Turn #' || utterance_id || ') ' || CASE WHEN claim_id > 1 THEN action ELSE 'Unknown' END || ': \"' || relation || '\"' || chr(10) AS line FROM claims WHERE utterance_id <= 900) GROUP BY 1)")
-register("memory_lines_all", lambda s, d: _digest(claims.memory_lines(_claims(s, d).selectExpr("conv_id", "utterance_id AS turn_id", "CASE WHEN claim_id > 1 THEN action END AS speaker", "relation AS claim")), "memories"),
+register("memory_lines", lambda s, d: _digest(claims.memory_lines(_claims(s, d).selectExpr("conv_id", "utterance_id AS turn_id", "CASE WHEN claim_id > 1 THEN action END AS speaker", "relation AS claim")), "memories"),
          f"{_CTE} SELECT conv_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT conv_id, string_agg(line, '' ORDER BY utterance_id, line) AS t FROM (SELECT conv_id, utterance_id, '- (Turn #' || utterance_id || ') ' || CASE WHEN claim_id > 1 THEN action ELSE 'Unknown' END || ': \"' || relation || '\"' || chr(10) AS line FROM claims) GROUP BY 1)")
 register("transcript_text", lambda s, d: _digest(claims.transcript(utterances(s, d).withColumn("speaker", F.col("role"))), "transcript"),
          with_views("SELECT conv_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT conv_id, string_agg(line, chr(10) || chr(10) ORDER BY idx, line) AS t FROM (SELECT conv_id, idx, idx || '. ' || coalesce(role, '') || ' (' || coalesce(role, '') || '): ' || coalesce(text, '') AS line FROM utterances) GROUP BY 1)", "utterances"))

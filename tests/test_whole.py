@@ -9,8 +9,11 @@ def test_context_keeps_whole_texts(spark):
     rows = spark.createDataFrame(said, "conv_id long, idx int, role string, text string")
     got = {r.idx: r.context for r in text.context(rows).collect()}
     assert got == {0: "No Context", 1: f"a: {'x' * 500}", 2: f"a: {'x' * 500}\nb: {'y' * 41}"}
-    assert {r.idx: r.context for r in text.context(rows, width=3).collect()}[2] == "a: xxx\nb: yyy"
-    assert {"n_chars", "digest"} < set(registry.queries()["context_whole"](spark, "/root/testdata/sf0.001").columns)
+    assert {r.idx: r.context for r in text.context(rows, None).collect()} == got
+    assert {r.idx: r.context for r in text.context(rows, 1).collect()}[2] == f"b: {'y' * 41}"
+    assert {r.context for r in text.context(rows, 0).collect()} == {"No Context"}
+    longest = max(r.n_chars for r in registry.queries()["context_window"](spark, "/root/testdata/sf0.001").collect())
+    assert longest > 3 * 60
 
 
 def test_memory_lines_hold_every_turn_without_a_cutpoint(spark):
@@ -18,5 +21,6 @@ def test_memory_lines_hold_every_turn_without_a_cutpoint(spark):
     whole, cut = (claims.memory_lines(rows, c).first().memories for c in (-1, 6))
     assert whole == '- (Turn #5) a: "x"\n- (Turn #7) Unknown: "z"\n- (Turn #901) b: "y"\n'
     assert cut == '- (Turn #5) a: "x"\n'
-    every, some = (sum(r.n_chars for r in registry.queries()[q](spark, "/root/testdata/sf0.001").collect()) for q in ("memory_lines_all", "memory_lines"))
-    assert every > some > 0
+    turns = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct().count()
+    said = sum(r.n_chars for r in registry.queries()["memory_lines"](spark, "/root/testdata/sf0.001").collect())
+    assert said > turns * len('- (Turn #1) ADD: ""')
