@@ -21,11 +21,26 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loads the whole table as one batch, delivers that batch again, which changes nothing, and returns the totals."""
-    docs = _table(spark, sf_dir, "documents").withColumn("deleted", F.lit(False))
+    """Totals of the whole table after a load, take-downs, revisions and a return, each batch delivered twice.
+
+    The load has every document, those of label quality 0 still without their text. Those of label toxic 1 are then taken
+    down, the first ones revised to their text, and the taken down ones come back, so that the totals are those of the table.
+    """
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text").withColumn("deleted", F.lit(False))
+    labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    marked = docs.join(labels, "doc_id", "left")
+    early = F.coalesce(F.col("quality") == 0, F.lit(False))
+    taken = marked.where("toxic = 1").select(*docs.columns)
+    batches = {
+        "load": marked.withColumn("text", F.when(~early, F.col("text"))).select(*docs.columns),
+        "take-down": taken.withColumn("deleted", F.lit(True)),
+        "revision": marked.where(early & (F.coalesce("toxic", F.lit(0)) != 1)).select(*docs.columns),
+        "return": taken,
+    }
     rollup = tokencounts.Rollup(spark, scratch.fresh(spark, "token-counts"))
-    for _ in range(2):
-        rollup.apply("documents", docs)
+    for name, changes in batches.items():
+        for _ in range(2):
+            rollup.apply(name, changes)
     return rollup.totals()
 
 
@@ -65,5 +80,12 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_token_counts, op4_quality, op5_suffix, op6_warc, op7_packing, op8_toxicity, op9_licenses, op10_langid)}
 
 
+_DIGIT = "(instr('0123456789abcdef', substr(h, {at}, 1)) - 1)"
+#: Base32 of a digest in hex: five bits at a time, which two hex digits hold.
+_BASE32 = f"array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (((16 * {_DIGIT.format(at='1 + 5 * i // 4')} + {_DIGIT.format(at='2 + 5 * i // 4')}) >> CAST(3 - (5 * i) % 4 AS BIGINT)) & 31) AS BIGINT), 1)), '')"
+OP6_SQL = f"""SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+    FROM (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc": OP6_SQL}

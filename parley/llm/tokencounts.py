@@ -13,6 +13,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +49,8 @@ class Rollup:
     """Totals below a shared folder.
 
     `changes` and `delta` hold a folder for each attempt at a batch, `commits` a file for each batch that names the
-    attempt which counts. Attempts that no commit names are never read.
+    attempt which counts. Attempts that no commit names are never read. One driver applies batches at a time: two that
+    commit the same batch count once, but of two different ones that revise a document neither would see the other.
     """
 
     def __init__(self, spark: SparkSession, folder: str, tokenizers: dict | None = None):
@@ -59,12 +61,10 @@ class Rollup:
 
     def committed(self) -> dict[str, str]:
         """Attempt by batch."""
-        out, at = {}, self._path(f"{self.folder}/commits")
-        for status in self._fs.listStatus(at) if self._fs.exists(at) else []:
-            if not status.getPath().getName().startswith((".", "_")):
-                said = json.loads(self.spark.read.text(status.getPath().toString(), wholetext=True).first()[0])
-                out[said["batch"]] = said["attempt"]
-        return out
+        if not self._fs.exists(self._path(f"{self.folder}/commits")):
+            return {}
+        said = self.spark.read.text(f"{self.folder}/commits", wholetext=True).collect()  # a line for each batch
+        return {c["batch"]: c["attempt"] for c in (json.loads(r[0]) for r in said)}
 
     def _read(self, kind: str, schema: str, batches: dict[str, str]) -> DataFrame:
         paths = [f"{self.folder}/{kind}/{a}" for a in batches.values()]
@@ -111,7 +111,13 @@ class Rollup:
         out.write(bytearray(json.dumps({"batch": batch, "attempt": attempt}).encode()))
         out.close()
         self._fs.mkdirs(final.getParent())
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:  # without an option to overwrite, this fails where the target exists
+            context.rename(context.makeQualified(draft), context.makeQualified(final), gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
             self._fs.delete(draft, True)
             return False
         return True
