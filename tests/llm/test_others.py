@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from parley.llm import decontaminate, langid, licenses, packing, quality, queries, scratch, simhash, suffix, tokencounts, tokens, toxicity, warc
 from tests.llm.test_near_and_exact import SF, docs_of
+from tests.oracle import compare
 
 ODD = [(1, None), (2, ""), (3, " \t"), (4, "one two"), (4, "one two"), (None, "no id"), (6, "word " * 30_000), (7, "123 !!"), (8, "x\ny\nx\n\nx"), (9, "<|endoftext|> déjà")]
 
@@ -381,3 +382,34 @@ def test_warc_query_against_brute_force(spark):
     want = {i: (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if last[raw] == i else "revisit", None if last[raw] == i else last[raw]) for i, raw in pages}
     got = queries.op6_warc(spark, SF).collect()
     assert len(got) == len(pages) and {r.page_id: tuple(r)[1:] for r in got} == want
+
+
+def test_warc_query_against_sql(spark):
+    compare(spark, queries.op6_warc, queries.oracle_sql()["op6_warc"], SF)
+
+
+def test_token_totals_after_every_batch(spark):
+    """The query's batches one by one, against plain sums of what is there after each."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    toxic, early = {i for i, r in labels.items() if r.toxic == 1}, {i for i, r in labels.items() if r.quality == 0}
+    assert toxic and early - toxic
+    roll = tokencounts.Rollup(spark, scratch.fresh(spark, "test"), {"words-v1": tokencounts.word_count})
+    frame = lambda ids, text, deleted: spark.createDataFrame([(i, docs[i].source, docs[i].lang, text(i), deleted) for i in ids], "doc_id long, source string, lang string, text string, deleted boolean")
+    now = {i: "" if i in early else docs[i].text for i in docs}
+    steps = [("load", frame(docs, now.get, False), {}), ("down", frame(toxic, now.get, True), dict.fromkeys(toxic)), ("revised", frame(early - toxic, lambda i: docs[i].text, False), {i: docs[i].text for i in early - toxic}), ("back", frame(toxic, lambda i: docs[i].text, False), {i: docs[i].text for i in toxic})]
+    for name, changes, after in steps:
+        assert roll.apply(name, changes) and not roll.apply(name, changes)
+        now |= after
+        want = Counter()
+        for i, t in now.items():
+            if t is not None:
+                want[docs[i].source, docs[i].lang] += len(t.encode().split())
+        assert {(r.source, r.lang): r.n_tokens for r in roll.totals().collect() if r.n_tokens} == {k: n for k, n in want.items() if n}
+    assert now == {i: r.text for i, r in docs.items()}
+
+
+def test_a_batch_commits_once(spark):
+    roll = tokencounts.Rollup(spark, scratch.fresh(spark, "test"))
+    assert roll._commit("a", "first") and not roll._commit("a", "second") and roll._commit("b", "third")
+    assert roll.committed() == {"a": "first", "b": "third"}
