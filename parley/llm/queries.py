@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from parley.llm import decontaminate, langid, licenses, packing, quality, scratch, simhash, suffix, tokencounts, toxicity, warc
 
 
+#: Which documents op3's batches revise, and which they take down and bring back.
+LONG_CHARS, SHORT_CHARS = 10_000, 300
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,19 +27,16 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of the whole table after a load, take-downs, revisions and a return, each batch delivered twice.
 
-    The load has every document, those of label quality 0 still without their text. Those of label toxic 1 are then taken
-    down, the first ones revised to their text, and the taken down ones come back, so that the totals are those of the table.
+    The load has every document, long ones still without their text. Short ones are then taken down, the long ones revised
+    to their text, and the taken down ones come back, so that the totals are those of the table.
     """
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text").withColumn("deleted", F.lit(False))
-    labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    marked = docs.join(labels, "doc_id", "left")
-    early = F.coalesce(F.col("quality") == 0, F.lit(False))
-    taken = marked.where("toxic = 1").select(*docs.columns)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", "n_chars").withColumn("deleted", F.lit(False))
+    long, short = (F.coalesce(x, F.lit(False)) for x in (F.col("n_chars") > LONG_CHARS, F.col("n_chars") < SHORT_CHARS))
     batches = {
-        "load": marked.withColumn("text", F.when(~early, F.col("text"))).select(*docs.columns),
-        "take-down": taken.withColumn("deleted", F.lit(True)),
-        "revision": marked.where(early & (F.coalesce("toxic", F.lit(0)) != 1)).select(*docs.columns),
-        "return": taken,
+        "load": docs.withColumn("text", F.when(~long, F.col("text"))),
+        "take-down": docs.where(short).withColumn("deleted", F.lit(True)),
+        "revision": docs.where(long),
+        "return": docs.where(short),
     }
     rollup = tokencounts.Rollup(spark, scratch.fresh(spark, "token-counts"))
     for name, changes in batches.items():
