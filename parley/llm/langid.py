@@ -20,6 +20,8 @@ BITS = 14
 #: The bounded sample that fits a model: at most so many texts of each language, and so many of all (but one of each
 #: language at least; none is left out), and so many landmarks of each.
 MAX_PER_LANG, MAX_ROWS, LANDMARKS_PER_LANG = 400, 20_000, 24
+#: Up to so many languages, their sizes are sent to all executors; beyond, a join shuffles ids by language.
+BROADCAST_LANGS = 100_000
 FOLDS, HELD_OUT = 4, 2
 UNDETERMINED = "und"
 _BATCH = 128
@@ -122,7 +124,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     own = own.where("doc_id is not null and lang is not null and text is not null").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) != HELD_OUT)
     ids = own.select("doc_id", "lang")
     sizes = ids.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids"))
-    per_lang = max(1, min(per_lang, max_rows // max(1, sizes.count())))
+    n_langs = sizes.count()
+    per_lang = max(1, min(per_lang, max_rows // max(1, n_langs)))
+    sizes = F.broadcast(sizes) if n_langs <= BROADCAST_LANGS else sizes
     # The least hashes of a language lie far below this share of all hashes, so ranking meets a few thousand rows at any size.
     place = F.xxhash64("doc_id") / 2.0**64 + 0.5
     few = ids.join(sizes, "lang").where(place < (4.0 * per_lang + 40) / F.col("ids"))
