@@ -171,3 +171,42 @@ def peaks(curves: DataFrame, k: int, least: int) -> DataFrame:
     """The `k` features whose mean peaks highest over lags that have `least` rows or more."""
     top = curves.where(F.col("n") >= least).groupBy("act").agg(F.max("mean_value").alias("peak")).orderBy(F.desc("peak"), "act").limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("peak"), "act")))
+
+
+def flatten_answers(answers: DataFrame, aspects: list[str], without: tuple[str, ...], contexts: tuple[str, ...]) -> DataFrame:
+    """Levels from stored answers that are one JSON object of aspects or a list of them, an object for each run.
+
+    Models named in `without` and contexts not among `contexts` go; an answer that is neither, an unknown aspect and a null
+    level give no row.
+    """
+    text = F.trim("answer")
+    runs = F.when(text.startswith("["), F.from_json(text, "array<map<string,int>>")).when(text.startswith("{"), F.array(F.from_json(text, "map<string,int>")))
+    rows = answers.where(~F.col("model").isin(*without) & F.col("context").isin(*contexts)).select("model", "context", "conv_id", "utterance_id", F.posexplode(runs).alias("run", "levels"))
+    rows = rows.select("model", "context", "conv_id", "utterance_id", "run", F.explode("levels").alias("aspect", "rating"))
+    return rows.where(F.col("aspect").isin(*aspects) & F.col("rating").isNotNull())
+
+
+def run_means(predictions: DataFrame, model: str, context: str) -> DataFrame:
+    """Mean over runs of one model's levels in one context, by item."""
+    return predictions.where((F.col("model") == model) & (F.col("context") == context)).groupBy("conv_id", "utterance_id", "aspect").agg(F.round(F.avg("rating"), 6).alias("rating"), F.count("*").alias("n_runs"))
+
+
+def first_by(df: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
+    """The values of each key's first row in an order."""
+    return df.groupBy(key).agg(*(F.min_by(c, order).alias(c) for c in columns))
+
+
+def stacked(df: DataFrame, keep: list[str], groups: dict[str, dict[str, str]], tag: str) -> DataFrame:
+    """Groups of columns below one another: `groups` names for each tag the columns that become the common ones."""
+    rows = [F.struct(F.lit(t).alias(tag), *(F.col(c).alias(name) for name, c in columns.items())) for t, columns in groups.items()]
+    return df.select(*keep, F.inline(F.array(*rows)))
+
+
+def with_vote(ratings: DataFrame, votes: DataFrame) -> DataFrame:
+    """All ratings with the vote of their item, null where it has none."""
+    return ratings.join(votes, ["conv_id", "utterance_id", "aspect"], "left")
+
+
+def vote_confusion(predictions: DataFrame, votes: DataFrame) -> DataFrame:
+    """How often a model gave each level to items of each vote, all aspects and runs together."""
+    return predictions.join(votes, ["conv_id", "utterance_id", "aspect"]).groupBy("model", "vote", "rating").agg(F.count("*").alias("n"))

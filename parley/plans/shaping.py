@@ -9,7 +9,7 @@ from parley.operators.consensus import consensus_labels, majority
 from parley.plans.catalog import ITEM, MAJORITY, PREV, _labels
 from parley.plans.reports import _PAIRS
 from parley.registry import register
-from parley.sources.tables import acts, ratings, table, utterances, with_views
+from parley.sources.tables import acts, predictions, ratings, table, utterances, with_views
 
 _NAMES = "CASE WHEN lower(trim(a)) IN ('scope', 'implication_scope', 'implication scope', 'imsc') THEN 'Scope' WHEN lower(trim(a)) IN ('informativeness', 'info', 'cig') THEN 'CIG' WHEN lower(trim(a)) IN ('novelty', 'novo') THEN 'Novelty' WHEN lower(trim(a)) IN ('relevance', 'relv') THEN 'Relevance' ELSE trim(a) END"
 _A = "list_element([' Info', 'NOVO', 'relv ', 'imsc', ' Other '], CAST(event_id % 5 AS INT) + 1)"
@@ -92,3 +92,19 @@ _SECONDS = "CAST(floor(greatest(len(list_filter(regexp_split_to_array(split_part
 register("prior_history", lambda s, d: text.prior_history(utterances(s, d), 60), with_views(f"""SELECT u.conv_id, u.idx, CAST(count(b.idx) AS INT) AS n_shown, min(b.idx) AS first_shown, CAST(coalesce(sum(b.seconds), 0) AS BIGINT) AS seconds FROM utterances u LEFT JOIN (
     SELECT conv_id, idx, place, seconds FROM (SELECT *, bool_and(back = 1 OR spent < 60) OVER (PARTITION BY conv_id, place ORDER BY back) AS shown FROM (SELECT a.conv_id, a.idx AS place, b.idx, b.seconds, row_number() OVER w AS back, sum(b.seconds) OVER w AS spent FROM utterances a JOIN (SELECT conv_id, idx, {_SECONDS} AS seconds FROM utterances) b ON a.conv_id = b.conv_id AND b.idx < a.idx AND b.idx >= a.idx - 5 WINDOW w AS (PARTITION BY a.conv_id, a.idx ORDER BY b.idx DESC))) WHERE shown
     ) b ON u.conv_id = b.conv_id AND u.idx = b.place GROUP BY 1, 2""", "utterances"))
+
+
+def _answers(spark, sf):
+    """One object for odd utterances (run 0 alone), a list of all runs' objects for even ones; two are no JSON."""
+    runs = predictions(spark, sf).groupBy("model", "context", "conv_id", "utterance_id", "run").agg(F.map_from_entries(F.collect_list(F.struct("aspect", "rating"))).alias("levels"))
+    all_ = runs.groupBy("model", "context", "conv_id", "utterance_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("run"), F.to_json("levels").alias("j")))), lambda x: x["j"]).alias("j"))
+    answer = F.when(F.col("utterance_id") < 2, "none").when(F.col("utterance_id") % 2 == 1, F.element_at("j", 1)).otherwise(F.concat(F.lit("["), F.array_join("j", ", "), F.lit("]")))
+    return all_.withColumn("answer", answer).drop("j")
+
+
+register("flatten_answers", lambda s, d: shaping.flatten_answers(_answers(s, d), ["A", "R"], ("m2",), ("full",)), with_views("SELECT model, context, conv_id, utterance_id, CAST(run AS INT) AS run, aspect, rating FROM preds WHERE model <> 'm2' AND context = 'full' AND aspect IN ('A', 'R') AND utterance_id >= 2 AND (utterance_id % 2 = 0 OR run = 0)", "preds"))
+register("run_means", lambda s, d: shaping.run_means(predictions(s, d), "m1", "full"), with_views(f"SELECT {ITEM}, round(avg(rating), 6) AS rating, count(*) AS n_runs FROM preds WHERE model = 'm1' AND context = 'full' GROUP BY ALL", "preds"))
+register("first_turns", lambda s, d: shaping.first_by(utterances(s, d), "conv_id", "idx", "role", "text").select("conv_id", "role", F.md5("text").alias("digest")), with_views("SELECT conv_id, arg_min(role, idx) AS role, md5(arg_min(text, idx)) AS digest FROM utterances GROUP BY 1", "utterances"))
+register("stacked_groups", lambda s, d: shaping.stacked(table(s, d, "lineitem").selectExpr("l_orderkey AS o", "l_linenumber AS l", "l_suppkey AS s", "l_quantity AS h_x", "l_tax AS n_x", "l_extendedprice AS h_y", "l_discount AS n_y"), ["o", "l", "s"], {"x": {"h": "h_x", "n": "n_x"}, "y": {"h": "h_y", "n": "n_y"}}, "model"), "SELECT l_orderkey AS o, l_linenumber AS l, l_suppkey AS s, 'x' AS model, l_quantity AS h, l_tax AS n FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, l_suppkey, 'y', l_extendedprice, l_discount FROM lineitem")
+register("ratings_with_vote", lambda s, d: shaping.with_vote(ratings(s, d), majority(ratings(s, d))), with_views(f"SELECT {ITEM}, rater_id, rating, vote FROM ratings LEFT JOIN {MAJORITY} USING ({ITEM})", "ratings"))
+register("vote_confusion", lambda s, d: shaping.vote_confusion(predictions(s, d), majority(ratings(s, d))), with_views(f"SELECT model, vote, rating, count(*) AS n FROM preds JOIN {MAJORITY} USING ({ITEM}) GROUP BY 1, 2, 3", "preds"))
