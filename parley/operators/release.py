@@ -44,6 +44,11 @@ def vector_top_k(memories: DataFrame, k: int = 5, every: int = 20) -> DataFrame:
     return scored.select("*", rank.alias("rank")).where(F.col("rank") <= k)
 
 
+def unique_hits(hits: DataFrame) -> DataFrame:
+    """Each memory that any query found, once, with its best score and how many queries found it."""
+    return hits.groupBy("vec_id").agg(F.max("score").alias("score"), F.count("*").alias("n_queries"))
+
+
 def resolve_updates(updates: DataFrame) -> DataFrame:
     """Of several updates of one target the last stands, and none without a target; all other actions do, a null one too."""
     last = F.row_number().over(Window.partitionBy("conv_id", "target", "action").orderBy(F.desc("pos")))

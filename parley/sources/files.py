@@ -53,3 +53,49 @@ def write_conversations(rows: DataFrame, path: str, key: str = "conversation_id"
 def without_field(rows: DataFrame, array: str, field: str) -> DataFrame:
     """The rows with a field dropped from every struct of an array column."""
     return rows.withColumn(array, F.transform(array, lambda x: x.dropFields(field)))
+
+
+def write_csv(rows: DataFrame, path: str, key: str = "conversation_id") -> None:
+    """CSV with a header, a folder a conversation."""
+    rows.repartition(key).write.mode("overwrite").option("header", True).option("escape", '"').partitionBy(key).csv(path)
+
+
+def write_idf_maps(idf: DataFrame, path: str) -> None:
+    """A JSON line for each conversation: its terms with their idf, from (conversation_id, term, idf)."""
+    idf.groupBy("conversation_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "idf")))).alias("idf")).write.mode("overwrite").json(path)
+
+
+def write_summary(rows: DataFrame, path: str, column: str = "label_source") -> None:
+    """One JSON line: the number of rows and of those of each value of a column; nulls are counted as `null`."""
+    counts = rows.groupBy(F.coalesce(column, F.lit("null")).alias("key")).agg(F.count("*").alias("n"))
+    counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "n")))).alias(f"{column}_counts")).write.mode("overwrite").json(path)
+
+
+def read_snapshot(spark: SparkSession, path: str, schema: str | StructType | None = None, **equal) -> DataFrame:
+    """A collection exported as JSON lines (with a schema) or Parquet (without), its rows filtered by equality; None is null.
+
+    On Parquet the filters reach the scan.
+    """
+    rows = spark.read.schema(schema).json(path) if schema else spark.read.parquet(path)
+    for column, value in equal.items():
+        rows = rows.where(F.col(column).eqNullSafe(value))
+    return rows
+
+
+def read_acts(spark: SparkSession, path: str, schema: str, aliases: list[str]) -> DataFrame:
+    """Moderators' acts as CSV, a file a conversation, of the conversations whose id ends a file's name."""
+    conv = F.regexp_extract("_metadata.file_name", r"([^_]*?)(\.[^.]*)?$", 1)
+    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path).select("*", conv.alias("conversation_id")).where(F.col("conversation_id").isin(*aliases))
+
+
+def read_vectors(spark: SparkSession, path: str, ids: list[str]) -> DataFrame:
+    """(memory, embedding) of JSON lines of some conversations; of a memory's text the last by id counts, empty ones go."""
+    rows = spark.read.schema("conversation_id string, memory_id string, memory string, embedding array<double>").json(path)
+    known = rows.where(F.col("conversation_id").isin(*ids) & (F.coalesce("memory", F.lit("")) != "") & (F.size(F.coalesce("embedding", F.array().cast("array<double>"))) > 0))
+    return known.groupBy("memory").agg(F.max_by("embedding", F.coalesce("memory_id", F.lit(""))).alias("embedding"))
+
+
+def memory_vectors(metas: DataFrame) -> DataFrame:
+    """A row for each prior memory that has an embedding, from (conversation_id, file_name, prior_memory); the id has the prefix that its file has."""
+    rows = metas.select(F.when(F.col("file_name").startswith("insq_") & ~F.col("conversation_id").startswith("insq_"), F.concat(F.lit("insq_"), "conversation_id")).otherwise(F.col("conversation_id")).alias("conversation_id"), F.explode("prior_memory").alias("m"))
+    return rows.where("m.embedding is not null").select("conversation_id", F.col("m.id").alias("memory_id"), F.col("m.memory").alias("memory"), F.col("m.embedding").alias("embedding"))
