@@ -83,6 +83,7 @@ def fold_errors(rows: DataFrame, target: str, features: list[str], fold: str, mo
 
 def sweep(rows: DataFrame, target: str, base: list[str], full: list[str], fold: str) -> DataFrame:
     """By model, mean and sample deviation over folds of its errors on the base and on the full features, and what the full ones gain."""
+    rows = rows.na.drop(subset=[target, fold, *base, *full])  # both on the same rows
     names = ("rmse", "mae", "r2")
     side = lambda features, p: fold_errors(rows, target, features, fold).groupBy("model").agg(*(f(c).alias(f"{p}_{c}_{n}") for c in names for f, n in ((F.avg, "mean"), (F.stddev_samp, "sd"))))
     both = side(base, "base").join(side(full, "full"), "model")
@@ -201,6 +202,7 @@ def ordinal_report(rows: DataFrame, target: str, models: dict[str, list[str]], l
 
     Against the first model: the likelihood ratio of those with more features, and Student's t of the folds' likelihoods.
     """
+    rows = rows.na.drop(subset=[target, fold, *{f for fs in models.values() for f in fs}])  # all on the same rows
     out, first = [], None
     for name, features in models.items():
         fit = OrderedLogit(rows, target, features, levels, fold, folds)
