@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley.functions import checks
-from parley.operators import episodes, release, tasks, text, validation
+from parley.operators import episodes, phrases, release, tasks, text, validation
 from parley.operators.consensus import majority
 from parley.plans.catalog import ITEM, MAJORITY
 from parley.plans.features import _scores
@@ -149,3 +149,14 @@ def _memory_validation(spark, sf):
 register("memory_validation", _memory_validation)
 register("briefing", lambda s, d: release.unique_hits(release.vector_top_k(table(s, d, "embeddings"), 3)), """SELECT vec_id, max(score) AS score, count(*) AS n_queries FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, m.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(m.embedding AS DOUBLE[])), 5) AS score
     FROM embeddings q JOIN embeddings m USING (label) WHERE q.vec_id % 20 = 0 AND q.vec_id <> m.vec_id)) WHERE rank <= 3 GROUP BY 1""")
+
+
+def _shared_phrases(spark, sf):
+    """Each utterance against the one before it; capitalised words are phrases."""
+    said = utterances(spark, sf).select("conv_id", "idx", episodes.capitalised(F.col("text")).alias("own"))
+    before = said.select("conv_id", (F.col("idx") + 1).alias("idx"), F.col("own").alias("before"))
+    return said.join(before, ["conv_id", "idx"]).select("conv_id", "idx", F.array_join(phrases.shared_phrases(F.col("own"), F.col("before")), "|").alias("phrases"))
+
+
+register("shared_phrases", _shared_phrases, with_views(r"""SELECT conv_id, idx, array_to_string(list_sort(list_distinct(list_filter(list_transform(t, lambda w: list_filter(list_sort(list_distinct(c)), lambda x: contains(w, x) OR len(list_intersect(string_split(w, ''), string_split(x, ''))) > 0)[1]), lambda x: x IS NOT NULL))), '|') AS phrases
+    FROM (SELECT u.conv_id, u.idx, regexp_extract_all(u.text, '\b([A-Z][a-z]+)', 1) AS t, regexp_extract_all(v.text, '\b([A-Z][a-z]+)', 1) AS c FROM utterances u JOIN utterances v ON v.conv_id = u.conv_id AND v.idx + 1 = u.idx)""", "utterances"))
