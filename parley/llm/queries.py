@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontaminate, langid, licenses, packing, quality, scratch, simhash, suffix, tokencounts, toxicity, warc
+from parley.llm import decontaminate, langid, lexical, licenses, packing, pivots, quality, scratch, simhash, suffix, tokencounts, toxicity, warc
 
 
 #: Which documents op3's batches revise, and which they take down and bring back.
@@ -77,8 +77,16 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_token_counts, op4_quality, op5_suffix, op6_warc, op7_packing, op8_toxicity, op9_licenses, op10_langid)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_token_counts, op4_quality, op5_suffix, op6_warc, op7_packing, op8_toxicity, op9_licenses, op10_langid, op11_lexical, op12_topk)}
 
 
 _DIGIT = "(instr('0123456789abcdef', substr(h, {at}, 1)) - 1)"
@@ -88,5 +96,19 @@ OP6_SQL = f"""SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE W
     FROM (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)"""
 
 
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents),
+    c AS (SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS total FROM d WHERE len(terms) > 0),
+    p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY ALL),
+    w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY term, docs),
+    q AS (SELECT i, item_id, term, count(*) AS times FROM (SELECT row_number() OVER () AS i, item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+    m AS (SELECT r, doc_id, 75 + (25 * len(terms) * docs) // total AS m FROM d, c WHERE len(terms) > 0),
+    s AS (SELECT i, item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY ALL)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20"""
+OP12_SQL = """WITH e AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score
+    FROM (SELECT a.r AS q, a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 50 = 0) QUALIFY rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6_SQL}
+    return {"op6_warc": OP6_SQL, "op11_lexical": OP11_SQL, "op12_topk": OP12_SQL}
