@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontaminate, langid, lexical, licenses, packing, pivots, quality, scratch, simhash, suffix, tokencounts, toxicity, warc
+from parley.llm import decontaminate, langid, lexical, licenses, packing, pivots, quality, scratch, simhash, suffix, tokencounts, toxicity, tries, warc
 
 
 #: Which documents op3's batches revise, and which they take down and bring back.
@@ -85,8 +85,12 @@ def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(tries.rebuilt(_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_token_counts, op4_quality, op5_suffix, op6_warc, op7_packing, op8_toxicity, op9_licenses, op10_langid, op11_lexical, op12_topk)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_token_counts, op4_quality, op5_suffix, op6_warc, op7_packing, op8_toxicity, op9_licenses, op10_langid, op11_lexical, op12_topk, op13_prefix_trie)}
 
 
 _DIGIT = "(instr('0123456789abcdef', substr(h, {at}, 1)) - 1)"
@@ -109,6 +113,22 @@ OP12_SQL = """WITH e AS (SELECT row_number() OVER () AS r, vec_id, list_transfor
     SELECT query_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score
     FROM (SELECT a.r AS q, a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 50 = 0) QUALIFY rank <= 5"""
 
+#: CRC-32 of a number's decimal digits, bit by bit.
+_CRC = "xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)), 4294967295)"
+_MARK = "md5(length(role) || ':' || role || text)"
+OP13_SQL = f"""WITH t AS (SELECT conv_id, turn, {_MARK} AS mark, CAST(len(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS BIGINT) AS words FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, mark) AS p FROM t),
+    c AS (SELECT conv_id, CAST({_CRC} % 4 AS INT) AS h FROM (SELECT DISTINCT conv_id FROM t)),
+    b AS (SELECT c.conv_id, h, coalesce(least(h, n), 0) AS taken FROM c LEFT JOIN (SELECT conv_id AS base, count(*) AS n FROM o GROUP BY 1) ON base = c.conv_id - c.conv_id % 20),
+    r AS (SELECT b.conv_id, p AS d, mark, words FROM b JOIN o ON o.conv_id = b.conv_id - b.conv_id % 20 AND p <= h UNION ALL SELECT b.conv_id, taken + p - h, mark, words FROM b JOIN o USING (conv_id) WHERE p > h),
+    x AS (SELECT conv_id, d, words, md5(string_agg(mark, '' ORDER BY d) OVER w) AS node, CASE WHEN d = 1 THEN '' ELSE md5(string_agg(mark, '' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) END AS above FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING) UNION ALL SELECT conv_id, 0, 0, '', NULL FROM c),
+    n AS (SELECT node, d, above, min(conv_id) AS low, count(*) AS n, any_value(words) AS words FROM x GROUP BY 1, 2, 3),
+    k AS (SELECT above AS node, count(*) AS kids FROM n WHERE above IS NOT NULL GROUP BY 1),
+    s AS (SELECT x.node, CAST(sum((y.n - 1) * y.words) AS BIGINT) AS saved, count(*) FILTER (WHERE k.kids IS NULL) AS leaves FROM n y LEFT JOIN k USING (node) JOIN x ON x.conv_id = y.low AND x.d <= y.d GROUP BY 1),
+    e AS (SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM x JOIN (SELECT conv_id, max(d) AS d FROM x GROUP BY 1) USING (conv_id, d) GROUP BY 1)
+    SELECT n.low AS conv_id, n.d AS depth, u.low AS parent_conv_id, n.n AS n_convs, coalesce(kids, 0) AS n_children, leaves AS n_leaves, saved AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+    FROM n LEFT JOIN n u ON u.node = n.above LEFT JOIN k ON k.node = n.node JOIN s ON s.node = n.node LEFT JOIN e ON e.node = n.node"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6_SQL, "op11_lexical": OP11_SQL, "op12_topk": OP12_SQL}
+    return {"op6_warc": OP6_SQL, "op11_lexical": OP11_SQL, "op12_topk": OP12_SQL, "op13_prefix_trie": OP13_SQL}

@@ -1,18 +1,21 @@
 """Lexical and vector search and the prefix trie against brute force, SQL and odd input."""
 
+import hashlib
 import math
+import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parley.llm import lexical, pivots, queries
+from parley.llm import lexical, pivots, queries, tries
 from tests.llm.test_near_and_exact import SF, docs_of
 from tests.oracle import compare
 
 
-@pytest.mark.parametrize("name", ["op11_lexical", "op12_topk"])
+@pytest.mark.parametrize("name", ["op11_lexical", "op12_topk", "op13_prefix_trie"])
 def test_sql(spark, name):
     compare(spark, queries.queries()[name], queries.oracle_sql()[name], SF)
 
@@ -127,3 +130,95 @@ def test_annuli_are_pruned_and_exact(spark):
     assert score.reshape(40, 5).tolist() == every.tolist()
     kth = every[:, -1:]
     assert (piece.bounds(q) >= kth).mean() < 0.6
+
+
+def slow_trie(rows):
+    """Every node by its members; rows: (conv_id, turn, role, text)."""
+    own = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            mark = hashlib.md5(f"{len(role or '')}:{role or ''}{text or ''}".encode()).hexdigest()
+            own.setdefault(c, []).append((turn is not None, turn or 0, mark, role or "", text or ""))
+    own = {c: [t[3:] for t in sorted(ts)] for c, ts in own.items()}
+    paths = {c: tuple(own.get(c - int(math.fmod(c, 20)), [])[: (h := zlib.crc32(str(c).encode()) % 4)] + ts[h:]) for c, ts in own.items()}
+    members, kids = {}, {}
+    for c, path in paths.items():
+        for d in range(len(path) + 1):
+            members.setdefault(path[:d], []).append(c)
+    for node in members:
+        if node:
+            kids.setdefault(node[:-1], []).append(node)
+    out = []
+
+    def total(node):
+        below = [total(k) for k in kids.get(node, [])]
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", node[-1][1])) if node else 0
+        leaves, saved = sum(b[0] for b in below) or 1, sum(b[1] for b in below) + (len(members[node]) - 1) * words
+        ends = ",".join(map(str, sorted(c for c in members[node] if paths[c] == node)))
+        out.append((min(members[node]), len(node), min(members[node[:-1]]) if node else None, len(members[node]), len(below), leaves, saved, hashlib.sha256(ends.encode()).hexdigest()))
+        return leaves, saved
+
+    if members:
+        total(())
+    return sorted(out, key=repr)
+
+
+def odd_turns():
+    rng = np.random.default_rng(5)
+    rows = []
+    for c in range(-30, 170):
+        for turn in range(int(rng.integers(0, 7))):
+            rows.append((c, turn, "user" if turn % 2 else None, str(rng.choice(["hi", "how are you", "", "ça va bien\x0bici", "ok \t ok"], p=[0.5, 0.2, 0.1, 0.1, 0.1]))))
+    for c in range(1000, 1060):  # copies, many of them
+        rows += [(c, k, "user", "same words here") for k in range(5)]
+    rows += [(c, k, "user", f"long {k}") for c in (2000, 2001) for k in range(150 + c % 2)]
+    rows += [(None, 0, "user", "no id"), (20, None, "user", "first"), (20, None, "user", "first"), (41, 3, None, None), (41, 3, "user", ""), (42, 7, "user", "word " * 50_000), (10**15, 0, "a", "b"), (43, 0, "us", "er:x"), (43, 0, "user", ":x")]
+    return rows
+
+
+@pytest.mark.parametrize("share", [400_000, 400, 40])
+def test_trie_of_odd_conversations(spark, share):
+    """One task, some tasks and levels, and many of both."""
+    rows = odd_turns()
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("depth", F.lit("clash")).withColumn("words", F.lit("clash")).repartition(5)
+    got = tries.prefix_trie(tries.rebuilt(frame), task_turns=share, least_turns=share)
+    assert got.columns == list(tries.NODE)
+    assert sorted(map(tuple, got.collect()), key=repr) == slow_trie(rows)
+    if share == 40:
+        assert tries.prefix_trie(tries.rebuilt(frame.limit(0))).count() == 0
+
+
+def test_walk_in_parts_equals_the_whole():
+    """Any cut of sorted paths into runs, and any number of levels, gives the nodes of one walk."""
+    rng = np.random.default_rng(6)
+    marks = [hashlib.md5(bytes([k])).digest() for k in range(3)]
+    for _ in range(60):
+        paths = sorted((b"".join(marks[k] for k in rng.integers(0, 3, size=rng.integers(0, 6))), i) for i in range(int(rng.integers(1, 40))))
+        words = {k: int(m[0]) for k, m in enumerate(marks)}
+
+        def walked(runs, whole, level):
+            nodes, kept = [], []
+            for run in runs:
+                walk = tries.Walk(whole, level > 0)
+                for path in run:
+                    walk.step(*path)
+                walk.finish()
+                for values in zip(*walk.rows.values(), strict=True):
+                    r = dict(zip(walk.rows, values, strict=True))
+                    if r["kind"] == 0:
+                        nodes.append((r["conv_id"], r["depth"], r["n_convs"], r["n_children"], r["n_leaves"], r["saved_tokens"]))
+                    elif r["kind"] == 1:
+                        kept.append((r["key"], r["words"], list(zip(*(r[k] for k in ("at", *tries._SUMS)), strict=True)), None))
+            return nodes, kept
+
+        rows = [(k, [words[marks.index(k[a : a + 16])] for a in range(0, len(k), 16)], [(len(k) // 16, 1, i, 0, 0, 0)], i) for k, i in paths]
+        want = sorted(walked([rows], True, 0)[0])
+        got, level = [], 0
+        while True:
+            cuts = sorted({0, len(rows), *rng.integers(0, len(rows) + 1, size=len(rows) // 4).tolist()})
+            nodes, kept = walked([rows[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], len(cuts) == 2, level)
+            got += nodes
+            if len(cuts) == 2:
+                break
+            rows, level = sorted(kept, key=lambda r: r[0]), level + 1
+        assert sorted(got) == want
