@@ -319,6 +319,19 @@ def test_language_fit_leaves_no_language_out(spark):
     assert set(langid.train(docs, max_rows=10).langs) == learned
 
 
+def test_language_fit_on_few_or_equal_texts(spark):
+    assert langid.fit(["hello world"], ["en"]).predict(["hello", "bonjour", "1"])[0] == ["en", "en", "und"]
+    langs, scores = langid.fit(["same text"] * 4, ["de", "de", "en", "en"]).predict(["same text"])
+    assert langs == ["de"] and scores[0] == pytest.approx(0.5)
+    assert langid.fit(["eins zwei", "one two"], ["de", "en"]).predict(["zwei", "two"])[0] == ["de", "en"]
+    # Hardly a text of xx has a letter: the few that do are found among all.
+    rows = [(i, "xylo xx yy" if i == 777 else "12 34 !", "xx") for i in range(1500)] + [(5000 + i, f"wort und satz {i}", "de") for i in range(40)] + [(6000 + i, f"word and phrase {i}", "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert held(777, 4) != 2
+    model = langid.train(docs)
+    assert model.langs == ["de", "en", "xx"] and model.predict(["xylo xx yy"])[0] == ["xx"]
+
+
 def test_language_kernel_against_brute_force():
     """With every text a landmark, Nyström features give the exact kernel: scores equal ridge regression on it."""
     texts, langs = ["ab cd ef", "xy zz yx", "ab ef gh", "zz yx xy q", "cd ab"], ["a", "b", "a", "b", "a"]
