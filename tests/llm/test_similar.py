@@ -84,3 +84,26 @@ def test_tile_pairs_are_all_pairs():
     want = {(i, j) for i in range(300) for j in range(i) if (int(prints[i]) ^ int(prints[j])).bit_count() <= 5}
     got = [(max(a, b), min(a, b)) for i, j in simhash.tile_pairs(prints, 5, tile=32) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_repeated_shingles_do_not_move_fingerprints(spark):
+    """Texts of few shingles that repeat: 0.96 alike, though the bits of their most frequent shingles change sides."""
+    a, b = "spam " * 55 + "ham " * 53, "spam " * 53 + "ham " * 55
+    assert similar.similarity_of(a, b) > 0.95
+    docs = docs_of(spark, [(1, a), (2, b), (3, "spam " * 90 + "ham " * 18)])
+    assert {r.doc_id for r in similar.one_of_each(docs).collect()} == slow_kept([(1, a), (2, b), (3, "spam " * 90 + "ham " * 18)])
+
+
+@pytest.mark.parametrize("size", [9, 30, 200])
+def test_radius_holds_pairs_at_the_similarity(size):
+    """Pairs of similarity 0.8, of distinct and of repeated shingles, lie within the radius."""
+    rng = np.random.default_rng(size)
+    mask = 2**64 - 1
+    for _ in range(400):
+        h = rng.integers(0, 2**63, size=size, dtype=np.int64).view(np.uint64) << np.uint64(1)
+        k = -(-size * 4 // 5)
+        split = k + (size - k) // 2
+        pair = h[:split], np.concatenate((h[:k], h[split:]))
+        few = np.repeat(h[:3], [size, size // 2, size // 3]), np.repeat(h[:3], [size - size // 8, size // 2, size // 3])
+        for x, y in (pair, tuple(map(similar.numbered, few))):
+            assert ((similar.print_of(x) ^ similar.print_of(y)) & mask).bit_count() <= similar.RADIUS
