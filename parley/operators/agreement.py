@@ -17,8 +17,8 @@ def task_type(aspect: Column, task_types: dict = TASK_TYPES) -> Column:
 
 
 def pair_scores(ratings: DataFrame, *by: str, overlap: int = 3) -> DataFrame:
-    """Scores of each pair of raters with `overlap` shared items or more, by group; kappa is over the levels that occur."""
-    return scores(rater_pairs(ratings), *by, "ra", "rb").where(F.col("n") >= overlap)
+    """Unrounded scores of each pair of raters with `overlap` shared items or more, by group; kappa is over the levels that occur."""
+    return scores(rater_pairs(ratings), *by, "ra", "rb", digits=None).where(F.col("n") >= overlap)
 
 
 def outlier_report(ratings: DataFrame, task_types: dict = TASK_TYPES, least: float = 0.3, slack: float = 0.5, overlap: int = 3) -> DataFrame:
@@ -36,15 +36,15 @@ def outlier_report(ratings: DataFrame, task_types: dict = TASK_TYPES, least: flo
     key = ["conv_id", "task_type", "rater_id"]
     pairs = by_aspect.groupBy("conv_id", "task_type", "ra", "rb").agg(F.avg("k").alias("k")).select("conv_id", "task_type", "k", both)
     means = pairs.groupBy(*key).agg(F.avg("k").alias("mean"), F.count("*").alias("n_pairs"))
-    aspects = by_aspect.select("conv_id", "task_type", "aspect", "k", both).groupBy(*key, "aspect").agg(F.round(F.avg("k"), 6).alias("m"))
+    aspects = by_aspect.select("conv_id", "task_type", "aspect", "k", both).groupBy(*key, "aspect").agg(F.avg("k").alias("m"))
     lowest = aspects.groupBy(*key).agg(F.max((F.col("m") < least - slack)).alias("low_aspect"))
     out = typed.select(*key).distinct().join(means, key, "left").join(lowest, key, "left")
-    out = out.select(*key, F.when(~F.isnan("mean"), F.round("mean", 6)).alias("mean_qwk"), F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), "low_aspect")
+    out = out.select(*key, F.when(~F.isnan("mean"), F.col("mean")).alias("mean_qwk"), F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), "low_aspect")
     low = F.coalesce(F.col("mean_qwk").isNotNull() & ((F.col("mean_qwk") < least) | F.col("low_aspect")), F.lit(False))
     of = Window.partitionBy("conv_id", "task_type")
-    rank = F.row_number().over(of.orderBy(F.col("mean_qwk").desc_nulls_last(), F.desc("n_pairs"), "rater_id"))
+    rank = F.row_number().over(of.orderBy(F.round("mean_qwk", 9).desc_nulls_last(), F.desc("n_pairs"), "rater_id"))
     marked = out.select("*", low.alias("low"), rank.alias("rank")).withColumn("stay", F.sum(F.when(F.col("low"), 0).otherwise(1)).over(of))
-    return marked.select(*key, "mean_qwk", "n_pairs", F.when(F.col("stay") < 2, F.col("rank") > 2).otherwise(F.col("low")).alias("dropped"))
+    return marked.select(*key, F.round("mean_qwk", 6).alias("mean_qwk"), "n_pairs", F.when(F.col("stay") < 2, F.col("rank") > 2).otherwise(F.col("low")).alias("dropped"))
 
 
 def kept_ratings(ratings: DataFrame, task_types: dict = TASK_TYPES) -> DataFrame:

@@ -14,14 +14,15 @@ from parley.operators.consensus import ITEM, LEVELS, consensus_labels, majority,
 _SPAN = [(i, j) for i in LEVELS for j in LEVELS]
 
 
-def scores(pairs: DataFrame, *by: str) -> DataFrame:
+def scores(pairs: DataFrame, *by: str, digits: int | None = 6) -> DataFrame:
     """Scores of `y` against `x` by group: three kappas, macro F1, accuracy, MAE, MSE and the count.
 
     One aggregation counts the sixteen pairs of levels and the rest is arithmetic on a row a group. `kappa_fixed` weighs
     by squared distance of levels 1 to 4 and is 1 where all ratings agree on one level; `kappa_present` by distance in
     rank among the levels that occur, null there; `kappa_nominal` is unweighted. Macro F1 counts absent levels as zero.
-    Rows with a null or a level outside 1 to 4 are left out.
+    Rows with a null or a level outside 1 to 4 are left out. With no `digits` nothing is rounded, for means over groups.
     """
+    cut = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
     clean = pairs.where(F.col("x").isin(*LEVELS) & F.col("y").isin(*LEVELS))
     cells = clean.groupBy(*by).agg(*(F.count_if((F.col("x") == i) & (F.col("y") == j)).cast("double").alias(f"n{i}{j}") for i, j in _SPAN))
     n = {(i, j): F.col(f"n{i}{j}") for i, j in _SPAN}
@@ -40,13 +41,13 @@ def scores(pairs: DataFrame, *by: str) -> DataFrame:
     total = F.col("n")
     return cells.select(
         *by,
-        F.round(F.when(chance == 0, 1.0).otherwise(1 - total * F.try_divide(seen, chance)), 6).alias("kappa_fixed"),
-        F.round(1 - total * F.try_divide(seen_rank, chance_rank), 6).alias("kappa_present"),
-        F.round(1 - total * F.try_divide(missed, expected), 6).alias("kappa_nominal"),
-        F.round(f1, 6).alias("macro_f1"),
-        F.round(1 - missed / total, 6).alias("accuracy"),
-        F.round(sum(n[p] * abs(p[0] - p[1]) for p in _SPAN) / total, 6).alias("mae"),
-        F.round(seen / total, 6).alias("mse"),
+        cut(F.when(chance == 0, 1.0).otherwise(1 - total * F.try_divide(seen, chance))).alias("kappa_fixed"),
+        cut(1 - total * F.try_divide(seen_rank, chance_rank)).alias("kappa_present"),
+        cut(1 - total * F.try_divide(missed, expected)).alias("kappa_nominal"),
+        cut(f1).alias("macro_f1"),
+        cut(1 - missed / total).alias("accuracy"),
+        cut(sum(n[p] * abs(p[0] - p[1]) for p in _SPAN) / total).alias("mae"),
+        cut(seen / total).alias("mse"),
         total.cast("long").alias("n"),
     )
 

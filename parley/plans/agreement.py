@@ -12,13 +12,13 @@ from parley.sources.tables import predictions, ratings, with_views
 
 PAIRED = f"SELECT a.conv_id, a.utterance_id, a.aspect, a.rater_id AS ra, b.rater_id AS rb, a.rating AS x, b.rating AS y FROM ratings a JOIN ratings b USING ({ITEM}) WHERE a.rater_id < b.rater_id"
 _TYPE = "CASE WHEN aspect = 'A' THEN 'info' WHEN aspect IN ('N', 'R') THEN 'mix' END"
-REPORT = f"""(WITH k AS (SELECT conv_id, {_TYPE} AS task_type, aspect, ra, rb, coalesce(kappa_present, CAST('NaN' AS DOUBLE)) AS k FROM {_scores(PAIRED, 'conv_id, aspect, ra, rb')} WHERE n >= 3),
+REPORT = f"""(WITH k AS (SELECT conv_id, {_TYPE} AS task_type, aspect, ra, rb, coalesce(kappa_present, CAST('NaN' AS DOUBLE)) AS k FROM {_scores(PAIRED, 'conv_id, aspect, ra, rb', None)} WHERE n >= 3),
     e AS (SELECT conv_id, task_type, unnest([ra, rb]) AS rater_id, k FROM (SELECT conv_id, task_type, ra, rb, avg(k) AS k FROM k GROUP BY 1, 2, 3, 4)),
     m AS (SELECT conv_id, task_type, rater_id, avg(k) AS mean, count(*) AS n_pairs FROM e GROUP BY 1, 2, 3),
-    w AS (SELECT conv_id, task_type, rater_id, bool_or(m < -0.2) AS low_aspect FROM (SELECT conv_id, task_type, aspect, rater_id, round(avg(k), 6) AS m FROM (SELECT conv_id, task_type, aspect, unnest([ra, rb]) AS rater_id, k FROM k) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
-    r AS (SELECT conv_id, task_type, rater_id, CASE WHEN NOT isnan(mean) THEN round(mean, 6) END AS mean_qwk, coalesce(n_pairs, 0) AS n_pairs, low_aspect FROM (SELECT DISTINCT conv_id, {_TYPE} AS task_type, rater_id FROM ratings) LEFT JOIN m USING (conv_id, task_type, rater_id) LEFT JOIN w USING (conv_id, task_type, rater_id)),
-    l AS (SELECT *, coalesce(mean_qwk IS NOT NULL AND (mean_qwk < 0.3 OR low_aspect), false) AS low, row_number() OVER (PARTITION BY conv_id, task_type ORDER BY mean_qwk DESC NULLS LAST, n_pairs DESC, rater_id) AS rk FROM r)
-    SELECT conv_id, task_type, rater_id, mean_qwk, n_pairs, CASE WHEN count(*) FILTER (NOT low) OVER (PARTITION BY conv_id, task_type) < 2 THEN rk > 2 ELSE low END AS dropped FROM l)"""
+    w AS (SELECT conv_id, task_type, rater_id, bool_or(m < -0.2) AS low_aspect FROM (SELECT conv_id, task_type, aspect, rater_id, avg(k) AS m FROM (SELECT conv_id, task_type, aspect, unnest([ra, rb]) AS rater_id, k FROM k) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+    r AS (SELECT conv_id, task_type, rater_id, CASE WHEN NOT isnan(mean) THEN mean END AS mean_qwk, coalesce(n_pairs, 0) AS n_pairs, low_aspect FROM (SELECT DISTINCT conv_id, {_TYPE} AS task_type, rater_id FROM ratings) LEFT JOIN m USING (conv_id, task_type, rater_id) LEFT JOIN w USING (conv_id, task_type, rater_id)),
+    l AS (SELECT *, coalesce(mean_qwk IS NOT NULL AND (mean_qwk < 0.3 OR low_aspect), false) AS low, row_number() OVER (PARTITION BY conv_id, task_type ORDER BY round(mean_qwk, 9) DESC NULLS LAST, n_pairs DESC, rater_id) AS rk FROM r)
+    SELECT conv_id, task_type, rater_id, round(mean_qwk, 6) AS mean_qwk, n_pairs, CASE WHEN count(*) FILTER (NOT low) OVER (PARTITION BY conv_id, task_type) < 2 THEN rk > 2 ELSE low END AS dropped FROM l)"""
 KEPT = f"(SELECT *, {_TYPE} AS task_type FROM ratings) ANTI JOIN (SELECT * FROM {REPORT} WHERE dropped) USING (conv_id, task_type, rater_id)"
 _F = ", ".join(f"round(({' + '.join(f'c{j}' for j in range(1, k + 1))}) / n, 9) AS f{k}" for k in range(1, 5))
 _near = lambda k: f"list_min([{', '.join(f'''{{'d': round(abs(g[{j}] - f{k}), 9), 'k': {j}}}''' for j in range(1, 5))}]).k"
@@ -33,7 +33,7 @@ def _rated(name, operator, sql):
 
 _rated("outlier_report", agreement.outlier_report, f"SELECT * FROM {REPORT}")
 _rated("final_labels", agreement.final_labels, _labels(LINKED, 0.5))
-_rated("pairwise_baselines", agreement.pairwise_baselines, f"SELECT aspect, round(avg(kappa_present), 5) AS qwk, round(avg(accuracy), 5) AS accuracy, round(avg(macro_f1), 5) AS macro_f1, round(avg(mse), 5) AS mse, count(*) AS n_pairs FROM {_scores(PAIRED, 'aspect, ra, rb')} WHERE n >= 3 GROUP BY 1")
+_rated("pairwise_baselines", agreement.pairwise_baselines, f"SELECT aspect, round(avg(kappa_present), 5) AS qwk, round(avg(accuracy), 5) AS accuracy, round(avg(macro_f1), 5) AS macro_f1, round(avg(mse), 5) AS mse, count(*) AS n_pairs FROM {_scores(PAIRED, 'aspect, ra, rb', None)} WHERE n >= 3 GROUP BY 1")
 _rated("rater_confusion", agreement.rater_confusion, f"WITH p AS ({PAIRED}) SELECT aspect, ra, rb, x, y, count(*) AS n FROM (SELECT aspect, ra, rb, x, y FROM p UNION ALL SELECT aspect, 0, 0, x, y FROM p UNION ALL SELECT aspect, 0, 0, y, x FROM p) GROUP BY ALL".replace("WITH p AS", "SELECT * FROM (WITH p AS") + ")")
 
 _tops = {"lower": "list_min(ties)", "upper": "list_max(ties)", "prior": "list_min(list_filter(ties, lambda k: q[k] = list_max(list_transform(ties, lambda j: q[j]))))"}

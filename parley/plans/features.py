@@ -14,14 +14,15 @@ ASPECTS = ["A", "N", "R"]
 MODERATORS = ("system",)
 
 
-def _scores(pairs: str, by: str) -> str:
+def _scores(pairs: str, by: str, digits: int | None = 6) -> str:
+    cut = (lambda e: e) if digits is None else (lambda e: f"round({e}, {digits})")
     return f"""(WITH p AS ({pairs}), r AS (SELECT {by}, x AS k, count(*) AS a FROM p GROUP BY ALL), c AS (SELECT {by}, y AS k, count(*) AS b FROM p GROUP BY ALL),
     l AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY k) AS pos FROM (SELECT {by}, k, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM r FULL JOIN c USING ({by}, k))),
     t AS (SELECT {by}, count(*) AS n, avg(CAST(x = y AS INT)) AS acc, avg(abs(x - y)) AS mae, avg((x - y) ** 2) AS mse, avg((u.pos - v.pos) ** 2) AS mpos FROM p JOIN l u USING ({by}) JOIN l v USING ({by}) WHERE u.k = x AND v.k = y GROUP BY {by}),
     e AS (SELECT {by}, sum(u.a * v.b * (u.k - v.k) ** 2) AS ef, sum(u.a * v.b * (u.pos - v.pos) ** 2) AS ep, sum(u.a * v.b * CAST(u.k <> v.k AS INT)) AS en FROM l u JOIN l v USING ({by}) GROUP BY {by}),
     f AS (SELECT {by}, sum(2.0 * coalesce(tp, 0) / (a + b)) / 4 AS f1 FROM l LEFT JOIN (SELECT {by}, x AS k, count(*) AS tp FROM p WHERE x = y GROUP BY ALL) USING ({by}, k) GROUP BY {by})
-    SELECT {by}, round(CASE WHEN ef = 0 THEN 1.0 ELSE 1 - n * n * mse / ef END, 6) AS kappa_fixed, round(1 - n * n * mpos / nullif(ep, 0), 6) AS kappa_present, round(1 - n * n * (1 - acc) / nullif(en, 0), 6) AS kappa_nominal,
-    round(f1, 6) AS macro_f1, round(acc, 6) AS accuracy, round(mae, 6) AS mae, round(mse, 6) AS mse, n FROM t JOIN e USING ({by}) JOIN f USING ({by}))"""
+    SELECT {by}, {cut('CASE WHEN ef = 0 THEN 1.0 ELSE 1 - n * n * mse / ef END')} AS kappa_fixed, {cut('1 - n * n * mpos / nullif(ep, 0)')} AS kappa_present, {cut('1 - n * n * (1 - acc) / nullif(en, 0)')} AS kappa_nominal,
+    {cut('f1')} AS macro_f1, {cut('acc')} AS accuracy, {cut('mae')} AS mae, {cut('mse')} AS mse, n FROM t JOIN e USING ({by}) JOIN f USING ({by}))"""
 
 
 LEFT = "count(*) FILTER (b.rating = 1) AS c1, count(*) FILTER (b.rating = 2) AS c2, count(*) FILTER (b.rating = 3) AS c3, count(*) FILTER (b.rating = 4) AS c4, count(*) AS n, median(b.rating) AS med, avg(b.rating) AS mean"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parley.operators import models
+from parley.operators import models, trees
 from parley.registry import register
 from parley.sources.tables import ratings, with_views
 
@@ -22,3 +22,7 @@ register("fold_errors", lambda s, d: models.fold_errors(_items(s, d), "info", ["
 # Without SQL: tested against numpy.
 register("model_sweep", lambda s, d: models.sweep(_items(s, d), "info", ["length"], ["length", "novo", "relv"], "fold"))
 register("ordinal_report", lambda s, d: models.ordinal_report(_items(s, d), "info", {"length": ["length"], "full": ["length", "novo", "relv"]}, 4, "fold", 10))
+_KEYS = ["conv_id", "utterance_id"]
+register("forest_report", lambda s, d: trees.forest_report(_items(s, d), "info", ["length"], ["novo", "relv"], "fold", _KEYS, [1, 2, 3, 4], trees=20, depth=4))
+register("forest_importance", lambda s, d: trees.permutation_importance(_items(s, d), "info", ["length", "novo", "relv"], "fold", _KEYS, [1, 2, 3, 4], trees=20, depth=4, repeats=5))
+register("tree_errors", lambda s, d: trees.tree_errors(_items(s, d), "info", ["length", "novo", "relv"], "fold", _KEYS, trees=20, rounds=10, depth=2))

@@ -18,14 +18,13 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _plain(value):
-    if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 5) + 0.0
-    return value
+    return None if isinstance(value, float) and math.isnan(value) else value
 
 
 def rows(columns, data) -> list[tuple]:
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted((tuple(_plain(r[i]) for i in order) for r in data), key=repr)
+    key = lambda r: (repr([x for x in r if not isinstance(x, float)]), repr([round(x, 4) + 0.0 for x in r if isinstance(x, float)]))
+    return sorted((tuple(_plain(r[i]) for i in order) for r in data), key=key)
 
 
 def compare(spark, query, sql: str, sf_dir: str) -> None:
@@ -36,5 +35,5 @@ def compare(spark, query, sql: str, sf_dir: str) -> None:
     assert sorted(names) == sorted(df.columns)
     want = rows(names, result.fetchall())
     assert len(got) == len(want)
-    bad = [(g, w) for g, w in zip(got, want, strict=True) if g != w and not all(a == b or (isinstance(a, float) and isinstance(b, float) and abs(a - b) < 2e-5) for a, b in zip(g, w, strict=True))]
+    bad = [(g, w) for g, w in zip(got, want, strict=True) if g != w and not all(a == b or (isinstance(a, (int, float)) and isinstance(b, float) and math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)) for a, b in zip(g, w, strict=True))]
     assert not bad, bad[:3]
