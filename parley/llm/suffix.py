@@ -109,6 +109,12 @@ class Shard:
                 begin = np.flatnonzero(np.r_[True, second[1:] != second[:-1]])
                 found.append((begin + first, np.diff(np.r_[begin, last - first]), _spread(second[begin] ^ key)))
         at, size, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+        if (still := np.isin(keys, self.hot)).any():
+            # Each window by itself, under the hash of all its bytes.
+            many = size[still]
+            single = np.repeat(at[still] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            own = np.array([xxhash.xxh3_64_intdigest(self.raw[w : w + self.length]) for w in single.tolist()], dtype=np.uint64)
+            at, size, keys = (np.concatenate(x) for x in ((at[~still], single), (size[~still], np.ones(len(single), dtype=np.int64)), (keys[~still], _spread(own))))
         order = np.argsort(at)
         return at[order], size[order], keys[order]
 
@@ -357,20 +363,32 @@ def _shard(table: pa.Table, length: int, hot: np.ndarray) -> Shard:
 
 
 def hot_keys(docs: DataFrame, text_col: str, length: int) -> np.ndarray:
-    """Hashes under which a sample expects more than HOT_RUNS different runs, HOT_KEYS at most."""
+    """Hashes under which a sample expects more than HOT_RUNS different runs, HOT_KEYS at most: those of the first dealing,
+    and those that the second one leaves so."""
     rows = docs.count()
     of = max(1, min(rows // SAMPLE_ROWS, 10_000))
+    raw = F.col(text_col).cast("binary")
+    sample = docs.where(F.pmod(F.xxhash64(F.col(text_col), F.lit(1)), F.lit(of)) == 0).select(raw.alias("raw"))
+    hot = np.zeros(0, dtype=np.uint64)
+    for _ in range(2):
+        found = _sampled(sample, length, of, hot)
+        if not len(found):
+            break
+        hot = np.unique(np.concatenate((hot, found)))
+    return hot
+
+
+def _sampled(sample: DataFrame, length: int, of: int, hot: np.ndarray) -> np.ndarray:
+    """Hashes of a sample's runs, dealt with those known as hot, that expect too many different ones."""
 
     def read(batches):
         for batch in batches:
-            shard = Shard(np.zeros(batch.num_rows, dtype=np.int64), [t or b"" for t in batch.column("raw").to_pylist()], length)
+            shard = Shard(np.zeros(batch.num_rows, dtype=np.int64), [t or b"" for t in batch.column("raw").to_pylist()], length, hot)
             yield pa.RecordBatch.from_arrays([pa.array(shard.keys.view(np.int64)), pa.array(shard.sums.view(np.int64))], ["key", "sum"])
 
-    raw = F.col(text_col).cast("binary")
-    sample = docs.where(F.pmod(F.xxhash64(F.col(text_col), F.lit(1)), F.lit(of)) == 0).select(raw.alias("raw"))
     runs = sample.mapInArrow(read, "key long, sum long").distinct().groupBy("key").agg(F.count("*").alias("n"))
     found = runs.where((F.col("n") >= SAMPLE_LEAST) & (F.col("n") * of > HOT_RUNS)).orderBy(F.desc("n"), "key").limit(HOT_KEYS).collect()
-    return np.sort(np.array([r.key for r in found], dtype=np.int64).view(np.uint64))
+    return np.array([r.key for r in found], dtype=np.int64).view(np.uint64)
 
 
 def _found(shard: Shard, answers: pa.Table, parts: int) -> tuple[np.ndarray, np.ndarray, list]:

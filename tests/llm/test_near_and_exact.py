@@ -167,6 +167,9 @@ def test_hot_hashes_are_dealt_again(spark, monkeypatch):
     hot = suffix.hot_keys(docs, "text", 50)
     shards = [suffix.Shard(np.zeros(119, dtype=np.int64), [t.encode() for _, t in texts], hot=h) for h in (None, hot)]
     assert len(hot) and len(shards[1].keys) > len(shards[0].keys)
+    # What the next least hash leaves together goes by whole windows: no group to search is larger than that.
+    assert np.unique(shards[0].keys, return_counts=True)[1].max() > 60 and np.unique(shards[1].keys, return_counts=True)[1].max() <= 20
+    assert (shards[1].windows == 1).sum() > (shards[0].windows == 1).sum()
     got = suffix.repeated_spans(docs, shard_bytes=2000).collect()
     want = slow_spans([(i if i else 10_000, (t or "").encode()) for i, t in texts if i])
     assert {r.doc_id: len(r.kept_bytes) for r in got if r.doc_id} == {i: w[0] - w[1] for i, w in want.items()}
