@@ -6,6 +6,7 @@ between toxic and other training texts, and a logistic regression is fitted on t
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,28 +54,41 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(total, -500, 500))))
 
 
+def packed(text: str | None) -> bytes:
+    """The distinct hashes of a text, 2**BITS at most whatever its length, as compressed steps from one to the next."""
+    return zlib.compress(np.diff(np.unique(gram_hashes(text or "")).astype(np.int64), prepend=0).astype("<u4").tobytes(), 1)
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(blob), dtype="<u4").astype(np.int64))
+
+
 def fit(texts: list[str], labels: np.ndarray, max_features: int = MAX_FEATURES, penalty: float = 1e-3, rounds: int = 300) -> Model:
-    """Fit on texts and 0/1 labels. With no text of one class, the model gives that class' share everywhere."""
+    """Fit on texts and 0/1 labels."""
+    return fit_packed([packed(t) for t in texts], labels, max_features, penalty, rounds)
+
+
+def fit_packed(rows: list[bytes], labels: np.ndarray, max_features: int = MAX_FEATURES, penalty: float = 1e-3, rounds: int = 300) -> Model:
+    """Fit on texts' packed hashes and 0/1 labels. With no text of one class, the model gives that class' share everywhere."""
     labels = np.asarray(labels, dtype=float)
     n1, n0 = labels.sum(), (1 - labels).sum()
     slots = np.full(1 << BITS, -1, dtype=np.int16)
     if not n1 or not n0:
         return Model(slots, np.zeros(0), 20.0 if n1 else -20.0)
-    sets = [np.unique(gram_hashes(t)) for t in texts]
     seen = np.zeros((2, 1 << BITS))
-    for s, y in zip(sets, labels, strict=True):
-        seen[int(y), s] += 1
+    for r, y in zip(rows, labels, strict=True):
+        seen[int(y), unpacked(r)] += 1
     # Bernoulli log-count ratio, smoothed by one; its support decides which features stay.
     p1, p0 = (seen[1] + 1) / (n1 + 2), (seen[0] + 1) / (n0 + 2)
     ratio = np.log(p1 / (1 - p1)) - np.log(p0 / (1 - p0))
     gain = np.abs(p1 - p0) / np.sqrt((p1 * (1 - p1)) / n1 + (p0 * (1 - p0)) / n0)
-    gain[seen.sum(axis=0) < max(3, 0.002 * len(sets))] = 0
+    gain[seen.sum(axis=0) < max(3, 0.002 * len(rows))] = 0
     best = np.argsort(-gain, kind="stable")[:max_features]
     best = best[gain[best] > 0]
     slots[best] = np.arange(len(best))
-    x = np.zeros((len(sets), len(best)), dtype=np.float32)
-    for row, s in enumerate(sets):
-        at = slots[s]
+    x = np.zeros((len(rows), len(best)), dtype=np.float32)
+    for row, r in enumerate(rows):
+        at = slots[unpacked(r)]
         x[row, at[at >= 0]] = 1
     x *= ratio[best].astype(np.float32)
     w, bias = np.zeros(len(best), dtype=np.float64), float(np.log(n1 / n0))
@@ -101,7 +115,8 @@ def fit(texts: list[str], labels: np.ndarray, max_features: int = MAX_FEATURES,
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_per_class: int = MAX_PER_CLASS) -> Model:
     """Fit on the labelled texts outside the held-out fold: at most `max_per_class` of each class, those of least id hash.
 
-    Of rows that share an id, that of the least text hash counts; of labels that do, a toxic one.
+    Of rows that share an id, that of the least text hash counts; of labels that do, a toxic one. The driver gets hashes of a
+    bounded size, not texts.
     """
     fold = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(FOLDS))
     own = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -112,8 +127,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     first = [own.where((F.col("y") == y) & (place < 4.0 * max_per_class / sizes.get(y, 1))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class) for y in (0, 1)]
     chosen = F.broadcast(first[0].unionByName(first[1]))  # 2 * max_per_class rows at most
     texts = docs.where(fold != HELD_OUT).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = texts.join(chosen, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "y"), F.xxhash64("text")).alias("r")).select("doc_id", "r.*").orderBy("doc_id").collect()
-    model = fit([r.text or "" for r in rows], np.array([r.y for r in rows]))
+    rows = texts.join(chosen, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "y"), F.xxhash64("text")).alias("r")).select("doc_id", "r.y", F.udf(packed, "binary")("r.text").alias("x")).orderBy("doc_id").collect()
+    model = fit_packed([bytes(r.x) for r in rows], np.array([r.y for r in rows]))
     del rows
     scratch.sweep(docs.sparkSession)
     return model
