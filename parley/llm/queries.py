@@ -25,7 +25,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of the whole table after a load, take-downs, revisions and a return, each batch delivered twice.
+    """Totals of the whole table after a load, take-downs, revisions and a return, each batch delivered twice, with a compaction before the last.
 
     The load has every document, long ones still without their text. Short ones are then taken down, the long ones revised
     to their text, and the taken down ones come back, so that the totals are those of the table.
@@ -40,6 +40,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     rollup = tokencounts.Rollup(spark, scratch.fresh(spark, "token-counts"))
     for name, changes in batches.items():
+        if name == "return":
+            rollup.compact()
         for _ in range(2):
             rollup.apply(name, changes)
     return rollup.totals()

@@ -3,7 +3,8 @@
 A batch inserts, revises or deletes documents. Each change becomes signed rows: what the document counted before with a
 minus sign, and what it counts now. Their sums by source, language and tokenizer version are the batch's delta; totals
 are the sum of all committed deltas. A batch counts from the moment its commit file exists, which is created at once and
-only once, so delivering it again, or a run that died half-way, changes nothing.
+only once, so delivering it again, or a run that died half-way, changes nothing. Compaction folds the batches so far into one
+state, a row or so a document, which later batches meet instead; it is committed in the same way.
 """
 
 from __future__ import annotations
@@ -60,14 +61,18 @@ class Rollup:
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def committed(self) -> dict[str, str]:
-        """Attempt by batch."""
+        """Attempt by batch; of batches that a compaction covers, that of the one which covers most."""
         if not self._fs.exists(self._path(f"{self.folder}/commits")):
             return {}
         said = self.spark.read.text(f"{self.folder}/commits", wholetext=True).collect()  # a line for each batch
-        return {c["batch"]: c["attempt"] for c in (json.loads(r[0]) for r in said)}
+        commits = sorted((json.loads(r[0]) for r in said), key=lambda c: len(c.get("covers", ())))
+        found = {c["batch"]: c["attempt"] for c in commits if "batch" in c}
+        for c in commits:
+            found |= dict.fromkeys(c.get("covers", ()), c["attempt"])
+        return found
 
     def _read(self, kind: str, schema: str, batches: dict[str, str]) -> DataFrame:
-        paths = [f"{self.folder}/{kind}/{a}" for a in batches.values()]
+        paths = [f"{self.folder}/{kind}/{a}" for a in sorted(set(batches.values()))]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
@@ -102,13 +107,33 @@ class Rollup:
         delta = self.spark.read.schema(_CHANGES).parquet(f"{self.folder}/changes/{attempt}").groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in ADDITIVE))
         delta.write.parquet(f"{self.folder}/delta/{attempt}")
         self._fs.delete(self._path(staged), True)
-        return self._commit(batch, attempt)
+        return self._commit(uuid.uuid5(uuid.NAMESPACE_URL, batch).hex, attempt, {"batch": batch})
 
-    def _commit(self, batch: str, attempt: str) -> bool:
-        name = uuid.uuid5(uuid.NAMESPACE_URL, batch).hex
+    def compact(self, discard: bool = False) -> bool:
+        """Fold all committed batches into one attempt; False if there is but one to read.
+
+        A batch that is covered stays committed. What was read before stays as it is, for those that still read it, unless
+        `discard` says that nobody does. A compaction that dies half-way, or that a batch overtakes, changes nothing.
+        """
+        done = self.committed()
+        if len(set(done.values())) < 2:
+            return False
+        attempt = f"compact-{uuid.uuid4().hex}"
+        sums = [F.sum(c).alias(c) for c in ADDITIVE]
+        state = self._read("changes", _CHANGES, done).where("doc_id is not null").groupBy("doc_id", *KEYS).agg(*sums).where("n_docs <> 0 or n_tokens <> 0 or n_bytes <> 0")
+        state.select(*(x.split()[0] for x in _CHANGES.split(", "))).write.parquet(f"{self.folder}/changes/{attempt}")
+        self._read("delta", _DELTA, done).groupBy(*KEYS).agg(*sums).write.parquet(f"{self.folder}/delta/{attempt}")
+        if not self._commit(attempt, attempt, {"covers": sorted(done)}):
+            return False
+        for old in set(done.values()) if discard else ():
+            for kind in ("changes", "delta"):
+                self._fs.delete(self._path(f"{self.folder}/{kind}/{old}"), True)
+        return True
+
+    def _commit(self, name: str, attempt: str, said: dict) -> bool:
         draft, final = (self._path(f"{self.folder}/{d}/{n}") for d, n in (("drafts", attempt), ("commits", name)))
         out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps({"batch": batch, "attempt": attempt}).encode()))
+        out.write(bytearray(json.dumps(said | {"attempt": attempt}).encode()))
         out.close()
         self._fs.mkdirs(final.getParent())
         jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway

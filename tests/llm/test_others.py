@@ -370,7 +370,9 @@ def test_toxicity_scores_against_brute_force(spark):
     model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     texts = {r.doc_id: r.text for r in docs.collect()}
     got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
-    assert got.keys() == texts.keys() and all(abs(got[i] - slow_score(model, texts[i])) < 1e-9 for i in list(texts)[:40])
+    assert got.keys() == texts.keys() and all(abs(got[i] - slow_score(model, texts[i])) < 1e-9 for i in texts)
+    for t in (None, "", "x", "a long text " * 50):
+        assert toxicity.unpacked(toxicity.packed(t)).tolist() == sorted(set(toxicity.gram_hashes(t or "").tolist()))
 
 
 def test_quality_posterior_against_brute_force(spark):
@@ -423,5 +425,25 @@ def test_token_totals_after_every_batch(spark):
 
 def test_a_batch_commits_once(spark):
     roll = tokencounts.Rollup(spark, scratch.fresh(spark, "test"))
-    assert roll._commit("a", "first") and not roll._commit("a", "second") and roll._commit("b", "third")
+    assert roll._commit("x", "first", {"batch": "a"}) and not roll._commit("x", "second", {"batch": "a"}) and roll._commit("y", "third", {"batch": "b"})
     assert roll.committed() == {"a": "first", "b": "third"}
+    assert roll._commit("z", "both", {"covers": ["a", "b"]}) and roll._commit("w", "fourth", {"batch": "c"}) and roll._commit("v", "fewer", {"covers": ["a"]})
+    assert roll.committed() == {"a": "both", "b": "both", "c": "fourth"}
+
+
+@pytest.mark.parametrize("discard", [False, True])
+def test_compaction_changes_no_total(spark, discard):
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, source string, lang string, text string, deleted boolean")
+    roll = tokencounts.Rollup(spark, scratch.fresh(spark, "test"), {"words-v1": tokencounts.word_count})
+    total = lambda: sorted(((r.source, r.n_docs, r.n_tokens) for r in roll.totals().collect()), key=repr)
+    assert not roll.compact()
+    assert roll.apply("a", make([(1, "s", "en", "a b c", None), (2, "s", "en", "x", False), (3, "t", "en", "y y", False), (None, "u", None, "n", None)]))
+    assert not roll.compact() and roll.apply("b", make([(2, "s", "en", None, True), (1, "t", "en", "a", False)]))
+    want = total()
+    assert roll.compact(discard) and total() == want and not roll.compact()
+    assert len(set(roll.committed().values())) == 1 and set(roll.committed()) == {"a", "b"}
+    assert not roll.apply("b", make([(9, "s", "en", "late", False)])) and total() == want
+    # Later batches take back what the compacted state holds.
+    assert roll.apply("c", make([(1, "t", "en", "a b c d", False), (3, "t", "en", None, True), (2, "s", "en", "back", False)]))
+    assert total() == [("s", 1, 1), ("t", 1, 4), ("u", 1, 1)]
+    assert roll.compact(discard) and total() == [("s", 1, 1), ("t", 1, 4), ("u", 1, 1)] and set(roll.committed()) == {"a", "b", "c"}
