@@ -65,6 +65,14 @@ def truth_by_span(ratings: DataFrame, turns: int = 10) -> DataFrame:
     return held.select("span", *ITEM, F.round("y", 6).alias("soft"), F.col("y_hard").alias("hard"))
 
 
+def checked_coverage(predictions: DataFrame, ratings: DataFrame) -> DataFrame:
+    """The predictions, if every run of every model has a rating above 1 for every rated item; else an error that names the worst runs."""
+    worst = coverage_gaps(predictions, ratings).orderBy(F.desc("n_missing"), "model", "context", "run").limit(5).collect()
+    if worst:
+        raise ValueError("ratings are missing: " + ", ".join(f"{r.n_missing} of {r.model}/{r.context}/{r.run}" for r in worst))
+    return predictions
+
+
 def coverage_gaps(predictions: DataFrame, ratings: DataFrame) -> DataFrame:
     """How many rated items each run of a model lacks a rating above 1 for; runs without a gap are left out.
 

@@ -102,11 +102,23 @@ def human_range(ratings: DataFrame) -> DataFrame:
     return leave_one_out(ratings).groupBy("aspect").agg(F.round(F.avg("mae"), 5).alias("mean_mae"), F.round(F.stddev_pop("mae"), 5).alias("sd_mae"), F.count("*").alias("n_raters"))
 
 
-def majority(ratings: DataFrame, least: int = 2) -> DataFrame:
-    """The most frequent level of items with `least` raters or more; items whose top two levels tie are left out."""
+def majority(ratings: DataFrame, least: int = 2, ties: str = "skip") -> DataFrame:
+    """The most frequent level of items with `least` raters or more; of levels that tie the lowest (`min`) or highest (`max`), or the item is left out (`skip`)."""
+    if ties not in ("skip", "min", "max"):
+        raise ValueError(f"unknown rule for ties: {ties}")
     out = _counts(ratings, *ITEM).where(F.col("n") >= least).withColumn("most", F.greatest(*(f"c{k}" for k in LEVELS)))
-    ties = sum((F.col(f"c{k}") == F.col("most")).cast("int") for k in LEVELS)
-    return out.where(ties == 1).select(*ITEM, F.coalesce(*(F.when(F.col(f"c{k}") == F.col("most"), k) for k in LEVELS)).alias("vote"))
+    tops = sum((F.col(f"c{k}") == F.col("most")).cast("int") for k in LEVELS)
+    out = out.where(tops == 1) if ties == "skip" else out
+    return out.select(*ITEM, F.coalesce(*(F.when(F.col(f"c{k}") == F.col("most"), k) for k in (reversed(LEVELS) if ties == "max" else LEVELS))).alias("vote"))
+
+
+def crosstab(pairs: DataFrame, *by: str, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """(by, x, y, n, row_share, column_share, share): counts of every pair of levels, those that don't occur included."""
+    counts = pairs.groupBy(*by).agg(*(F.count_if((F.col("x") == i) & (F.col("y") == j)).alias(f"n{i}{j}") for i in levels for j in levels))
+    n = lambda where: sum((F.col(f"n{i}{j}") for i in levels for j in levels if where(i, j)), F.lit(0))
+    part = lambda i, j, total: F.round(F.try_divide(F.col(f"n{i}{j}"), total), 6)
+    cells = [F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.col(f"n{i}{j}").alias("n"), part(i, j, n(lambda a, b, i=i: a == i)).alias("row_share"), part(i, j, n(lambda a, b, j=j: b == j)).alias("column_share"), part(i, j, n(lambda a, b: True)).alias("share")) for i in levels for j in levels]
+    return counts.select(*by, F.inline(F.array(*cells)))
 
 
 def confusion(ratings: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.operators.ranks import correlations
@@ -43,6 +43,13 @@ def aspect_pairs(ratings: DataFrame) -> DataFrame:
     return wide(ratings).select(F.inline(pairs))
 
 
+def spearman_by(ratings: DataFrame, corpus: Column) -> DataFrame:
+    """Rank correlation of each pair of aspects, over all items (`all`) and by corpus, an expression on the conversation."""
+    named = wide(ratings).withColumn("corpus", F.explode(F.array(F.lit("all"), corpus.cast("string"))))
+    pairs = F.array(*(F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in (("A", "N"), ("A", "R"), ("N", "R"))))
+    return correlations(named.select("corpus", F.inline(pairs)), "corpus", "first", "second", least=1).select("corpus", "first", "second", F.col("spearman").alias("rho"), "n")
+
+
 def spearman(ratings: DataFrame) -> DataFrame:
     """Rank correlation of each pair of aspects over items that have both; null if one is constant."""
     return correlations(aspect_pairs(ratings), "first", "second", least=1).select("first", "second", F.col("spearman").alias("rho"), "n")

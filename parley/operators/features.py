@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +34,22 @@ def top_means(values: DataFrame, *by: str) -> DataFrame:
     return ranked.groupBy(*by).agg(top(share(0.25)).alias("top_quarter"), top(share(0.5)).alias("top_half"), top(F.lit(2)).alias("top_two"), F.round(harmonic, 6).alias("harmonic"), F.round(F.stddev_samp("value"), 6).alias("sd"), F.round(F.avg((F.col("value") >= 100).cast("int")), 6).alias("share_high"))
 
 
+def interaction_grid(wide: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """Every pair of columns, and all of them (`agg`): minimum, maximum and mean of those that are not null, product and geometric mean.
+
+    A null makes the product null; the geometric mean of a product of 0 is that of 1e-9.
+    """
+    out = []
+    for name, of in [(f"{a}_{b}", (a, b)) for i, a in enumerate(columns) for b in columns[i + 1 :]] + [("agg", columns)]:
+        cells = [F.col(c).cast("double") for c in of]
+        known = F.array_compact(F.array(*cells))
+        product = reduce(lambda x, y: x * y, cells)
+        total = F.aggregate(known, F.lit(0.0), lambda s, x: s + x)
+        parts = {"min": F.array_min(known), "max": F.array_max(known), "mean": F.try_divide(total, F.size(known)), "prod": product, "gmean": F.pow(F.when(product == 0, 1e-9).otherwise(product), 1 / len(of))}
+        out += [F.round(c, 6).alias(f"{n}_{name}") for n, c in parts.items()]
+    return wide.select(*keys, *out)
+
+
 def interactions(wide: DataFrame, first: str, second: str, keys: list[str]) -> DataFrame:
     """Minimum, maximum, mean, product and geometric mean of two columns; null where one is."""
     a, b = F.col(first), F.col(second)
@@ -80,10 +98,11 @@ def intervals(starts: DataFrame, sizes: DataFrame) -> DataFrame:
     return rows.select("conv_id", (F.row_number().over(order) - 1).alias("segment"), "start", F.coalesce(F.lead("start").over(order), "n").alias("end"))
 
 
-def mark_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """Rows with the last segment whose span, ends included, covers their place; null outside all spans."""
+def mark_spans(rows: DataFrame, spans: DataFrame, closed: bool = True) -> DataFrame:
+    """Rows with the last segment whose span covers their place, its end included if `closed`; null outside all spans."""
+    upto = F.col("idx") <= F.col("end") if closed else F.col("idx") < F.col("end")
     s = spans.select(F.col("conv_id").alias("c"), "segment", "start", "end")
-    met = rows.join(s, (F.col("conv_id") == F.col("c")) & F.col("idx").between(F.col("start"), F.col("end")), "left")
+    met = rows.join(s, (F.col("conv_id") == F.col("c")) & (F.col("idx") >= F.col("start")) & upto, "left")
     return met.groupBy("conv_id", "idx").agg(F.max("segment").alias("segment"))
 
 

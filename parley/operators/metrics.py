@@ -95,7 +95,7 @@ def _span(values: DataFrame, deviation) -> DataFrame:
     """Mean kappa and one deviation to either side of it, within [-1, 1]; `values` has a column k."""
     out = values.agg(F.avg("k").alias("m"), deviation("k").alias("s"), F.min("k").alias("min_qwk"), F.max("k").alias("max_qwk"), F.count("k").alias("n"))
     clip = lambda c: F.round(F.when(c.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))), 5)
-    return out.select("aspect", F.round("m", 5).alias("mean_qwk"), F.round("s", 5).alias("sd_qwk"), clip(F.col("m") - F.col("s")).alias("lower"), clip(F.col("m") + F.col("s")).alias("upper"), F.round("min_qwk", 5).alias("min_qwk"), F.round("max_qwk", 5).alias("max_qwk"), "n")
+    return out.select(*(c for c in out.columns if c not in ("m", "s", "min_qwk", "max_qwk", "n")), F.round("m", 5).alias("mean_qwk"), F.round("s", 5).alias("sd_qwk"), clip(F.col("m") - F.col("s")).alias("lower"), clip(F.col("m") + F.col("s")).alias("upper"), F.round("min_qwk", 5).alias("min_qwk"), F.round("max_qwk", 5).alias("max_qwk"), "n")
 
 
 def human_kappa_range(ratings: DataFrame) -> DataFrame:
@@ -104,10 +104,11 @@ def human_kappa_range(ratings: DataFrame) -> DataFrame:
     return _span(scores(pairs, "aspect", "rater_id").withColumnRenamed("kappa_present", "k").groupBy("aspect"), F.stddev_pop)
 
 
-def model_kappa_range(predictions: DataFrame, ratings: DataFrame) -> DataFrame:
-    """By aspect, the range of models' kappa against the majority vote, with the sample deviation; a context is a model of its own."""
-    pairs = predictions.join(majority(ratings), list(ITEM)).select("aspect", "model", "context", F.col("vote").alias("x"), F.col("rating").alias("y"))
-    return _span(scores(pairs, "aspect", "model", "context").withColumnRenamed("kappa_fixed", "k").groupBy("aspect"), F.stddev_samp)
+def model_kappa_range(predictions: DataFrame, ratings: DataFrame, *by: Column) -> DataFrame:
+    """By aspect, and by expressions on an item such as its corpus, the range of models' kappa against the majority vote, with the sample deviation; a context is a model of its own."""
+    pairs = predictions.join(majority(ratings), list(ITEM)).select(*by, "aspect", "model", "context", F.col("vote").alias("x"), F.col("rating").alias("y"))
+    group = [c for c in pairs.columns if c not in ("model", "context", "x", "y")]
+    return _span(scores(pairs, *group, "model", "context").withColumnRenamed("kappa_fixed", "k").groupBy(*group), F.stddev_samp)
 
 
 def against_seed(ratings: DataFrame, seed: int) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.functions.scalars import marked_number
+from parley.operators.metrics import t_probabilities
+
 # What an aspect is called, by its release name.
 ASPECT_NAMES = {
     "Scope": ("scope", "implication_scope", "implication scope", "imsc"),
@@ -160,11 +163,24 @@ def previous_flags(turns: DataFrame, flags: DataFrame, acts: list[str]) -> DataF
 
 
 def flag_lift(previous: DataFrame, acts: list[str]) -> DataFrame:
-    """By act, the outcome after turns with it, its standard error, and its lift over all turns and over those after a turn without it."""
-    rows = previous.select("value", F.inline(F.array(*(F.struct(F.lit(a).alias("act"), F.col(f"prev_{a}").alias("flag")) for a in acts))))
-    on, off = (F.when(F.col("flag") == k, F.col("value")) for k in (1, 0))
-    g = rows.groupBy("act").agg(F.avg("value").alias("overall"), F.avg(on).alias("mean"), F.avg(off).alias("other"), F.stddev_samp(on).alias("sd"), F.count(on).alias("n"))
-    return g.select("act", F.round("mean", 6).alias("mean"), F.round(F.try_divide(F.col("sd"), F.sqrt("n")), 6).alias("sem"), F.round(F.col("mean") - F.col("overall"), 6).alias("lift_overall"), F.round(F.col("mean") - F.col("other"), 6).alias("lift_other"), "n")
+    """By act and level (1 after a turn with it, else 0, also before any turn of a moderator), the outcome and its lift.
+
+    mean, sem (standard error), n; lift_overall: over all turns with an outcome; lift_other: over the other level; p: Welch's
+    test of the two levels, on level 1 if both have two turns or more; marked: the lift over all, starred if p is below 0.05.
+    """
+    flag = lambda a: F.greatest(F.lit(0), F.least(F.lit(1), F.coalesce(F.col(f"prev_{a}"), F.lit(0)))).cast("int")
+    rows = previous.where("value is not null").select("value", F.inline(F.array(*(F.struct(F.lit(a).alias("act"), flag(a).alias("level")) for a in acts))))
+    g = rows.groupBy("act", "level").agg(F.avg("value").alias("mean"), F.sum("value").alias("s"), F.var_samp("value").alias("v"), F.count("*").alias("n"))
+    # Two rows an act from here.
+    of = Window.partitionBy("act")
+    other = lambda c: F.sum(c).over(of) - F.col(c)
+    g = g.select("*", F.count("*").over(of).alias("levels"), other("mean").alias("m2"), other("v").alias("v2"), other("n").alias("n2"), (F.sum("s").over(of) / F.sum("n").over(of)).alias("overall"))
+    a, b = F.col("v") / F.col("n"), F.try_divide("v2", "n2")
+    both = (F.col("level") == 1) & (F.col("levels") == 2) & (F.col("n") >= 2) & (F.col("n2") >= 2)
+    t = F.try_divide(F.col("mean") - F.col("m2"), F.sqrt(a + b))
+    freedom = F.try_divide(F.pow(a + b, 2), F.try_divide(a * a, F.col("n") - 1) + F.try_divide(b * b, F.col("n2") - 1))
+    g = g.withColumn("p", t_probabilities(F.when(both, t), F.when(both, freedom))).withColumn("lift", F.col("mean") - F.col("overall"))
+    return g.select("act", "level", F.round("mean", 6).alias("mean"), F.round(F.sqrt("v") / F.sqrt("n"), 6).alias("sem"), "n", F.round("lift", 6).alias("lift_overall"), F.round(F.when(F.col("levels") == 2, F.col("mean") - F.col("m2")), 6).alias("lift_other"), "p", marked_number(F.col("lift"), F.col("p")).alias("marked"))
 
 
 def peaks(curves: DataFrame, k: int, least: int) -> DataFrame:

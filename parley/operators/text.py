@@ -96,3 +96,28 @@ def describe(utterances: DataFrame) -> DataFrame:
     """Utterances, speakers and words of conversations: mean and sample deviation over them, in total."""
     each = utterances.groupBy("conv_id").agg(F.count("*").alias("u"), F.count_distinct("role").alias("s"), F.sum(F.size(F.split("text", " "))).alias("w"))
     return each.agg(F.count("*").alias("n_conversations"), *(x for c, n in (("u", "utterances"), ("s", "speakers"), ("w", "words")) for x in (F.round(F.avg(c), 6).alias(f"{n}_mean"), F.round(F.stddev_samp(c), 6).alias(f"{n}_sd"))))
+
+
+def summary(values: DataFrame, *by: str) -> DataFrame:
+    """Mean, sample deviation, least, largest and count of `value` by group."""
+    return values.groupBy(*by).agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("sd"), F.min("value").alias("least"), F.max("value").alias("largest"), F.count("value").alias("n"))
+
+
+def describe_segments(utterances: DataFrame, roles: tuple[str, ...] = MODERATORS) -> DataFrame:
+    """By corpus, and over all (`all`): utterances, and means and sample deviations over segments.
+
+    utterances: (corpus, conv_id, segment_id, idx, role, text), a speaker being a role. Over all utterances: how many a segment
+    has and its speakers; over those that raters may not skip: words of one, and the Gini coefficient of words by speaker; and
+    the shares of utterances and words that may be skipped. A segment without an utterance left has no words and no Gini.
+    """
+    own = utterances.select("corpus", "conv_id", "segment_id", "idx", "role").join(skip_flags(utterances, roles), ["conv_id", "idx"])
+    key = ["corpus", "conv_id", "segment_id"]
+    kept = F.when(~F.col("skip"), F.col("n_words"))
+    segments = own.groupBy(*key).agg(F.count("*").alias("u"), F.count(kept).alias("kept"), F.count_distinct("role").alias("s"), F.avg(kept).alias("w"), F.avg(F.col("skip").cast("int")).alias("su"), F.try_divide(F.sum(F.when(F.col("skip"), F.col("n_words"))), F.sum("n_words")).alias("sw"), F.sum("n_words").alias("all_words"))
+    segments = segments.withColumn("sw", F.when(F.col("all_words") > 0, F.coalesce("sw", F.lit(0.0))))
+    speakers = own.where("not skip").groupBy(*key, "role").agg(F.sum("n_words").alias("x")).withColumn("i", F.row_number().over(Window.partitionBy(*key).orderBy("x", "role")))
+    n, total = F.count("*"), F.sum("x")
+    even = speakers.groupBy(*key).agg(F.coalesce(F.try_divide(2.0 * F.sum(F.col("i") * F.col("x")), n * total) - (n + 1) / n, F.lit(0.0)).alias("g"))
+    each = segments.join(even, key, "left").withColumn("corpus", F.explode(F.array("corpus", F.lit("all"))))
+    names = {"u": "utterances", "s": "speakers", "w": "words", "g": "gini", "su": "skipped_utterances", "sw": "skipped_words"}
+    return each.groupBy("corpus").agg(F.count("*").alias("n_segments"), F.sum("u").alias("n_utterances"), F.sum("kept").alias("n_kept"), *(F.round(f(c), 6).alias(f"{n}_{k}") for c, n in names.items() for f, k in ((F.avg, "mean"), (F.stddev_samp, "sd"))))

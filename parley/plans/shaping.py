@@ -84,7 +84,10 @@ _flags = lambda s, d: shaping.flag_sequence(*_turns(s, d), _ACTS)
 _previous = lambda s, d: shaping.previous_flags(_turns(s, d)[0], _flags(s, d), _ACTS)
 register("act_sequence", _flags, _acted("SELECT * FROM m", _TURN))
 register("previous_flags", lambda s, d: _previous(s, d).withColumn("value", F.round("value", 6)), _acted("SELECT * REPLACE (round(value, 6) AS value) FROM p", _TURN, _FOLLOWED))
-register("flag_lift", lambda s, d: shaping.flag_lift(_previous(s, d), _ACTS), _acted("SELECT act, round(a, 6) AS mean, round(sd / sqrt(nullif(n, 0)), 6) AS sem, round(a - o, 6) AS lift_overall, round(a - b, 6) AS lift_other, n FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS act, avg(value) AS o, avg(value) FILTER (prev_{a} = 1) AS a, avg(value) FILTER (prev_{a} = 0) AS b, stddev_samp(value) FILTER (prev_{a} = 1) AS sd, count(value) FILTER (prev_{a} = 1) AS n FROM p" for a in _ACTS) + ")", _TURN, _FOLLOWED))
+_LEVELS = " UNION ALL ".join(f"SELECT '{a}' AS act, greatest(0, least(1, coalesce(prev_{a}, 0))) AS level, value FROM p WHERE value IS NOT NULL" for a in _ACTS)
+register("flag_lift", lambda s, d: shaping.flag_lift(_previous(s, d), _ACTS).drop("p", "marked"), _acted(f"""SELECT act, level, round(m, 6) AS mean, round(sd / sqrt(n), 6) AS sem, n, round(m - sum(m * n) OVER w / sum(n) OVER w, 6) AS lift_overall, round(m - CASE level WHEN 1 THEN any_value(m) FILTER (level = 0) OVER w ELSE any_value(m) FILTER (level = 1) OVER w END, 6) AS lift_other
+    FROM (SELECT act, CAST(level AS INT) AS level, avg(value) AS m, stddev_samp(value) AS sd, count(*) AS n FROM ({_LEVELS}) GROUP BY 1, 2) WINDOW w AS (PARTITION BY act)""", _TURN, _FOLLOWED))
+register("flag_lift_marked", lambda s, d: shaping.flag_lift(_previous(s, d), _ACTS))
 register("curve_peaks", lambda s, d: shaping.peaks(adjacency.lag_curves(acts(s, d)), 3, 5), with_views(f"SELECT act, max(mean_value) AS peak, CAST(row_number() OVER (ORDER BY max(mean_value) DESC, act) AS INT) AS rank FROM (SELECT act, lag, round(avg(value), 6) AS mean_value, count(*) AS n FROM {PREV} WHERE lag BETWEEN 1 AND 5 GROUP BY 1, 2) WHERE n >= 5 GROUP BY 1 QUALIFY row_number() OVER (ORDER BY max(mean_value) DESC, act) <= 3", "acts"))
 register("strongest_correlations", lambda s, d: comparison.by_strength(ranks.correlations(evaluation.aspect_pairs(ratings(s, d)), "first", "second").select("first", "second", "spearman")), with_views(f"""SELECT first, second, spearman, CAST(row_number() OVER (ORDER BY abs(spearman) DESC, first, second) AS INT) AS rank FROM (SELECT first, second, round(corr(rx, ry), 6) AS spearman
     FROM (SELECT *, rank() OVER (PARTITION BY first, second ORDER BY x) + (count(*) OVER (PARTITION BY first, second, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY first, second ORDER BY y) + (count(*) OVER (PARTITION BY first, second, y) - 1) / 2 AS ry FROM {_PAIRS} WHERE x IS NOT NULL AND y IS NOT NULL) GROUP BY 1, 2 HAVING count(*) >= 10)""", "ratings"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from parley.functions.scalars import plain_punctuation
+
 
 def read_transcripts(spark: SparkSession, path: str, schema: str | StructType, required: str = "utterance_text") -> DataFrame:
     """CSV transcripts below a path or glob, with a header each; the file's name without its ending is `conversation_id`.
@@ -99,3 +101,27 @@ def memory_vectors(metas: DataFrame) -> DataFrame:
     """A row for each prior memory that has an embedding, from (conversation_id, file_name, prior_memory); the id has the prefix that its file has."""
     rows = metas.select(F.when(F.col("file_name").startswith("insq_") & ~F.col("conversation_id").startswith("insq_"), F.concat(F.lit("insq_"), "conversation_id")).otherwise(F.col("conversation_id")).alias("conversation_id"), F.explode("prior_memory").alias("m"))
     return rows.where("m.embedding is not null").select("conversation_id", F.col("m.id").alias("memory_id"), F.col("m.memory").alias("memory"), F.col("m.embedding").alias("embedding"))
+
+
+#: An utterance of a corpus, one a line; only these fields are parsed.
+CORPUS_LINE = "id string, conversation_id string, root string, speaker string, user string, timestamp double, text string, meta struct<segment:string,speakertype:string,nontext:string>"
+
+
+def read_corpus(spark: SparkSession, folder: str, ids: list[str] | None = None) -> DataFrame:
+    """Transcript rows of a conversation corpus: `utterances.jsonl`, a line an utterance, and `conversations.json`, one object by id.
+
+    (title, conversation_id, phase, utterance_id, utterance_index, utterance_speaker, role, nontext, utterance_text, segment) with
+    plain quotes and dashes, and without dashes at a text's start. Utterances without a text are left out before they are
+    numbered, by time and then by the number in their id; a text of dashes alone stays and is empty. Older corpora say `root`
+    and `user` for the conversation and the speaker. ids: only these conversations, which the scan leaves out of what it keeps.
+    A conversation that the second file lacks has no title. Lines are split over tasks; the second file is one task's.
+    """
+    lines = spark.read.schema(CORPUS_LINE).json(f"{folder}/utterances.jsonl")
+    rows = lines.select(F.coalesce("conversation_id", "root").alias("conversation_id"), F.col("meta.segment").alias("phase"), F.col("id").alias("utterance_id"), F.coalesce("speaker", "user").alias("utterance_speaker"), F.col("meta.speakertype").alias("role"), F.col("meta.nontext").alias("nontext"), "text", "timestamp").where(F.length("text") > 0)
+    rows = rows if ids is None else rows.where(F.col("conversation_id").isin(*ids))
+    order = Window.partitionBy("conversation_id").orderBy("timestamp", F.regexp_extract("utterance_id", r"(\d+)\D*$", 1).try_cast("long"), "utterance_id")
+    clean = plain_punctuation(F.col("text"))
+    whole = spark.read.text(f"{folder}/conversations.json", wholetext=True)
+    titles = whole.select(F.explode(F.from_json("value", "map<string,struct<meta:struct<title:string>,title:string>>")).alias("conversation_id", "v")).select("conversation_id", F.coalesce("v.meta.title", "v.title").alias("title"))
+    out = rows.withColumn("utterance_index", F.row_number().over(order) - 1).join(titles, "conversation_id", "left")
+    return out.select("title", "conversation_id", "phase", "utterance_id", "utterance_index", "utterance_speaker", "role", "nontext", clean.alias("utterance_text"), F.lit(-1).alias("segment"))
