@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from parley.functions.checks import rater_name
+from parley.operators.numbering import numbered
 
 # Options of whom an utterance is addressed to, before the speakers, and the end of a sentence.
 OPTIONS = ("0 (Unknown)", "1 (Self)", "2 (Everyone)", "3 (Audience)")
@@ -43,9 +44,9 @@ def stack(rows: DataFrame) -> DataFrame:
     counted = rows.groupBy("episode", start.alias("start")).agg(F.count("*").alias("n"), F.min("conv_id").alias("given"))
     known = counted.groupBy("episode").agg(F.min("given").alias("given"), F.min(F.when(F.col("start").isNotNull(), F.struct(-F.col("n"), "start")))["start"].alias("start"))
     known = known.withColumn("conv_id", F.coalesce("given", "start"))
-    # Few rows: a number for each episode that has no other id.
-    numbered = known.where("conv_id is null").select("episode", F.format_string("epi_%03d", F.row_number().over(Window.orderBy("episode"))).alias("number"))
-    ids = known.select("episode", "conv_id").join(numbered, "episode", "left").select("episode", F.coalesce("conv_id", "number").alias("conv_id"))
+    # A number for each episode that has no other id.
+    unnamed = numbered(known.where("conv_id is null").select("episode"), "episode", "at").select("episode", F.format_string("epi_%03d", F.col("at") + 1).alias("number"))
+    ids = known.select("episode", "conv_id").join(unnamed, "episode", "left").select("episode", F.coalesce("conv_id", "number").alias("conv_id"))
     again = rows.groupBy("utterance_id").agg(F.count("*").alias("n")).where("n > 1 and utterance_id is not null").select("utterance_id", F.lit(True).alias("again"))
     out = rows.drop("conv_id").join(ids, "episode").join(again, "utterance_id", "left")
     return out.withColumn("utterance_id", F.when(F.col("again"), F.concat_ws("::", "utterance_id", "conv_id")).otherwise(F.col("utterance_id"))).drop("again")

@@ -148,7 +148,7 @@ class OrderedLogit:
                     step[i] = 0
             if not active.any():
                 break
-        self.likelihood = best
+        self.likelihood, self.settled = best, not active.any()
 
     def _pass(self, params: np.ndarray, score: bool = False) -> np.ndarray:
         """Sums of every fit over its own rows; with `score` the log-likelihood, squared error and weight of its left-out fold."""
@@ -201,6 +201,7 @@ def ordinal_report(rows: DataFrame, target: str, models: dict[str, list[str]], l
     """A row a model: criteria, and mean and sample deviation over folds of the left-out negative log-likelihood and squared error.
 
     Against the first model: the likelihood ratio of those with more features, and Student's t of the folds' likelihoods.
+    `settled` is false where a fit still rose when its steps ended.
     """
     rows = rows.na.drop(subset=[target, fold, *{f for fs in models.values() for f in fs}])  # all on the same rows
     out, first = [], None
@@ -214,6 +215,6 @@ def ordinal_report(rows: DataFrame, target: str, models: dict[str, list[str]], l
         less = first[2] - nll
         t = float(less.mean() / (less.std(ddof=1) / math.sqrt(len(less)))) if len(less) > 1 and less.std() > 0 else None
         tests = (lr, lr_p, t, t_probability(t, len(less) - 1))
-        out.append((name, len(features), fit.n, *(round(v, 4) for v in fit.criteria().values()), round(float(nll.mean()), 5), sd(nll), round(float(mse.mean()), 5), sd(mse), *(v if v is None else round(v, 5) for v in tests)))
+        out.append((name, len(features), fit.n, *(round(v, 4) for v in fit.criteria().values()), round(float(nll.mean()), 5), sd(nll), round(float(mse.mean()), 5), sd(mse), *(v if v is None else round(v, 5) for v in tests), bool(fit.settled)))
         fit.close()
-    return rows.sparkSession.createDataFrame(out, "model string, n_features int, n long, log_likelihood double, aic double, bic double, nll_mean double, nll_sd double, mse_mean double, mse_sd double, lr double, lr_p double, t double, t_p double")
+    return rows.sparkSession.createDataFrame(out, "model string, n_features int, n long, log_likelihood double, aic double, bic double, nll_mean double, nll_sd double, mse_mean double, mse_sd double, lr double, lr_p double, t double, t_p double, settled boolean")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.operators.metrics import f_probability
+from parley.operators.numbering import median
 
 
 class Moments:
@@ -82,7 +83,7 @@ def residuals(pairs: DataFrame, keys: list[str], *by: str) -> DataFrame:
 
 def standardise(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Columns with nulls replaced by the median, less their mean, over their population deviation; a constant column gives 0."""
-    medians = rows.agg(*(F.median(c).alias(f"{c}_mid") for c in columns))
-    filled = rows.join(F.broadcast(medians)).select(*keys, *(F.coalesce(F.col(c), F.col(f"{c}_mid")).cast("double").alias(c) for c in columns))
+    middles = {c: median(rows, c) for c in columns}
+    filled = rows.select(*keys, *(F.coalesce(F.col(c).cast("double"), F.lit(middles[c])).alias(c) for c in columns))
     spread = filled.agg(*(f(c).alias(f"{c}_{n}") for c in columns for f, n in ((F.avg, "mean"), (F.stddev_pop, "sd"))))
     return filled.join(F.broadcast(spread)).select(*keys, *(F.round(F.coalesce(F.try_divide(F.col(c) - F.col(f"{c}_mean"), F.col(f"{c}_sd")), F.lit(0.0)), 6).alias(c) for c in columns))

@@ -21,7 +21,7 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
 
 
 def _load() -> None:
-    from parley.plans import agreement, catalog, features, models, phrases, proxies, reports, shaping, tasks, wider  # noqa: F401  register on import
+    from parley.plans import agreement, catalog, features, grown, models, phrases, proxies, reports, shaping, tasks, wider  # noqa: F401  register on import
 
 
 def queries() -> dict[str, Query]:

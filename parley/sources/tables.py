@@ -22,6 +22,12 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.groupBy("conv_id", "utterance_id", "aspect", "rater_id").agg(F.max("rating").alias("rating"))
 
 
+def order_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings whose conversations grow in number with the table: an order is an utterance, a hundred in a row a conversation."""
+    rated = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey div 100 AS conv_id", "l_orderkey % 100 AS utterance_id", "l_returnflag AS aspect", "l_linenumber AS rater_id", "CAST(l_quantity AS INT) % 4 + 1 AS rating")
+    return rated.groupBy("conv_id", "utterance_id", "aspect", "rater_id").agg(F.max("rating").alias("rating"))
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model ratings: each item's largest rating, moved by model, run and context."""
     item = ratings(spark, sf_dir).groupBy("conv_id", "utterance_id", "aspect").agg(F.max("rating").alias("top"))
@@ -41,6 +47,8 @@ def acts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr("user_id AS conv_id", f"{order} AS idx", "event_type = 'error' AS is_mod", "event_type AS act", "value")
 
 
+#: SQL of `order_ratings`, under the name that queries over ratings read.
+ORDER_RATINGS = "WITH ratings AS (SELECT l_orderkey // 100 AS conv_id, l_orderkey % 100 AS utterance_id, l_returnflag AS aspect, l_linenumber AS rater_id, max(CAST(trunc(l_quantity) AS INT) % 4 + 1) AS rating FROM lineitem GROUP BY 1, 2, 3, 4) "
 SQL = {
     "ratings": "SELECT l_suppkey % 20 AS conv_id, l_orderkey % 200 AS utterance_id, l_returnflag AS aspect, l_linenumber AS rater_id, max(CAST(trunc(l_quantity) AS INT) % 4 + 1) AS rating FROM lineitem GROUP BY 1, 2, 3, 4",
     "preds": """SELECT conv_id, utterance_id, aspect, model, context, run, least(4, greatest(1, CAST(top + (utterance_id * 7 + conv_id * 3 + run * 5 + i + j) % 3 - 1 AS INT))) AS rating

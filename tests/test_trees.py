@@ -154,3 +154,14 @@ def test_numbers_follow_the_order(spark):
     assert [r.n for r in got] == list(range(1000))
     assert sorted(r.n for r in numbering.numbered(spark.range(50).selectExpr("1L as h"), "h", "n").collect()) == list(range(50))
     assert numbering.numbered(rows.limit(0), "h", "n").count() == 0
+    named = spark.range(400).selectExpr("md5(string(id % 370)) as h").unionByName(spark.createDataFrame([(None,), (None,)], "h string"))
+    got = numbering.numbered(named, "h", "n").orderBy("n").collect()
+    assert [r.n for r in got] == list(range(402)) and [r.h for r in got] == sorted((r.h for r in got), key=lambda h: h or "")
+
+
+def test_medians_are_exact(spark):
+    rng = np.random.default_rng(5)
+    for values in ([3.0], [1.0, 2.0], [5.0, 1.0, 1.0, 1.0], rng.normal(size=501).tolist(), rng.integers(0, 4, size=400).astype(float).tolist()):
+        rows = spark.createDataFrame([(v,) for v in [*values, None]], "v double").repartition(3)
+        assert numbering.median(rows, "v") == np.median(values)
+    assert numbering.median(spark.createDataFrame([(None,)], "v double"), "v") is None
