@@ -3,7 +3,9 @@
 Windows as long as a benchmark item are fingerprinted with SimHash; their fingerprints meet those of items of that length
 in a multi-index: both are cut into radius + 1 blocks, and fingerprints within the radius agree on a block at least. The
 weighted Jaccard similarity of five-word shingles then decides exactly. Only windows that hold as many shingles of one item
-as that similarity takes are fingerprinted, wherever in the item those stand, so that none that reaches it is left out.
+as that similarity takes are fingerprinted, wherever in the item those stand, so that none that reaches it is left out; and
+they meet only the items that they hold so many shingles of. Shingles are told apart by how often they came before, as the
+similarity counts them, so that repeated ones don't move a fingerprint further than others.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from parley.llm import scratch
 
-SHINGLE, SIMILARITY, RADIUS, BITS = 5, 0.8, 20, 64
+SHINGLE, SIMILARITY, RADIUS, BITS = 5, 0.8, 24, 64
 #: Up to so many rows of numbers a table is sent to all executors; beyond, joins shuffle it.
 BROADCAST_ROWS = 500_000
 
@@ -39,6 +41,13 @@ def _fingerprint(shingles: str) -> Column:
     return F.expr(f"""aggregate(sequence(0, {BITS - 1}), 0L, (bits, b) -> bits | if(2 * aggregate(hashes, 0, (n, h) -> n + cast(shiftrightunsigned(h, b) & 1L as int)) > size({shingles}), shiftleft(1L, b), 0L))""")
 
 
+def _hashes(shingles: Column) -> Column:
+    """A hash for each shingle, those that occur again told apart."""
+    plain = F.transform(shingles, lambda s: F.xxhash64(s))
+    nth = lambda s, i: F.size(F.filter(F.slice(shingles, F.lit(1), i), lambda x: x == s))
+    return F.when(F.size(F.array_distinct(shingles)) == F.size(shingles), plain).otherwise(F.transform(shingles, lambda s, i: F.when(nth(s, i) == 0, F.xxhash64(s)).otherwise(F.xxhash64(s, nth(s, i)))))
+
+
 def _blocks(fp: str, radius: int = RADIUS) -> Column:
     """(number, value) of each of radius + 1 blocks of a fingerprint."""
     edges = [k * BITS // (radius + 1) for k in range(radius + 2)]
@@ -69,7 +78,7 @@ def _sent(df: DataFrame) -> DataFrame:
 
 
 def _starts(seeds: DataFrame, similarity: float) -> DataFrame:
-    """(key, length, first_word): windows with as many shingles of one item as it takes to reach the similarity.
+    """(key, item_key, length, first_word): windows with as many shingles of one item as it takes to reach the similarity.
 
     Of two lists of n and w shingles at least s / (1 + s) (n + w) must be common. If p are the sorted places of an item's
     shingles in a text, a window holds that many where it reaches from p[i] or before to p[i + needed - 1] or beyond.
@@ -80,8 +89,8 @@ def _starts(seeds: DataFrame, similarity: float) -> DataFrame:
     needed = F.greatest(F.lit(1), F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("w")) - 1e-9)).cast("int")
     places = places.withColumn("needed", needed).where("size(p) >= needed")
     spans = F.expr("transform(sequence(1, size(p) - needed + 1), i -> struct(greatest(0, element_at(p, i + needed - 1) - w + 1) as low, least(element_at(p, i), greatest(0, size - length)) as high))")
-    spans = places.select("key", "length", F.inline(F.filter(spans, lambda x: x["low"] <= x["high"])))
-    return spans.select("key", "length", F.explode(F.sequence("low", "high")).alias("first_word")).distinct()
+    spans = places.select("key", "item_key", "length", F.inline(F.filter(spans, lambda x: x["low"] <= x["high"])))
+    return spans.select("key", "item_key", "length", F.explode(F.sequence("low", "high")).alias("first_word")).distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -101,28 +110,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     split = _once(texts, "words", words(F.col("text")))
     seeds = _hashed(split, [*short, SHINGLE], "key").join(_sent(index), "h")
     starts = scratch.write_and_read(_starts(seeds, similarity), "starts")
-    grouped = starts.groupBy("key").agg(F.collect_list(F.struct("length", "first_word")).alias("starts"))
+    grouped = starts.groupBy("key").agg(F.collect_list(F.struct("item_key", "length", "first_word")).alias("starts"))
     few = starts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     # Texts are split again only where windows start in them.
     held = texts.join(F.broadcast(grouped) if few else grouped, "key").select("doc_id", "text", "starts")
     held = _once(held, "words", words(F.col("text"))).select("doc_id", "words", F.inline("starts"))
-    windows = held.select("doc_id", "length", "first_word", F.slice("words", F.col("first_word") + 1, F.col("length")).alias("window")).distinct()
+    windows = held.select("doc_id", "item_key", "length", "first_word", F.slice("words", F.col("first_word") + 1, F.col("length")).alias("window")).distinct()
     windows = scratch.write_and_read(windows, "windows")
 
     def printed(df: DataFrame, source: str, shingles: str, fp: str) -> DataFrame:
-        df = _once(_once(df, shingles, _shingles(F.col(source))), "hashes", F.transform(shingles, lambda s: F.xxhash64(s)))
+        df = _once(_once(df, shingles, _shingles(F.col(source))), "hashes", _hashes(F.col(shingles)))
         return scratch.write_and_read(_once(df, fp, _fingerprint(shingles)).drop("hashes"), "fingerprints")
 
-    texts = printed(windows.select("length", "window").distinct().withColumn("window_no", F.monotonically_increasing_id()), "window", "shingles", "fp")
-    own = printed(items.select("item_id", "length", "words").withColumn("item_no", F.monotonically_increasing_id()), "words", "item_shingles", "item_fp")
+    texts = printed(windows.select("item_key", "window").distinct().withColumn("window_no", F.monotonically_increasing_id()), "window", "shingles", "fp")
+    own = printed(items.select("item_id", "item_key", "words").withColumn("item_no", F.monotonically_increasing_id()), "words", "item_shingles", "item_fp")
     # Only numbers and fingerprints go through the blocks; shingles are fetched for what lies within the radius.
-    blocks = own.select("item_no", "length", "item_fp", F.inline(_blocks("item_fp", radius)))
-    near = texts.select("window_no", "length", "fp", F.inline(_blocks("fp", radius))).join(_sent(blocks), ["length", "block", "value"])
+    blocks = own.select("item_no", "item_key", "item_fp", F.inline(_blocks("item_fp", radius)))
+    near = texts.select("window_no", "item_key", "fp", F.inline(_blocks("fp", radius))).join(_sent(blocks), ["item_key", "block", "value"])
     near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("window_no", "item_no").distinct()
-    near = near.join(texts.select("window_no", "length", "window", "shingles"), "window_no").join(own.select("item_no", "item_id", "item_shingles"), "item_no")
+    near = near.join(texts.select("window_no", "item_key", "window", "shingles"), "window_no").join(own.select("item_no", "item_id", "item_shingles"), "item_no")
     both = F.expr("aggregate(array_distinct(shingles), 0, (n, s) -> n + least(size(filter(shingles, x -> x = s)), size(filter(item_shingles, x -> x = s))))")
     near = _once(near, "both", both).withColumn("similarity", F.col("both") / (F.size("shingles") + F.size("item_shingles") - F.col("both")))
-    found = windows.join(near.where(F.col("similarity") >= similarity).select("length", "window", "item_id", "similarity"), ["length", "window"])
+    found = windows.join(near.where(F.col("similarity") >= similarity).select("item_key", "window", "item_id", "similarity"), ["item_key", "window"])
     best = F.max(F.struct("similarity", (-F.col("first_word")).alias("before")))
     out = found.groupBy("doc_id", "item_id").agg(best.alias("best"), F.max("length").alias("n_words"), F.count("*").alias("n_windows"))
     return out.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.before")).alias("first_word"), "n_words", "n_windows")
