@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 from pathlib import Path
 
 import duckdb
@@ -18,13 +19,19 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _plain(value):
+    value = float(value) if isinstance(value, Decimal) else value
     return None if isinstance(value, float) and math.isnan(value) else value
 
 
+def _key(row: tuple) -> tuple[str, str]:
+    """Numbers are compared last, rounded, so that those that differ in their last digits meet."""
+    number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool)
+    return repr([x for x in row if not number(x)]), repr([round(float(x), 4) + 0.0 for x in row if number(x)])
+
+
 def rows(columns, data) -> list[tuple]:
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    key = lambda r: (repr([x for x in r if not isinstance(x, float)]), repr([round(x, 4) + 0.0 for x in r if isinstance(x, float)]))
-    return sorted((tuple(_plain(r[i]) for i in order) for r in data), key=key)
+    return sorted((tuple(_plain(r[i]) for i in order) for r in data), key=_key)
 
 
 def compare(spark, query, sql: str, sf_dir: str) -> None:
