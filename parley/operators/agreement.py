@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.operators.consensus import ITEM, LEVELS, _counts, consensus_labels, link_quantiles, rater_pairs
+from parley.operators.consensus import ITEM, LEVELS, _counts, alpha, consensus_labels, crosstab, link_quantiles, rater_pairs
 from parley.operators.metrics import others_label, scores
 
 #: Which aspects are rated together, by type of task.
@@ -122,3 +122,32 @@ def rater_confusion(ratings: DataFrame) -> DataFrame:
     pairs = rater_pairs(ratings).select("aspect", "ra", "rb", "x", "y")
     pooled = pairs.select("aspect", F.lit(0).alias("ra"), F.lit(0).alias("rb"), F.inline(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))))
     return pairs.unionByName(pooled).groupBy("aspect", "ra", "rb", "x", "y").agg(F.count("*").alias("n"))
+
+
+def named_raters(ratings: DataFrame, truth: DataFrame | None = None, model: DataFrame | None = None) -> DataFrame:
+    """Ratings by raters' names, with the truth (a `vote` an item) as rater `reference` and a model's levels as `model`.
+
+    Both count only on items that people rated; the largest of several levels of an item counts.
+    """
+    out = ratings.select(*ITEM, F.concat(F.lit("rater "), F.col("rater_id").cast("string")).alias("rater_id"), "rating")
+    seen = ratings.select(*ITEM).distinct()
+    for name, levels, column in (("reference", truth, "vote"), ("model", model, "rating")):
+        if levels is not None:
+            own = levels.groupBy(*ITEM).agg(F.max(column).cast("int").alias("rating")).where("rating is not null")
+            out = out.unionByName(own.join(seen, list(ITEM), "left_semi").withColumn("rater_id", F.lit(name)).select(*ITEM, "rater_id", "rating"))
+    return out
+
+
+def full_report(ratings: DataFrame, truth: DataFrame | None = None, model: DataFrame | None = None) -> DataFrame:
+    """(aspect, ra, rb, kappa, accuracy, n, alpha): each pair of raters, truth and model among them, and the aspect's ordinal alpha over all of them."""
+    rows = named_raters(ratings, truth, model)
+    pairs = scores(rater_pairs(rows), "aspect", "ra", "rb").select("aspect", "ra", "rb", F.col("kappa_present").alias("kappa"), "accuracy", "n")
+    # A row an aspect.
+    return pairs.join(F.broadcast(alpha(rows, "aspect").select("aspect", F.col("alpha_ordinal").alias("alpha"))), "aspect", "left")
+
+
+def against_reference(ratings: DataFrame, truth: DataFrame) -> DataFrame:
+    """(aspect, rater_id, x, y, n, row_share, column_share, share): levels of the truth against those of each rater, and of all (`all`)."""
+    rows = named_raters(ratings).join(truth.select(*ITEM, "vote"), list(ITEM))
+    both = rows.select("aspect", F.explode(F.array("rater_id", F.lit("all"))).alias("rater_id"), F.col("vote").alias("x"), F.col("rating").alias("y"))
+    return crosstab(both, "aspect", "rater_id")

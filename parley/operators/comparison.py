@@ -40,6 +40,12 @@ def model_order(predictions: DataFrame, ratings: DataFrame) -> DataFrame:
     return each.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("kappa"), "mae", F.desc("accuracy"), "mse", "model", "context")))
 
 
+def models_by_aspect(predictions: DataFrame, ratings: DataFrame) -> DataFrame:
+    """Models and contexts within each aspect, in the order of `model_order`."""
+    each = scores(_voted(predictions, ratings), "aspect", "model", "context").select("aspect", "model", "context", F.col("kappa_fixed").alias("kappa"), "mae", "accuracy", "mse", "n")
+    return each.withColumn("rank", F.row_number().over(Window.partitionBy("aspect").orderBy(F.desc("kappa"), "mae", F.desc("accuracy"), "mse", "model", "context")))
+
+
 def listed_order(predictions: DataFrame, ratings: DataFrame, models: list[str]) -> DataFrame:
     """Errors in the order of a list of models, those not in it last, then by context and aspect."""
     place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, models)), F.col("model")), F.lit(0)), F.lit(len(models) + 1))

@@ -226,3 +226,17 @@ def with_vote(ratings: DataFrame, votes: DataFrame) -> DataFrame:
 def vote_confusion(predictions: DataFrame, votes: DataFrame) -> DataFrame:
     """How often a model gave each level to items of each vote, all aspects and runs together."""
     return predictions.join(votes, ["conv_id", "utterance_id", "aspect"]).groupBy("model", "vote", "rating").agg(F.count("*").alias("n"))
+
+
+def normalised_turns(turns: DataFrame, acts: list[str], roles: tuple[str, ...] = ("mod", "moderator")) -> DataFrame:
+    """Turns with a plain role, whether a moderator speaks, the text's length, and acts as 0 or 1: null is 0, and so are a participant's."""
+    role = F.lower(F.trim("role"))
+    is_mod = F.coalesce(role.isin(*roles), F.lit(False))
+    flags = [F.when(is_mod, F.coalesce(F.col(a).cast("double"), F.lit(0.0))).otherwise(0.0).alias(a) for a in acts]
+    return turns.select(*(c for c in turns.columns if c not in acts), role.alias("role_norm"), is_mod.cast("int").alias("is_mod"), F.length(F.coalesce("text", F.lit(""))).alias("text_len"), *flags)
+
+
+def wide_labels(labels: DataFrame, utterances: DataFrame, aspects: list[str], value: str) -> DataFrame:
+    """(conv_id, utterance_id, text, one column an aspect): labels beside their utterance's text; those without one go."""
+    wide = labels.groupBy("conv_id", "utterance_id").pivot("aspect", aspects).agg(F.max(value))
+    return utterances.select("conv_id", F.col("idx").alias("utterance_id"), "text").join(wide, ["conv_id", "utterance_id"])

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parley.operators import consensus, evaluation, features, metrics, text
-from parley.plans.catalog import COUNTS, ITEM, MAJORITY, WIDE
+from parley.operators import agreement, comparison, consensus, evaluation, features, metrics, shaping, text
+from parley.plans.agreement import _VOTED, PAIRED
+from parley.plans.catalog import _M, _O, COUNTS, ITEM, MAJORITY, WIDE, _alpha_of, _labels, _mid
 from parley.plans.features import SPANS, _intervals, _scores
 from parley.plans.reports import _span
 from parley.plans.tasks import _IN_ROLES, _ROLES
@@ -58,3 +59,25 @@ register("corpus_segments", lambda s, d: text.describe_segments(_segmented(s, d)
     x AS (SELECT *, row_number() OVER (PARTITION BY corpus, conv_id, segment_id ORDER BY x, role) AS i FROM (SELECT corpus, conv_id, segment_id, role, sum(n) AS x FROM f WHERE NOT skip GROUP BY 1, 2, 3, 4)),
     g AS (SELECT corpus, conv_id, segment_id, coalesce(2.0 * sum(i * x) / nullif(count(*) * sum(x), 0) - (count(*) + 1) / count(*), 0) AS g FROM x GROUP BY 1, 2, 3)
     SELECT c AS corpus, count(*) AS n_segments, CAST(sum(u) AS BIGINT) AS n_utterances, CAST(sum(kept) AS BIGINT) AS n_kept, {', '.join(f'round({f}({c}), 6) AS {n}_{k}' for c, n in _stats.items() for f, k in (('avg', 'mean'), ('stddev_samp', 'sd')))} FROM (SELECT *, unnest([corpus, 'all']) AS c FROM s LEFT JOIN g USING (corpus, conv_id, segment_id)) GROUP BY 1)""", "utterances"))
+
+
+def _one_model(spark, sf):
+    return predictions(spark, sf).where("model = 'm1' and context = 'full' and run = 0")
+
+
+_NAMED = f"""(SELECT {ITEM}, 'rater ' || rater_id AS rater_id, rating FROM ratings UNION ALL SELECT {ITEM}, 'reference', vote FROM {MAJORITY}
+    UNION ALL SELECT {ITEM}, 'model', rating FROM preds WHERE model = 'm1' AND context = 'full' AND run = 0)"""
+_ordinal = _alpha_of(lambda i, j: f"(({_mid(i)}) - ({_mid(j)})) ** 2")
+register("agreement_report", lambda s, d: agreement.full_report(ratings(s, d), consensus.majority(ratings(s, d)), _one_model(s, d)), with_views(f"""SELECT * FROM (WITH everyone AS {_NAMED}, p AS (SELECT aspect, ra, rb, kappa_present AS kappa, accuracy, n FROM {_scores(PAIRED.replace('ratings', 'everyone'), 'aspect, ra, rb')}),
+    a AS (SELECT aspect, {_ordinal} AS alpha FROM (SELECT *, {_M} FROM (SELECT aspect, {_O} FROM (SELECT {ITEM}, {COUNTS} FROM everyone GROUP BY ALL) WHERE n >= 2 GROUP BY aspect))) SELECT p.*, alpha FROM p LEFT JOIN a USING (aspect))""", "preds"))
+_each = lambda over: f"round(n / nullif(sum(n) OVER (PARTITION BY aspect, rater_id{over}), 0), 6)"
+_BESIDE = f"(SELECT aspect, unnest(['rater ' || rater_id, 'all']) AS rater_id, vote, rating FROM ratings JOIN {MAJORITY} USING ({ITEM}))"
+register("reference_crosstab", lambda s, d: agreement.against_reference(ratings(s, d), consensus.majority(ratings(s, d))), with_views(f"""SELECT aspect, rater_id, x, y, n, {_each(', x')} AS row_share, {_each(', y')} AS column_share, {_each('')} AS share
+    FROM (SELECT a.aspect, a.rater_id, x, y, count(p.aspect) AS n FROM (SELECT DISTINCT aspect, rater_id FROM {_BESIDE}) a CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS x) CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS y) LEFT JOIN {_BESIDE} p ON p.aspect = a.aspect AND p.rater_id = a.rater_id AND vote = x AND rating = y GROUP BY 1, 2, 3, 4)""", "ratings"))
+register("models_by_aspect", lambda s, d: comparison.models_by_aspect(predictions(s, d), ratings(s, d)), with_views(f"SELECT *, CAST(row_number() OVER (PARTITION BY aspect ORDER BY kappa DESC, mae, accuracy DESC, mse, model, context) AS INT) AS rank FROM (SELECT aspect, model, context, kappa_fixed AS kappa, mae, accuracy, mse, n FROM {_scores(_VOTED, 'aspect, model, context')})", "preds"))
+
+_TURNS = "CASE WHEN idx % 3 = 0 THEN ' Moderator ' ELSE role END"
+register("normalised_turns", lambda s, d: shaping.normalised_turns(utterances(s, d).selectExpr("conv_id", "idx", f"{_TURNS} AS role", "text", "CASE WHEN idx % 4 > 0 THEN instr(text, 'e') > 0 END AS asks", "idx % 2 AS informs"), ["asks", "informs"]).drop("text"), with_views(f"""SELECT conv_id, idx, role, lower(trim(role)) AS role_norm, CAST(m AS INT) AS is_mod, CAST(length(coalesce(text, '')) AS INT) AS text_len, CASE WHEN m AND idx % 4 > 0 THEN CAST(contains(text, 'e') AS DOUBLE) ELSE 0.0 END AS asks, CASE WHEN m THEN CAST(idx % 2 AS DOUBLE) ELSE 0.0 END AS informs
+    FROM (SELECT *, coalesce(lower(trim(role)) IN ('mod', 'moderator'), false) AS m FROM (SELECT conv_id, idx, {_TURNS} AS role, text FROM utterances))""", "utterances"))
+_by_aspect = ", ".join(f"max(y_cont) FILTER (aspect = '{a}') AS {a}" for a in _COLUMNS)
+register("wide_labels", lambda s, d: shaping.wide_labels(consensus.consensus_labels(ratings(s, d)), utterances(s, d), list(_COLUMNS), "y_cont").withColumn("text", F.md5("text")), with_views(f"SELECT u.conv_id, u.idx AS utterance_id, md5(text) AS text, {_by_aspect} FROM utterances u JOIN ({_labels('ratings', 1.0)}) l ON l.conv_id = u.conv_id AND l.utterance_id = u.idx GROUP BY 1, 2, 3", "ratings", "utterances"))
