@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import string
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from parley.functions.checks import rater_name
 from parley.operators.numbering import numbered
@@ -96,27 +95,26 @@ def entity_features(utterances: DataFrame, entities: DataFrame) -> DataFrame:
     return out.withColumn("known_through", through).select("conv_id", "idx", "n_entities", "n_distinct", "novel", (F.col("known_through") - F.col("novel")).alias("known_before"), "known_through", share("n_distinct").alias("novelty_ratio"), share("n_tokens").alias("novelty_density"))
 
 
-def capital_runs(sentence: str, least: int, stops: frozenset[str]) -> list[str]:
-    """Every start, of `least` capitalised words or more, of a sentence's runs of capitalised words.
+def capital_runs(sentences: DataFrame, least: int, stops: list[str]) -> DataFrame:
+    """(conv_id, mark): every start, of `least` words or more, of the runs of capitalised words in sentences (conv_id, at, sentence).
 
     A run begins at a capitalised word that is no stop word (`The` may begin one). Stop words right after a capitalised
-    word and marks belong to it; any other word ends it.
+    word and marks without a word belong to it; any other word ends it.
     """
-    out, run, count, last = [], "", 0, ""
-    for token in sentence.split(" "):
-        word = token.strip().strip(string.punctuation + "“”")
-        capital = word[:1].isupper()
-        if run and (not word or capital or (last[:1].isupper() and word in stops)):
-            run, count = f"{run} {token}", count + bool(word)
-        elif capital and not run and (word == "The" or word.lower() not in stops):
-            run, count = token, count + 1
-        elif word and not capital and run:
-            run, count = "", 0
-            continue
-        if run and count >= least:
-            out.append(run)
-        last = word
-    return out
+    tokens = sentences.select("conv_id", "at", F.posexplode(F.split("sentence", " ")).alias("place", "token"))
+    edges = re.escape(string.punctuation) + "“”"
+    word = F.regexp_replace(F.regexp_replace("token", r"^\s+|\s+$", ""), f"^[{edges}]+|[{edges}]+$", "")
+    rows = tokens.withColumn("word", word).withColumn("capital", F.col("word").rlike(r"^\p{Lu}"))
+    own = Window.partitionBy("conv_id", "at").orderBy("place")
+    held = (F.col("word") == "") | F.col("capital") | (F.coalesce(F.lag("capital").over(own), F.lit(False)) & F.col("word").isin(*stops))
+    # Words that end runs part a sentence; a run begins at the first word in a part that may begin one.
+    rows = rows.withColumn("part", F.sum((~held).cast("int")).over(own))
+    part = Window.partitionBy("conv_id", "at", "part")
+    begins = F.col("capital") & ((F.col("word") == "The") | ~F.lower("word").isin(*stops))
+    rows = rows.withColumn("first", F.min(F.when(begins, F.col("place"))).over(part)).where(F.col("place") >= F.col("first"))
+    so_far = part.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    runs = rows.select("conv_id", F.array_join(F.collect_list("token").over(so_far), " ").alias("mark"), F.sum((F.col("word") != "").cast("int")).over(so_far).alias("words"))
+    return runs.where(F.col("words") >= least).select("conv_id", "mark")
 
 
 def watermarks(utterances: DataFrame, stops: list[str], least: int = 3, times: int = 50) -> DataFrame:
@@ -125,15 +123,9 @@ def watermarks(utterances: DataFrame, stops: list[str], least: int = 3, times: i
     The longest of runs that are equally frequent, then the least; the mark is null below so many `times`. Sentences are cut from the whole text
     of a conversation, one may go on in the next utterance; it is one task's list.
     """
-    stop = frozenset(stops)
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def runs(sentences: pd.Series) -> pd.Series:
-        return sentences.map(lambda s: capital_runs(s, least, stop))
-
     whole = utterances.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda u: F.coalesce(u["text"], F.lit(""))), " ").alias("text"))
-    sentences = whole.select("conv_id", F.explode(F.split("text", SENTENCE)).alias("sentence"))
-    counts = sentences.select("conv_id", F.explode(runs("sentence")).alias("mark")).groupBy("conv_id", "mark").agg(F.count("*").alias("n"))
+    sentences = whole.select("conv_id", F.posexplode(F.split("text", SENTENCE)).alias("at", "sentence"))
+    counts = capital_runs(sentences, least, stops).groupBy("conv_id", "mark").agg(F.count("*").alias("n"))
     best = counts.groupBy("conv_id").agg(F.min(F.struct(-F.col("n"), -F.length("mark"), "mark")).alias("best"), F.max("n").alias("n"))
     out = utterances.select("conv_id").distinct().join(best, "conv_id", "left")
     return out.select("conv_id", F.when(F.col("n") >= times, F.col("best.mark")).alias("mark"), F.coalesce("n", F.lit(0)).alias("n"))
