@@ -66,7 +66,8 @@ def proxies(features: DataFrame, targets: DataFrame, on: list[str], target: str,
 def matrix(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """(a, b, pearson, spearman, n): every pair of columns, over rows without a null; keys tell rows apart.
 
-    All columns are ranked in one pass, by column; one more pass takes the moments of all values and ranks together.
+    All columns are ranked in one pass, by column; one more pass takes the moments of all values and ranks together. A
+    column that does not vary correlates with none: NaN, as in other engines.
     """
     clean = rows.select(*keys, *(F.col(c).cast("double").alias(c) for c in columns)).na.drop(subset=columns)
     long = clean.select(*keys, F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns))))
@@ -74,7 +75,9 @@ def matrix(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     ranked = long.join(average_ranks(cells, "value", "column"), ["column", "value"])
     wide = ranked.groupBy(*keys).agg(*(F.max(F.when(F.col("column") == c, F.struct("value", "value_rank"))).alias(f"c{i}") for i, c in enumerate(columns)))
     pairs = list(itertools.combinations(range(len(columns)), 2))
-    moments = wide.agg(F.count("*").alias("n"), *(F.corr(f"c{i}.{v}", f"c{j}.{v}").alias(f"{v}_{i}_{j}") for i, j in pairs for v in ("value", "value_rank")))
+    spread = lambda i, j, v: F.sqrt(F.var_pop(f"c{i}.{v}") * F.var_pop(f"c{j}.{v}"))
+    both = lambda i, j, v: F.when(F.count("*") > 0, F.coalesce(F.try_divide(F.covar_pop(f"c{i}.{v}", f"c{j}.{v}"), spread(i, j, v)), F.lit(float("nan"))))
+    moments = wide.agg(F.count("*").alias("n"), *(both(i, j, v).alias(f"{v}_{i}_{j}") for i, j in pairs for v in ("value", "value_rank")))
     held = F.array(*(F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.round(f"value_{i}_{j}", 6).alias("pearson"), F.round(f"value_rank_{i}_{j}", 6).alias("spearman")) for i, j in pairs))
     return moments.select("n", F.inline(held)).select("a", "b", "pearson", "spearman", "n")
 

@@ -176,3 +176,11 @@ def test_comparison_of_features_against_numpy(spark, sample):
         assert (r.drop_spearman, r.rise_mae) == (pytest.approx(np.mean(lost[c][0]), abs=1e-3), pytest.approx(np.mean(lost[c][1]), abs=2e-6))
     total = 1 - ((t - z @ slope) ** 2).sum() / (t**2).sum()
     assert sum(r.shapley_r2 for r in got.values()) == pytest.approx(total, abs=5e-6)
+
+
+def test_matrix_of_a_constant_column(spark):
+    rows = spark.createDataFrame([(i, float(i), 2.0 * i, 4.0) for i in range(5)], "k int, x double, y double, flat double")
+    got = {(r.a, r.b): (r.pearson, r.spearman, r.n) for r in proxies.matrix(rows, ["k"], ["x", "y", "flat"]).collect()}
+    assert got["x", "y"] == (1.0, 1.0, 5)
+    assert all(math.isnan(v) for b in ("x", "y") for v in got[b, "flat"][:2])
+    assert [r.pearson for r in proxies.matrix(rows.limit(0), ["k"], ["x", "y"]).collect()] == [None]
