@@ -124,3 +124,9 @@ def test_allocation_of_odd_rows(spark):
     assert dict(map(tuple, allocation.next_group(users, groups.where("false"), done.where("false")).collect())) == {1: None, 2: None, 3: None}
     ids = spark.createDataFrame([(1, "t_10"), (1, "t_9"), (1, "t")], "conv_id long, task_id string")
     assert allocation.upload(ids).first().tasks == ["t", "t_9", "t_10"]
+
+
+def test_correlations_of_a_constant_fraction(spark):
+    rows = [("x", 8 / 3, float(i)) for i in range(4000)] + [("y", float(i), 8 / 3) for i in range(4000)]
+    got = ranks.correlations(spark.createDataFrame(rows, "g string, x double, y double"), "g").collect()
+    assert sorted((r.g, r.spearman, r.pearson, r.pearson_p) for r in got) == [("x", None, None, None), ("y", None, None, None)]
