@@ -140,3 +140,10 @@ def test_levels_out_of_range_fail(spark):
     assert [r.rating for r in shaping.checked_levels(df).collect()] == [3]
     with pytest.raises(Exception, match="outside 1 to 4"):
         shaping.checked_levels(spark.createDataFrame([("5",)], "rating string")).collect()
+
+
+def test_markup_with_closed_entities_only(spark):
+    texts = ["cut&amp</b>", "&amp;copy; &middot; &#8364;&#x41;", "&notanentity; &amphere; & &am", "&copy &eacute;&amp;amp;", None]
+    want = ["cut&amp", "&copy; · €A", "&notanentity; &amphere; & &am", "&copy é&amp;", None]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", scalars.strip_html(F.col("t"), closed=True).alias("t"))
+    assert {r.i: r.t for r in got.collect()} == dict(enumerate(want))
