@@ -147,3 +147,12 @@ def test_markup_with_closed_entities_only(spark):
     want = ["cut&amp", "&copy; · €A", "&notanentity; &amphere; & &am", "&copy é&amp;", None]
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", scalars.strip_html(F.col("t"), closed=True).alias("t"))
     assert {r.i: r.t for r in got.collect()} == dict(enumerate(want))
+
+
+def test_a_kappa_of_the_least_value_stays(spark):
+    # The kappa is 0.3 exactly; multiplied in another order it falls below.
+    pairs = [(3, 2), (2, 3), (2, 1), (1, 2), (2, 2), (2, 2), (1, 1)]
+    fine = [(u, v, v) for u, v in enumerate((1, 2, 3, 1))]
+    rows = [(1, u, "A", r, v) for u, p in enumerate(pairs) for r, v in zip((1, 2), p)] + [(1, 50 + u, "A", r, v) for u, *p in fine for r, v in zip((3, 4), p)]
+    got = {r.rater_id: (r.mean_qwk, r.dropped) for r in agreement.outlier_report(spark.createDataFrame(rows, RATED)).collect()}
+    assert got == {1: (0.3, False), 2: (0.3, False), 3: (1.0, False), 4: (1.0, False)}
