@@ -21,3 +21,17 @@ def test_entry_points():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_ranges_of_ratings_that_all_agree(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tests.oracle import TABLES
+
+    for t in TABLES:
+        if t != "lineitem":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    spark.read.parquet(f"{SF}/lineitem.parquet").withColumn("l_quantity", F.lit(3.0)).coalesce(1).write.parquet(str(tmp_path / "lines"))
+    next((tmp_path / "lines").glob("*.parquet")).rename(tmp_path / "lineitem.parquet")
+    for name in ("human_kappa_range", "model_kappa_range"):
+        compare(spark, registry.queries()[name], registry.oracle_sql()[name], str(tmp_path))
