@@ -156,3 +156,25 @@ def test_a_kappa_of_the_least_value_stays(spark):
     rows = [(1, u, "A", r, v) for u, p in enumerate(pairs) for r, v in zip((1, 2), p)] + [(1, 50 + u, "A", r, v) for u, *p in fine for r, v in zip((3, 4), p)]
     got = {r.rater_id: (r.mean_qwk, r.dropped) for r in agreement.outlier_report(spark.createDataFrame(rows, RATED)).collect()}
     assert got == {1: (0.3, False), 2: (0.3, False), 3: (1.0, False), 4: (1.0, False)}
+
+
+def test_nearest_vectors_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(release, "QUERY_BLOCK", 3, raising=False)
+    monkeypatch.setattr(release, "MEMORY_BLOCK", 7, raising=False)
+    rng = random.Random(4)
+    rows = [(i, i % 2, [float(rng.randrange(-3, 4)) for _ in range(4)]) for i in range(160)] + [(200, 0, [0.0] * 4), (201, 0, None), (202, 1, [1.0, None, 0.0, 0.0]), (203, None, [1.0] * 4)]
+    vector = {i: (run, v) for i, run, v in rows}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+
+    def score(a, b):
+        if any(v is None or None in v or not any(v) for v in (a, b)):
+            return None
+        return round(dot(a, b) / (dot(b, b) ** 0.5 * dot(a, a) ** 0.5), 5) + 0.0
+
+    want = set()
+    for q, (run, v) in vector.items():
+        if q % 20 == 0 and run is not None:
+            others = sorted(((score(v, o), i) for i, (r, o) in vector.items() if r == run and i != q), key=lambda p: (-(p[0] if p[0] is not None else -9), p[1]))
+            want |= {(q, i, s, k + 1) for k, (s, i) in enumerate(others[:3])}
+    frame = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    assert {tuple(r) for r in release.vector_top_k(frame, 3).collect()} == want
