@@ -74,7 +74,8 @@ def resolve_targets(wanted: DataFrame, memories: DataFrame) -> DataFrame:
 
     `wanted` has (conv_id, pos, speaker, claim), `memories` (conv_id, id, speaker, target_speaker, claim, turn_id). First the
     one memory of that speaker and claim, then the one memory of that claim, then the most alike claim from `ALIKE` on, the
-    least id of ties; a claim that several memories share is found there. Claims are compared without blanks around them, a null
+    least id of ties; a claim that several memories share is found there, by equality. Of the other claims each distinct one
+    meets each distinct one of like length in its conversation. Claims are compared without blanks around them, a null
     claim is an empty one; an empty one is never looked up by likeness.
     """
     plain = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
@@ -86,10 +87,18 @@ def resolve_targets(wanted: DataFrame, memories: DataFrame) -> DataFrame:
     exact = w.join(own, same, "left").select(w["conv_id"], "pos", w["key"], "own").join(one("conv_id", "key").withColumnRenamed("found", "any"), ["conv_id", "key"], "left")
     found = F.coalesce("own", "any")
     done = exact.where(found.isNotNull()).select("conv_id", "pos", found.alias("found"), F.when(F.col("own").isNotNull(), "speaker").otherwise("claim").alias("step"))
-    rest = exact.where(found.isNull() & (F.col("key") != "")).select("conv_id", "pos", "key", F.explode(F.array(*(_size_class(F.col("key")) + d for d in (-1, 0, 1)))).alias("size"))
-    near = rest.join(m.select("conv_id", F.col("key").alias("other"), "memory", _size_class(F.col("key")).alias("size")), ["conv_id", "size"])
-    near = near.select("conv_id", "pos", "memory", similarity("key", "other").alias("alike")).where(F.col("alike") >= ALIKE)
-    best = near.groupBy("conv_id", "pos").agg(F.min_by("memory", F.struct(-F.col("alike"), "memory.id")).alias("found"))
+    rest = exact.where(found.isNull() & (F.col("key") != "")).select("conv_id", "pos", F.lower("key").alias("low"))
+    # Of memories with one claim the least id stands for all.
+    held = m.select("conv_id", F.lower("key").alias("low"), "memory").groupBy("conv_id", "low").agg(F.min_by("memory", "memory.id").alias("memory"))
+    met = rest.join(held, ["conv_id", "low"], "left")
+    equal = met.where(F.col("memory").isNotNull()).select("conv_id", "pos", F.col("memory").alias("found"))
+    claims = met.where(F.col("memory").isNull()).select("conv_id", "low").distinct()
+    sized = claims.select("conv_id", "low", F.explode(F.array(*(_size_class(F.col("low")) + d for d in (-1, 0, 1)))).alias("size"))
+    near = sized.join(held.select("conv_id", F.col("low").alias("other"), "memory", _size_class(F.col("low")).alias("size")), ["conv_id", "size"])
+    near = near.select("conv_id", "low", "memory", similarity("low", "other").alias("alike")).where(F.col("alike") >= ALIKE)
+    nearest = near.groupBy("conv_id", "low").agg(F.min_by("memory", F.struct(-F.col("alike"), "memory.id")).alias("found"))
+    alike = met.where(F.col("memory").isNull()).select("conv_id", "pos", "low").join(nearest, ["conv_id", "low"]).select("conv_id", "pos", "found")
+    best = equal.unionByName(alike)
     return done.unionByName(best.withColumn("step", F.lit("likeness")))
 
 

@@ -3,6 +3,8 @@
 import random
 from difflib import SequenceMatcher
 
+from pyspark.sql import functions as F
+
 from parley.operators import validation
 
 MEMORY = "conv_id long, id string, speaker string, target_speaker string, claim string, turn_id string"
@@ -109,3 +111,12 @@ def test_empty_tables(spark):
     memories, updates = spark.createDataFrame([], MEMORY), spark.createDataFrame([], UPDATE)
     assert validation.validate(updates, memories).collect() == []
     assert validation.resolve_targets(updates.select("conv_id", "pos", "source.speaker", "source.claim"), memories).collect() == []
+
+
+def test_equal_claims_need_no_likeness(spark, monkeypatch):
+    # Three memories share a claim but for its case; many updates name it, two another that is like it.
+    monkeypatch.setattr(validation, "similarity", lambda a, b: F.when(a == b if not isinstance(a, str) else F.col(a) == F.col(b), F.raise_error(F.lit("equal claims compared")).cast("double")).otherwise(0.95))
+    memories = spark.createDataFrame([(1, f"m{i}", "x", "all", c, "1") for i, c in enumerate(["THE TAX IS TOO HIGH", "the tax is too high", "the tax is too high"])], "conv_id long, id string, speaker string, target_speaker string, claim string, turn_id string")
+    wanted = spark.createDataFrame([(1, p, "y", "the tax is too high" if p < 50 else "the tax is too hugh") for p in range(52)], "conv_id long, pos long, speaker string, claim string")
+    got = validation.resolve_targets(wanted, memories).select("pos", "found.id", "step").collect()
+    assert sorted(map(tuple, got)) == [(p, "m0", "likeness") for p in range(52)]
