@@ -102,3 +102,13 @@ def _drain(spark, source, tmp_path):
     query = novelty_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination(90)
     assert query.exception() is None and not query.isActive
+
+
+def test_merged_segments_of_conversations_in_one_group(spark, monkeypatch):
+    rows = [(c, s, 2 * s, 2 * s + 2, 30 + c, 2) for c in range(40) for s in range(5)]
+    frame = spark.createDataFrame(rows, "conv_id long, segment long, start long, end long, words long, n_turns long").repartition(3)
+    got = {}
+    for size in (1, 1000):
+        monkeypatch.setattr(features, "SEGMENTS", size)
+        got[size] = sorted(map(tuple, features.merge_segments(frame, 60, 120, 6).collect()))
+    assert got[1] == got[1000] and got[1][:3] == [(0, 0, 0, 4, 60, 4), (0, 1, 4, 8, 60, 4), (0, 2, 8, 10, 30, 2)]
