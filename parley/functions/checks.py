@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,10 +16,15 @@ PREFIX = "insq_"
 _yes = lambda c: F.coalesce(c, F.lit(False))
 
 
+def _once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """`of` the value, which is computed once however often `of` names it; lambdas keep Spark from seeing that it recurs."""
+    return F.transform(F.array(value), of)[0]
+
+
 def valid_summary(answer: Column, least: int = 210, most: int = 350) -> Column:
     """Whether an answer is an object whose `summary` has so many words."""
-    said = F.get_json_object(strip_fence(answer), "$.summary")
-    return _yes(F.size(F.filter(F.split(said, r"\s+"), lambda w: w != "")).between(least, most) & said.isNotNull())
+    words = F.array_remove(F.split(F.get_json_object(strip_fence(answer), "$.summary"), r"\s+"), "")
+    return _yes(F.size(words).between(least, most))
 
 
 def _objects(answer: Column) -> Column:
@@ -32,22 +39,22 @@ def _only(rows: Column, allowed: tuple[str, ...], needed: str) -> Column:
 
 def valid_ratings(answer: Column, first: Column, last: Column) -> Column:
     """Whether an answer lists ratings of utterances whose first and last index are these."""
-    rows = _objects(answer)
-    places = F.transform(rows, lambda o: o["utterance_index"].try_cast("long"))
-    ends = (F.try_element_at(places, F.lit(1)) == first) & (F.try_element_at(places, F.lit(-1)) == last) & F.forall(places, lambda p: p.isNotNull())
-    return _yes(_only(rows, ("utterance_index", "context_type", *ASPECTS), "utterance_index") & ends)
+    ends = lambda places: (F.try_element_at(places, F.lit(1)) == first) & (F.try_element_at(places, F.lit(-1)) == last) & F.forall(places, lambda p: p.isNotNull())
+    placed = lambda rows: _once(F.transform(rows, lambda o: o["utterance_index"].try_cast("long")), ends)
+    return _yes(_once(_objects(answer), lambda rows: _only(rows, ("utterance_index", "context_type", *ASPECTS), "utterance_index") & placed(rows)))
 
 
 def valid_claims(answer: Column, expected: Column) -> Column:
     """Whether an answer lists ratings of claims that cover all expected ids."""
-    rows = _objects(answer)
-    return _yes(_only(rows, ("id", *ASPECTS), "id") & (F.size(F.array_except(expected, F.transform(rows, lambda o: o["id"]))) == 0))
+    covers = lambda rows: F.size(F.array_except(expected, F.transform(rows, lambda o: o["id"]))) == 0
+    return _yes(_once(_objects(answer), lambda rows: _only(rows, ("id", *ASPECTS), "id") & covers(rows)))
 
 
 def valid_segments(answer: Column, last: Column) -> Column:
     """Whether an answer lists segments of which the last one ends with the last utterance or one before it."""
     rows = F.from_json(answer, "array<struct<utterances_interval:array<long>>>")
-    return _yes(F.try_element_at(F.try_element_at(rows, F.lit(-1))["utterances_interval"], F.lit(2)).between(last - 1, last))
+    end = F.try_element_at(F.try_element_at(rows, F.lit(-1))["utterances_interval"], F.lit(2))
+    return _yes(_once(end, lambda e: e.between(last - 1, last)))
 
 
 def aliases(conv_id: Column) -> Column:

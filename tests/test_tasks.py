@@ -14,6 +14,13 @@ from parley.operators import episodes, tasks
 from parley.sources import files
 
 
+def test_answers_are_read_once(spark):
+    rows = spark.createDataFrame([('[{"utterance_index": 1, "id": "a"}]',)], "a string")
+    for check in (checks.valid_ratings(F.col("a"), F.lit(1), F.lit(1)), checks.valid_claims(F.col("a"), F.array(F.lit("a")))):
+        plan = rows.select(check.alias("ok"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 1
+
+
 def test_a_task_drops_its_skipped_head_and_shows_what_fits(spark):
     long = " ".join(["word"] * 20) + "."
     said = [(1, 0, "Ann", "guest", long), (1, 1, "Mo", "mod", "Welcome to all of you here today."), (1, 2, "Ben", "guest", long), (1, 3, "Ann", "guest", "yes"), (1, 4, "Ben", "guest", long)]
