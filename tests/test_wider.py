@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parley.operators import comparison, shaping
 from parley.operators.metrics import t_probability
@@ -61,3 +62,29 @@ def test_coverage_is_checked(spark):
     assert comparison.checked_coverage(spark.createDataFrame(full, schema), ratings).count() == 3
     with pytest.raises(ValueError, match="1 of m/c/1"):
         comparison.checked_coverage(spark.createDataFrame([*full, *((1, u, "A", "m", "c", 1, 1 + (u > 0)) for u in range(3))], schema), ratings)
+
+
+def test_frequent_and_missing_base_tasks(spark):
+    # Tasks 1 and 7 are the base of many annotations, 7 is not known; others have none.
+    found = [(i, [1, 7, None, 2][i % 4], 3 if i % 3 else 4, f"z_{i}") for i in range(200)]
+    annotations = spark.createDataFrame([(str(i), b, t, c, [("u", {"info": 2})]) for i, b, t, c in found], "annotator_id string, base_task_id long, task_id long, conv_id string, utterances array<struct<id:string,labels:map<string,int>>>")
+    tasks = spark.createDataFrame([(1, "one", 10), (2, "", 20), (3, "three", 30)], "task_id long, corpus_id string, segment_id long")
+    known = {1: ("one", 10), 2: ("z", 20), 3: ("three", 30)}
+    want = sorted((str(i), *(known.get(b) or known.get(t) or ("z", None))) for i, b, t, c in found)
+    for frequent in (5, 1000):
+        rows = shaping.annotation_rows(annotations, tasks, ["info"], frequent)
+        assert sorted((r.source_id, r.corpus, r.segment_id) for r in rows.collect()) == want
+
+
+def test_frequent_keys_do_not_share_a_task(spark):
+    rows = spark.range(4000).selectExpr("id", "IF(id % 2 = 0, -1, id) AS k")
+    held = spark.range(50).selectExpr("id AS k", "id AS v")
+    for name, value in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false")):
+        spark.conf.set(name, value)
+    try:
+        met = shaping._looked_up(rows, held, "k", "v", F.xxhash64("id"), 100)
+        sizes = [r[1] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
+            spark.conf.unset(name)
+    assert sum(sizes) == 4000 and max(sizes) < 1200
