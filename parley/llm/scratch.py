@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+_notes: list[list[str]] = []
+
+
 def root(spark: SparkSession) -> str:
     """The shared folder of this application."""
     sc = spark.sparkContext
@@ -41,16 +44,31 @@ def write_and_read(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    for made in _notes:
+        made.append(path)
     return out
 
 
+@contextlib.contextmanager
+def noting(made: list[str]):
+    """While this lasts, the paths of tables that `write_and_read` makes go into the list."""
+    _notes.append(made)
+    try:
+        yield
+    finally:
+        _notes.pop()
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that `write_and_read` made and nothing reads any more."""
-    spark, path = df.sparkSession, getattr(df, "scratch_path", None)
-    if path:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path := getattr(df, "scratch_path", None):
+        delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete the table at a path of the shared folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def tidy(result=None):

@@ -1,7 +1,7 @@
 """Removal of long repeated passages with run-length suffix indexes.
 
 A byte goes if a string of `length` bytes covers it that also starts in a document with a smaller id. Documents are dealt
-to shards. Every window of `length` bytes belongs to the least hash among its grams, so that equal windows, wherever they
+to shards, which are written compressed. Every window of `length` bytes belongs to the least hash among its grams, so that equal windows, wherever they
 are, meet under the same hash; windows in a row with one hash make a *run*, a string that holds them all. Where a sample
 says that very many runs would meet under one hash, the next least hash deals them once more.
 
@@ -17,10 +17,14 @@ says that very many runs would meet under one hash, the next least hash deals th
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +38,8 @@ RUN_WINDOWS, INDEX_BYTES = 64, 1 << 19
 #: Runs under one hash beyond which the next least hash deals them again; rows sampled to find such hashes (a ten-thousandth
 #: of all, if that is more), sampled runs that it takes, and hashes known at most. They bear on speed only.
 HOT_RUNS, SAMPLE_ROWS, SAMPLE_LEAST, HOT_KEYS = 8192, 2000, 8, 50_000
+#: Hashes are asked about in so many parts, one after the other, so that a part of the messages is on disk at once.
+ASKS = 2
 _STRIDE = 1 << 18
 _KEY_BITS = np.uint64(0xFFFF_FFFF_FFF0_0000)
 _NO_ID = np.iinfo(np.int64).max
@@ -336,7 +342,9 @@ def earlier_windows(groups: np.ndarray, texts: list[bytes], owners: np.ndarray,
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.array([len(b), a.dtype.num], dtype=np.int64).tobytes() + b for a in arrays for b in [a.tobytes()]))
+    """The arrays as bytes; all first bytes of an array's numbers come before all second ones, so that those which vary little shrink."""
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.array([len(b), a.dtype.num], dtype=np.int64).tobytes() + b for a, b in zip(arrays, planes, strict=True)))
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
@@ -344,19 +352,59 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     kinds = {np.dtype(k).num: np.dtype(k) for k in (np.uint8, np.uint32, np.int64, np.uint64)}
     while at < len(raw):
         size, kind = np.frombuffer(raw, dtype=np.int64, count=2, offset=at)
-        out.append(np.frombuffer(raw, dtype=kinds[int(kind)], count=int(size) // kinds[int(kind)].itemsize, offset=at + 16))
+        width = kinds[int(kind)].itemsize
+        planes = np.frombuffer(raw, dtype=np.uint8, count=int(size), offset=at + 16).reshape(width, -1)
+        out.append(np.ascontiguousarray(planes.T).view(kinds[int(kind)]).ravel())
         at += 16 + int(size)
     return out
 
 
-_MESSAGE = "to int, sender int, what int, blob binary"
-_ARROW = pa.schema([("to", pa.int32()), ("sender", pa.int32()), ("what", pa.int32()), ("blob", pa.binary())])
+_MESSAGE = "to long, sender long, what int, blob binary"
+_ARROW = pa.schema([("to", pa.int64()), ("sender", pa.int64()), ("what", pa.int32()), ("blob", pa.binary())])
 
 
 def _messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return scratch.tidy(pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, _ARROW, strict=True)], schema=_ARROW))
 
 
+def _dealt(own: DataFrame, shard_bytes: int) -> DataFrame:
+    """(to, blob): shards of rows (id, raw, row) with about `shard_bytes` of text, compressed, as a table.
+
+    A shard is what a task reads in a row. It is written once, so that no later step shuffles texts as they are.
+    """
+
+    def shard(to: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write_table(pa.Table.from_batches(rows).combine_chunks())
+        return pa.RecordBatch.from_arrays([pa.array([to], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["to", "blob"])
+
+    def deal(batches):
+        to, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("raw")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                before = int(ends[at - 1]) if at else 0
+                end = min(batch.num_rows, int(np.searchsorted(ends, before + shard_bytes - size)) + 1)
+                held.append(batch.slice(at, end - at))
+                size += int(ends[end - 1]) - before
+                at = end
+                if size >= shard_bytes:
+                    yield shard(to, held)
+                    to, held, size = to + 1, [], 0
+        if held:
+            yield shard(to, held)
+        scratch.tidy()
+
+    return scratch.write_and_read(own.mapInArrow(deal, "to long, blob binary"), "shards")
+
+
+def _rows(shard: pa.Table) -> pa.Table:
+    """The rows of a shard of `_dealt`."""
+    return pa.ipc.open_stream(shard.column("blob")[0].as_py()).read_all()
+
+
 def _shard(table: pa.Table, length: int, hot: np.ndarray) -> Shard:
     ids = np.asarray(table.column("id").to_numpy(), dtype=np.int64)
     return Shard(ids, [t or b"" for t in table.column("raw").to_pylist()], length, hot)
@@ -423,23 +471,25 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, length: int, shard_bytes:
     if length < GRAM + 8:
         raise ValueError(f"length must be {GRAM + 8} or more")
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
     parts = max(1, -(-total // (3 * shard_bytes)))
+    turns = min(ASKS, parts)
     hot = hot_keys(docs, text_col, length)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(int(_NO_ID)))
-    dealt = F.pmod(F.xxhash64(key, F.when(F.col(id_col).isNull(), F.col(text_col))), F.lit(shards)).cast("int")
     others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col), F.lit(True).alias("text" if text_col != "text" else "none"))
-    own = docs.select(dealt.alias("to"), key.alias("id"), F.col(text_col).cast("binary").alias("raw"), others.alias("row"))
+    own = docs.select(key.alias("id"), F.col(text_col).cast("binary").alias("raw"), others.alias("row"))
 
-    def ask(table: pa.Table) -> pa.Table:
-        shard, me = _shard(table.select(["id", "raw"]), length, hot), table.column("to")[0].as_py()
-        part, bounds = parts_of(shard.keys, parts)
-        return _messages([(p, me, 0, _pack(shard.keys[a:b], shard.sums[a:b], shard.least[a:b])) for p, a, b in zip(part.tolist(), bounds[:-1], bounds[1:], strict=True)])
+    def ask(batches, turn: int):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                mine = pa.Table.from_batches([batch.slice(k, 1)])
+                shard, me = _shard(_rows(mine), length, hot), mine.column("to")[0].as_py()
+                part, bounds = parts_of(shard.keys, parts)
+                yield from _messages([(p, me, 0, _pack(np.diff(shard.keys[a:b], prepend=np.uint64(0)), shard.sums[a:b], shard.least[a:b])) for p, a, b in zip(part.tolist(), bounds[:-1], bounds[1:], strict=True) if p % turns == turn]).to_batches()
 
     def answer(table: pa.Table) -> pa.Table:
         me, senders = table.column("to")[0].as_py(), table.column("sender").to_pylist()
         got = [_unpack(b) for b in table.column("blob").to_pylist()]
-        keys, sums, ids = (np.concatenate([g[k] for g in got]) for k in range(3))
+        keys, sums, ids = np.concatenate([np.cumsum(g[0]) for g in got]), *(np.concatenate([g[k] for g in got]) for k in (1, 2))
         sender, nth = np.repeat(np.arange(len(got)), [len(g[0]) for g in got]), np.concatenate([np.arange(len(g[0])) for g in got])
         order = np.lexsort((sums, keys))
         k, s = keys[order], sums[order]
@@ -461,9 +511,7 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, length: int, shard_bytes:
         return _messages(out)
 
     def send(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return _messages([])
-        shard, me = _shard(table.select(["id", "raw"]), length, hot), table.column("to")[0].as_py()
+        shard, me = _shard(_rows(table), length, hot), table.column("to")[0].as_py()
         least, mixed, _ = _found(shard, answers, parts)
         first = np.full(len(least), -1, dtype=np.int64)
         mine = np.flatnonzero(mixed[shard.kind] & (shard.ids[shard.doc] == least[shard.kind]))
@@ -495,9 +543,8 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, length: int, shard_bytes:
     result = T.StructType([own.schema["row"], T.StructField("text", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType()), T.StructField("rest", T.StringType())])
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.table({"row": pa.array([], type=table.schema.field("row").type), "text": pa.array([], type=pa.string()), "spans": pa.array([], type=span_type), "kept": pa.array([], type=pa.binary()), "rest": pa.array([], type=pa.string())})
-        shard = _shard(table.select(["id", "raw"]), length, hot)
+        table = _rows(table)
+        shard = _shard(table, length, hot)
         least, _, marked = _found(shard, answers, parts)
         later = np.flatnonzero(shard.ids[shard.doc] > least[shard.kind])
         begin, end = [shard.start[later]], [shard.start[later] + shard.windows[later] + length - 1]
@@ -529,11 +576,17 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, length: int, shard_bytes:
         rest = [k.decode("utf-8", "ignore") if s else None for k, s in zip(kept, spans, strict=True)]  # null: as it was
         return scratch.tidy(pa.table({"row": table.column("row"), "text": texts, "spans": pa.array(spans, type=span_type), "kept": pa.array(kept, type=pa.binary()), "rest": pa.array(rest, type=pa.string())}))
 
-    asked = own.select(*own.columns).groupBy("to").applyInArrow(ask, _MESSAGE)
-    answers = asked.groupBy("to").applyInArrow(answer, _MESSAGE)
-    sent = own.groupBy("to").cogroup(answers.groupBy("to")).applyInArrow(send, _MESSAGE)
-    hits = sent.groupBy("to").applyInArrow(index, _MESSAGE)
-    return own.groupBy("to").cogroup(answers.unionByName(hits).groupBy("to")).applyInArrow(cut, result)
+    shards = _dealt(own, shard_bytes)
+    found = []
+    for turn in range(turns):
+        asked = shards.mapInArrow(functools.partial(ask, turn=turn), _MESSAGE)
+        found.append(scratch.write_and_read(asked.groupBy("to").applyInArrow(answer, _MESSAGE), "answers"))
+        scratch.sweep(docs.sparkSession)
+    answers = functools.reduce(DataFrame.unionByName, found)
+    sent = shards.groupBy("to").cogroup(answers.groupBy("to")).applyInArrow(send, _MESSAGE)
+    hits = scratch.write_and_read(sent.groupBy("to").applyInArrow(index, _MESSAGE), "hits")
+    scratch.sweep(docs.sparkSession)
+    return shards.groupBy("to").cogroup(answers.unionByName(hits).groupBy("to")).applyInArrow(cut, result)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:

@@ -1,9 +1,11 @@
 """The pipeline's stages, each on what its predecessor kept, against brute force."""
 
+import os
+
 import corpus_pipeline
 import numpy as np
 
-from parley.llm import scratch, toxicity
+from parley.llm import scratch, similar, suffix, toxicity
 from tests.llm.test_near_and_exact import SF, slow_leaks
 from tests.llm.test_others import check_packing
 from tests.llm.test_similar import slow_kept
@@ -42,3 +44,28 @@ def test_stages_against_brute_force(spark):
             assert docs.columns == before.columns
             assert {r.doc_id: r.text for r in docs.collect()} == want
     check_packing(docs.collect(), list(want.items()))
+
+
+def test_stages_leave_no_tables(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BUNDLE_ROWS", 64)
+    monkeypatch.setattr(suffix, "SHARD_BYTES", 1 << 14)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 150")
+    made = []
+    with scratch.noting(made):
+        near = similar.one_of_each(docs)
+        near.collect()
+    names = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in made]
+    assert names.count("meeting") == similar.PARTS  # a part of the rows is on disk at once
+    left = {n for p, n in zip(made, names, strict=True) if os.path.exists(p.removeprefix("file:"))}
+    assert not left & {"marks", "meeting", "candidates", "texts", "nodes", "near"}
+    assert {r.doc_id for r in near.collect()} == slow_kept([(r.doc_id, r.text) for r in docs.collect()])
+    made.clear()
+    with scratch.noting(made):
+        cut = suffix.without_repeats(docs)
+    assert sum("answers" in p for p in made) == suffix.ASKS
+    assert {r.doc_id: r.text for r in cut.collect()} == slow_cut([(r.doc_id, r.text.encode()) for r in docs.collect()])
+    made.clear()
+    with scratch.noting(made):
+        out = corpus_pipeline.run(spark, SF)
+    assert [p for p in made if os.path.exists(p.removeprefix("file:"))] == [out.scratch_path]
+    assert out.count() > 0
