@@ -232,7 +232,7 @@ def forest(data: Binned, fits: list[tuple[int, tuple[int, ...]]], trees: int, de
 def boosted(data: Binned, fits: list[tuple[int, tuple[int, ...]]], rounds: int, depth: int, rate: float, least: float = 1.0) -> dict[int, list[Tree]]:
     """Trees that each fit what those before leave of the target, all features and rows each; the first is the mean."""
     out: dict[int, list[Tree]] = {i: [] for i in range(len(fits))}
-    for round_ in range(rounds + 1):
+    for round_ in range(rounds + 1) if fits else ():
         new = [Tree(i, skip, features, -1, depth if round_ else 1, 1) for i, (skip, features) in enumerate(fits)]
         grow(data, new, max(len(f) for _, f in fits), least if round_ else math.inf, [out[i] for i in range(len(fits))], rate)
         for tree in new:
