@@ -15,6 +15,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _notes: list[list[str]] = []
@@ -80,7 +81,19 @@ def tidy(result=None):
 
 
 def sweep(spark: SparkSession) -> None:
-    """Let go of plans, broadcasts and shuffle files of steps that are done, on the driver and, through it, on executors."""
+    """Let go of plans, broadcasts and shuffle files of steps that are done, on the driver and, through it, on executors.
+
+    Executors live through all steps, and their heaps would grow to the limit; they shrink to what is in use here.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    if not re.match(r"local($|\[)", spark.sparkContext.master):  # there the driver is the executor
+        shrink(spark)
     tidy()
+
+
+def shrink(spark: SparkSession) -> None:
+    """Have the executors collect their garbage, one task for each core; their heaps give back what they need no more."""
+    cores = spark.sparkContext.defaultParallelism
+    collected = spark.range(0, cores, 1, cores).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("collected"))
+    collected.write.format("noop").mode("overwrite").save()

@@ -69,3 +69,18 @@ def test_stages_leave_no_tables(spark, monkeypatch):
         out = corpus_pipeline.run(spark, SF)
     assert [p for p in made if os.path.exists(p.removeprefix("file:"))] == [out.scratch_path]
     assert out.count() > 0
+
+
+def test_heaps_are_collected_between_steps(spark, monkeypatch):
+    def collections():
+        return sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Young" not in b.getName())
+
+    before = collections()
+    scratch.shrink(spark)
+    assert collections() > before
+    swept = []
+    monkeypatch.setattr(scratch, "sweep", swept.append)
+    for _, stage in corpus_pipeline.STAGES:
+        swept.clear()
+        stage(spark, spark.read.parquet(f"{SF}/documents.parquet").limit(40), SF)
+        assert swept
