@@ -69,68 +69,86 @@ def _size_class(text: Column) -> Column:
     return F.floor(F.ln(F.greatest(F.length(F.lower(text)), F.lit(1))) / 0.21).cast("int")
 
 
-def resolve_targets(wanted: DataFrame, memories: DataFrame) -> DataFrame:
+def _plain(value: Column) -> Column:
+    return F.trim(F.coalesce(value, F.lit("")))
+
+
+def _held(memories: DataFrame) -> DataFrame:
+    """(conv_id, key, by, memory): the memories of conversations by claim and speaker."""
+    return memories.where("conv_id is not null").select("conv_id", _plain(F.col("claim")).alias("key"), F.col("speaker").alias("by"), F.struct(*TARGET).alias("memory"))
+
+
+def _find(both: DataFrame, memories: DataFrame, parts: int | None) -> DataFrame:
+    """Rows of `both` that are no memories, with (found, step) by their key and speaker `by`; those without a key find nothing.
+
+    `both` has (conv_id, key, by, memory) of `_held` beside the rows. All that is looked up are windows over groups of a
+    conversation, which need no join and, where its rows lie together, no shuffle.
+    """
+    over = lambda value, *keys: value.over(Window.partitionBy("conv_id", *keys))
+    one = lambda *keys: F.when(over(F.count("memory"), *keys) == 1, over(F.min("memory"), *keys))
+    both = both.withColumn("low", F.lower("key")).withColumn("own", one("key", "by")).withColumn("any", one("key"))
+    # Of memories with one claim the least id stands for all.
+    looked = both.withColumn("same", over(F.min_by("memory", "memory.id"), "low")).where("memory is null").drop("memory")
+    claims = looked.where((F.col("key") != "") & F.col("same").isNull()).select("conv_id", "low").distinct()
+    held = _held(memories).select("conv_id", F.lower("key").alias("other"), "memory").groupBy("conv_id", "other").agg(F.min_by("memory", "memory.id").alias("memory"))
+    sized = claims.select("conv_id", "low", F.explode(F.array(*(_size_class(F.col("low")) + d for d in (-1, 0, 1)))).alias("size"))
+    near = sized.join(held.withColumn("size", _size_class(F.col("other"))), ["conv_id", "size"])
+    near = near.select("conv_id", "low", "memory", similarity("low", "other").alias("alike")).where(F.col("alike") >= ALIKE)
+    nearest = near.groupBy("conv_id", "low").agg(F.min_by("memory", F.struct(-F.col("alike"), "memory.id")).alias("near"))
+    nearest = nearest.repartition(parts, "conv_id") if parts else nearest
+    met = looked.withColumn("asked", F.lit(True)).unionByName(nearest, allowMissingColumns=True)
+    met = met.withColumn("near", over(F.min("near"), "low")).where("asked").drop("asked")
+    found = F.coalesce("own", "any", F.when(F.col("key") != "", F.coalesce("same", "near")))
+    step = F.when(F.col("own").isNotNull(), "speaker").when(F.col("any").isNotNull(), "claim").otherwise("likeness")
+    return met.withColumn("found", found).withColumn("step", F.when(F.col("found").isNotNull(), step)).drop("low", "own", "any", "same", "near")
+
+
+def resolve_targets(wanted: DataFrame, memories: DataFrame, parts: int | None = None) -> DataFrame:
     """(conv_id, pos, found, step): the memory that an update without a good target means, by its own claim.
 
     `wanted` has (conv_id, pos, speaker, claim), `memories` (conv_id, id, speaker, target_speaker, claim, turn_id). First the
     one memory of that speaker and claim, then the one memory of that claim, then the most alike claim from `ALIKE` on, the
     least id of ties; a claim that several memories share is found there, by equality. Of the other claims each distinct one
     meets each distinct one of like length in its conversation. Claims are compared without blanks around them, a null
-    claim is an empty one; an empty one is never looked up by likeness.
+    claim is an empty one; an empty one is never looked up by likeness. Where both tables are dealt by conv_id to `parts`
+    partitions, they stay there.
     """
-    plain = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
-    m = memories.select("conv_id", plain("claim").alias("key"), F.col("speaker").alias("by"), F.struct(*TARGET).alias("memory"))
-    w = wanted.select("conv_id", "pos", F.nullif("speaker", F.lit("")).alias("by"), plain("claim").alias("key"))
-    one = lambda *keys: m.groupBy(*keys).agg(F.count("*").alias("n"), F.min("memory").alias("found")).where("n = 1").drop("n")
-    own = one("conv_id", "key", "by").select("conv_id", "key", F.col("by").alias("spoken"), F.col("found").alias("own"))
-    same = (w["conv_id"] == own["conv_id"]) & (w["key"] == own["key"]) & w["by"].eqNullSafe(own["spoken"])
-    exact = w.join(own, same, "left").select(w["conv_id"], "pos", w["key"], "own").join(one("conv_id", "key").withColumnRenamed("found", "any"), ["conv_id", "key"], "left")
-    found = F.coalesce("own", "any")
-    done = exact.where(found.isNotNull()).select("conv_id", "pos", found.alias("found"), F.when(F.col("own").isNotNull(), "speaker").otherwise("claim").alias("step"))
-    rest = exact.where(found.isNull() & (F.col("key") != "")).select("conv_id", "pos", F.lower("key").alias("low"))
-    # Of memories with one claim the least id stands for all.
-    held = m.select("conv_id", F.lower("key").alias("low"), "memory").groupBy("conv_id", "low").agg(F.min_by("memory", "memory.id").alias("memory"))
-    met = rest.join(held, ["conv_id", "low"], "left")
-    equal = met.where(F.col("memory").isNotNull()).select("conv_id", "pos", F.col("memory").alias("found"))
-    claims = met.where(F.col("memory").isNull()).select("conv_id", "low").distinct()
-    sized = claims.select("conv_id", "low", F.explode(F.array(*(_size_class(F.col("low")) + d for d in (-1, 0, 1)))).alias("size"))
-    near = sized.join(held.select("conv_id", F.col("low").alias("other"), "memory", _size_class(F.col("low")).alias("size")), ["conv_id", "size"])
-    near = near.select("conv_id", "low", "memory", similarity("low", "other").alias("alike")).where(F.col("alike") >= ALIKE)
-    nearest = near.groupBy("conv_id", "low").agg(F.min_by("memory", F.struct(-F.col("alike"), "memory.id")).alias("found"))
-    alike = met.where(F.col("memory").isNull()).select("conv_id", "pos", "low").join(nearest, ["conv_id", "low"]).select("conv_id", "pos", "found")
-    best = equal.unionByName(alike)
-    return done.unionByName(best.withColumn("step", F.lit("likeness")))
+    w = wanted.select("conv_id", "pos", F.nullif("speaker", F.lit("")).alias("by"), _plain(F.col("claim")).alias("key"))
+    found = _find(w.unionByName(_held(memories), allowMissingColumns=True), memories, parts)
+    return found.where(F.col("found").isNotNull()).select("conv_id", "pos", "found", "step")
 
 
-def validate(updates: DataFrame, memories: DataFrame, fix: bool = True) -> DataFrame:
+def validate(updates: DataFrame, memories: DataFrame, fix: bool = True, parts: int | None = None) -> DataFrame:
     """(conv_id, pos, action, relation, source, target, errors, warnings, kept) of each update.
 
     `updates` has (conv_id, pos, action, relation, source, target), `source` a struct (speaker, target_speaker, claim, turn_id),
     `target` one of (id, speaker, target_speaker, claim, turn_id) or null; an id of a memory occurs once in its conversation.
     With `fix`, spellings, targets and actions are repaired and only what cannot be is an error; of updates of one target by one
     speaker, and then of all with one source, the first is kept. Without it every breach is an error and all are kept,
-    a second update of one source being an error of its own.
+    a second update of one source being an error of its own. Where both tables are dealt by conv_id to `parts` partitions,
+    they stay there, so that no rule shuffles the updates; elsewise each rule deals them by its own keys.
     """
     known, relation = action_name(F.col("action")), relation_name(F.col("relation"))
     rows = updates.select("*", known.alias("known"), relation.alias("known_relation"))
     used = F.col("known") if fix else F.col("action")
-    ids = memories.select("conv_id", F.col("id").alias("target_id")).distinct().withColumn("exists", F.lit(True))
-    rows = rows.withColumn("target_id", F.col("target.id")).join(ids, ["conv_id", "target_id"], "left").drop("target_id")
+    rows = rows.withColumn("target_id", F.col("target.id")).unionByName(_held(memories).withColumn("target_id", F.col("memory.id")), allowMissingColumns=True)
+    rows = rows.withColumn("exists", F.count("memory").over(Window.partitionBy("conv_id", "target_id")) > 0).drop("target_id")
     needed, absent = F.coalesce(used.isin("UPDATE", "NONE"), F.lit(False)), F.col("target").isNull()
     poor = ~absent & incomplete(F.col("target"))
-    unknown = ~absent & ~poor & F.col("exists").isNull()
+    unknown = ~absent & ~poor & ~F.col("exists")
     rows = rows.withColumn("state", F.when(absent & needed, "missing").when(poor, "incomplete").when(unknown, "unknown"))
     wrong_target = F.col("state").isNotNull()
     action, target = used, F.col("target")
     if fix:
-        found = resolve_targets(rows.where(wrong_target).select("conv_id", "pos", "source.speaker", "source.claim"), memories)
-        rows = rows.join(found, ["conv_id", "pos"], "left")
+        asks = F.col("memory").isNull() & wrong_target
+        rows = rows.withColumn("by", F.when(asks, F.nullif(F.col("source.speaker"), F.lit(""))).otherwise(F.col("by"))).withColumn("key", F.when(asks, _plain(F.col("source.claim"))).otherwise(F.col("key")))
+        rows = _find(rows, memories, parts)
         dropped = (F.col("state") == "unknown") & (used == "ADD")
         target = F.when(wrong_target & F.col("found").isNotNull(), F.col("found")).when(~F.coalesce(dropped, F.lit(False)), F.col("target"))
         wrong_target = wrong_target & F.col("found").isNull() & ~F.coalesce(dropped, F.lit(False))
         rows = rows.withColumn("target", target).withColumn("wrong_target", wrong_target)
     else:
-        rows = rows.withColumn("wrong_target", wrong_target)
+        rows = rows.where("memory is null").withColumn("wrong_target", wrong_target)
     speaker, theirs = F.nullif(F.col("source.speaker"), F.lit("")), F.nullif(F.col("target.speaker"), F.lit(""))
     relation = F.col("known_relation") if fix else F.col("relation")
     by_relation = F.coalesce(*(F.when(relation == r, a) for r, a in EXPECTED.items()))

@@ -128,10 +128,22 @@ _MEMORY = "SELECT o_orderkey {div} 50 AS conv_id, 'm' || o_orderkey AS id, 's' |
 _WANTED = "SELECT l_orderkey {div} 50 AS conv_id, l_orderkey * 8 + l_linenumber AS pos, 's' || (l_linenumber % 3) AS speaker, ' ' || md5(CAST(l_orderkey % 41 AS {text})) AS claim FROM {lines}"
 
 
+#: Lines that a task gets where conversations lie together, some 100 MB with all that is made of them.
+_LINES = 200_000
+
+
+def _dealt(spark, sf):
+    """The keys of lines and of orders, a conversation's together, and in how many partitions; what is made of them stays there."""
+    lines, orders = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    parts = max(spark.sparkContext.defaultParallelism, -(-lines.count() // _LINES))
+    return lines.repartition(parts, F.expr("l_orderkey div 50")), orders.repartition(parts, F.expr("o_orderkey div 50")), parts
+
+
 def _target_lookup(spark, sf):
-    wanted = spark.sql(_WANTED.format(text="STRING", div="div", lines="{t}"), t=table(spark, sf, "lineitem")).groupBy("conv_id", "pos").agg(F.min("speaker").alias("speaker"), F.min("claim").alias("claim"))
-    memories = spark.sql(_MEMORY.format(text="STRING", div="div", orders="{t}"), t=table(spark, sf, "orders"))
-    return validation.resolve_targets(wanted, memories).select("conv_id", "pos", "found.id", "found.turn_id", "step")
+    lines, orders, parts = _dealt(spark, sf)
+    wanted = spark.sql(_WANTED.format(text="STRING", div="div", lines="{t}"), t=lines).groupBy("conv_id", "pos").agg(F.min("speaker").alias("speaker"), F.min("claim").alias("claim"))
+    memories = spark.sql(_MEMORY.format(text="STRING", div="div", orders="{t}"), t=orders)
+    return validation.resolve_targets(wanted, memories, parts).select("conv_id", "pos", "found.id", "found.turn_id", "step")
 
 
 register("target_lookup", _target_lookup, f"""WITH m AS ({_MEMORY.format(text='VARCHAR', div='//', orders='orders')}), w AS (SELECT conv_id, pos, min(speaker) AS speaker, trim(min(claim)) AS claim FROM ({_WANTED.format(text='VARCHAR', div='//', lines='lineitem')}) GROUP BY 1, 2),
@@ -140,9 +152,12 @@ register("target_lookup", _target_lookup, f"""WITH m AS ({_MEMORY.format(text='V
 
 
 def _memory_validation(spark, sf):
-    lines = table(spark, sf, "lineitem").selectExpr("l_orderkey div 50 AS conv_id", "l_orderkey * 8 + l_linenumber AS pos", "CASE l_linenumber % 4 WHEN 0 THEN 'add' WHEN 1 THEN 'UPD' WHEN 2 THEN 'NONE' ELSE 'drop' END AS action", "element_at(array('equivalent', 'Neutral', 'contradiction', 'odd'), CAST(l_orderkey % 4 AS INT) + 1) AS relation",
-        "named_struct('speaker', 's' || (l_linenumber % 3), 'target_speaker', 'all', 'claim', md5(CAST(l_orderkey % 41 AS STRING)), 'turn_id', CAST(l_linenumber AS STRING)) AS source", "CASE WHEN l_orderkey % 3 = 0 THEN named_struct('id', 'm' || (l_orderkey + l_orderkey % 2 * 1000000), 'speaker', 's' || (l_orderkey % 3), 'target_speaker', 'all', 'claim', 'x', 'turn_id', '1') END AS target").dropDuplicates(["conv_id", "pos"])
-    out = validation.validate(lines, spark.sql(_MEMORY.format(text="STRING", div="div", orders="{t}"), t=table(spark, sf, "orders")))
+    lines, orders, parts = _dealt(spark, sf)
+    keys = lines.selectExpr("l_orderkey div 50 AS conv_id", "l_orderkey * 8 + l_linenumber AS pos", "l_orderkey", "l_linenumber").dropDuplicates(["conv_id", "pos"])
+    updates = keys.selectExpr("conv_id", "pos", "CASE l_linenumber % 4 WHEN 0 THEN 'add' WHEN 1 THEN 'UPD' WHEN 2 THEN 'NONE' ELSE 'drop' END AS action", "element_at(array('equivalent', 'Neutral', 'contradiction', 'odd'), CAST(l_orderkey % 4 AS INT) + 1) AS relation",
+        "named_struct('speaker', 's' || (l_linenumber % 3), 'target_speaker', 'all', 'claim', md5(CAST(l_orderkey % 41 AS STRING)), 'turn_id', CAST(l_linenumber AS STRING)) AS source", "CASE WHEN l_orderkey % 3 = 0 THEN named_struct('id', 'm' || (l_orderkey + l_orderkey % 2 * 1000000), 'speaker', 's' || (l_orderkey % 3), 'target_speaker', 'all', 'claim', 'x', 'turn_id', '1') END AS target")
+    memories = spark.sql(_MEMORY.format(text="STRING", div="div", orders="{t}"), t=orders)
+    out = validation.validate(updates, memories, parts=parts)
     return out.select("conv_id", "pos", "action", "relation", F.col("target.id").alias("target_id"), F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"), "kept")
 
 

@@ -120,3 +120,21 @@ def test_equal_claims_need_no_likeness(spark, monkeypatch):
     wanted = spark.createDataFrame([(1, p, "y", "the tax is too high" if p < 50 else "the tax is too hugh") for p in range(52)], "conv_id long, pos long, speaker string, claim string")
     got = validation.resolve_targets(wanted, memories).select("pos", "found.id", "step").collect()
     assert sorted(map(tuple, got)) == [(p, "m0", "likeness") for p in range(52)]
+
+
+def test_conversations_that_lie_together_stay(spark):
+    """With conversations dealt to a number of partitions, only claims to compare and what is found for them are shuffled."""
+    all_memories, all_updates, want = [], [], []
+    for conv in range(40):
+        memories, updates = sample(conv + 100)
+        all_memories += [(conv, *m[1:]) for m in memories]
+        all_updates += [(conv, *u[1:]) for u in updates]
+        want += [(conv, *r) for r in plain(updates, memories)]
+    no_one = (None, "m0", "Ann", "Cy", "Short", "4")  # of no conversation
+    memories, updates = (spark.createDataFrame(r, t).repartition(3, "conv_id") for r, t in (([*all_memories, no_one], MEMORY), (all_updates, UPDATE)))
+    out = validation.validate(updates, memories, parts=3)
+    assert sorted([(r.conv_id, r.pos, r.action, r.target and r.target.id, len(r.errors), r.kept) for r in out.collect()], key=repr) == sorted(want, key=repr)
+    shuffled = [x for x in out._jdf.queryExecution().sparkPlan().toString().splitlines() if " Join" in x or "Join [" in x]
+    assert len(shuffled) == 1  # the claims compared; the windows below deal nothing out anew
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("hashpartitioning(conv_id") - plan.count(", 3), REPARTITION_BY_NUM") <= 3
