@@ -107,3 +107,32 @@ def test_radius_holds_pairs_at_the_similarity(size):
         few = np.repeat(h[:3], [size, size // 2, size // 3]), np.repeat(h[:3], [size - size // 8, size // 2, size // 3])
         for x, y in (pair, tuple(map(similar.numbered, few))):
             assert ((similar.print_of(x) ^ similar.print_of(y)) & mask).bit_count() <= similar.RADIUS
+
+
+def test_large_groups_meet_in_turns(spark, monkeypatch):
+    """Pieces, turns and parts of keys change no result; texts that stay are not shuffled, and tables of steps are few at the end."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    base, rows = [word() for _ in range(60)], []
+    for i in range(70):  # alike, but mostly below the similarity: one large group of the second round
+        text = list(base)
+        for _ in range(rng.randrange(4)):
+            text[rng.randrange(60)] = word()
+        rows.append((i, " ".join(text)))
+    rows += [(100, rows[3][1]), (100, rows[3][1]), (None, rows[3][1])]
+    for name, value in (("PIECE_TEXTS", 6), ("CELL_TEXTS", 8), ("TURN_BYTES", 1), ("BROADCAST_ROWS", 9)):
+        monkeypatch.setattr(similar, name, value)
+    made = []
+    monkeypatch.setattr(similar.scratch, "write_and_read", lambda df, name, f=similar.scratch.write_and_read: (made.append(name), f(df, name))[1])
+    docs = docs_of(spark, rows)
+    assert {r.doc_id for r in similar.one_of_each(docs).collect()} == slow_kept(rows)
+    assert made.count("alike") > 3 and made.count("texts") > 3
+    monkeypatch.setattr(similar, "BROADCAST_ROWS", 500)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = similar.one_of_each(docs)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {r.doc_id for r in out.collect()} == slow_kept(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
